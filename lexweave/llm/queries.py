@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from ..session import table
-from . import bpe, leaks, typography
+from . import bpe, cuts, leaks, scans, typography
 
 
 def _t(names, f):
@@ -11,6 +11,7 @@ def _t(names, f):
 
 
 _EX = ("word_ets_examples", "word_ets_examples_raw")
+_SCAN = ("word_ets_examples", "questions")
 _LEAK = ("documents", "eval_items")
 
 
@@ -18,6 +19,10 @@ def queries() -> dict:
     return {
         "p3_found": _t(_EX, typography.duplicate_pairs),
         "p3_collapsed": _t(_EX, typography.collapsed),
+        "p6_found": _t(_SCAN, scans.damaged),
+        "p6_repaired": _t(_SCAN, scans.repaired),
+        "p7_found": _t(_SCAN, cuts.cut_records),
+        "p7_shares": _t(_SCAN, cuts.cut_shares),
         "p8_ids": _t(("documents",), bpe.encode_documents),
         "p8_token_counts": _t(("documents",), lambda d: bpe.token_counts(bpe.encode_documents(d), d)),
         "p9_found": _t(_LEAK, leaks.leaked),
