@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from ..session import table
-from . import bpe, cuts, leaks, scans, typography
+from . import bpe, cuts, leaks, pii, scans, typography
 
 
 def _t(names, f):
@@ -27,6 +27,8 @@ def queries() -> dict:
         "p8_token_counts": _t(("documents",), lambda d: bpe.token_counts(bpe.encode_documents(d), d)),
         "p9_found": _t(_LEAK, leaks.leaked),
         "p9_report": _t(_LEAK, leaks.leak_report),
+        "p10_found": _t(("documents",), pii.found),
+        "p10_redacted": _t(("documents",), pii.redact),
     }
 
 
