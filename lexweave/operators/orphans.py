@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import parallelism
+from ..session import materialise
 from .skew import heavy_keys
 
 _KEY = ["ref_table", "ref_id"]
@@ -15,44 +15,45 @@ def _plain(text: Column) -> Column:
     return F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}]", "")
 
 
-def _number(digits: Column, width: int) -> Column:
-    """Digits without zero padding, padded to ``width`` at least."""
-    bare = F.regexp_replace(digits, r"^0+(?=\d)", "")
-    return F.when(F.length(bare) >= width, bare).otherwise(F.lpad(bare, width, "0"))
+def _pad(digits: Column, width: int) -> Column:
+    """Digits padded to ``width`` at least (``lpad`` alone would cut longer ones)."""
+    return F.when(F.length(digits) >= width, digits).otherwise(F.lpad(digits, width, "0"))
 
 
 def vocab_ref_id(raw: Column) -> Column:
     """Canonical ``hw_NNNN`` of a vocabulary reference; text of another shape
     is kept as its letters and digits (it can't have a target); null and blank stay null."""
     plain = _plain(raw)
-    digits = F.regexp_extract(plain, r"^hw(\d+)$", 1)
-    return F.when(digits != "", F.concat(F.lit("hw_"), _number(digits, 4))).when(plain != "", plain)
-
-
-def source_ref(raw: Column) -> tuple[Column, Column]:
-    """(ref_table, ref_id) of an example's source, both null where it names no record."""
-    p = F.regexp_replace(F.lower(raw), r"[^\p{L}\p{N}]+", " ")
-    pat = r"^ ?vol(?:ume)? ?(\d+) ?test ?(\d+) ?(q|question|part) ?(\d+) ?$"
-    vol, test, kind, num = (F.regexp_extract(p, pat, i) for i in range(1, 5))
-    is_q = kind.isin("q", "question")
-    found = kind != ""
-    head = F.concat(F.lit("vol"), _number(vol, 1), F.lit("_test"), _number(test, 2))
-    table = F.when(found, F.when(is_q, F.lit("questions")).otherwise(F.lit("passages")))
-    ref = F.when(
-        found,
-        F.when(is_q, F.concat(head, F.lit("_part5_"), _number(num, 3))).otherwise(F.concat(head, F.lit("_part"), _number(num, 1), F.lit("_raw"))),
+    digits = F.regexp_extract(plain, r"^hw0*(\d+)$", 1)
+    return F.when(digits != "", F.concat(F.lit("hw_"), _pad(digits, 4))).when(plain != "", plain)
+
+
+#: Volume, test, and a question's or part's number, however they are written.
+_SOURCE = r"(?i)^[^\p{L}\p{N}]*vol(?:ume)?[^\p{L}\p{N}]*0*(\d+)[^\p{L}\p{N}]*test[^\p{L}\p{N}]*0*(\d+)[^\p{L}\p{N}]*(q|p(?=art))(?:uestion|art)?[^\p{L}\p{N}]*0*(\d+)[^\p{L}\p{N}]*$"
+_SEP = "\x01"
+
+
+def with_source_ref(rows: DataFrame, source: str) -> DataFrame:
+    """Rows whose ``source`` names a question or passage, with ref_table and ref_id.
+
+    One pass of one pattern takes a source apart; sources of another shape
+    (a page only, null) name no record and are left out.
+    """
+    parts = F.split(F.regexp_replace(F.col(source), _SOURCE, _SEP.join(["$1", "$2", "$3", "$4"])), _SEP)
+    cut = rows.withColumn("_p", parts).where(F.size("_p") == 4)
+    vol, test, kind, num = (F.col("_p")[i] for i in range(4))
+    head = F.concat(F.lit("vol"), vol, F.lit("_test"), _pad(test, 2))
+    is_q = F.lower(kind) == "q"
+    return cut.withColumn("ref_table", F.when(is_q, F.lit("questions")).otherwise(F.lit("passages"))).withColumn(
+        "ref_id", F.when(is_q, F.concat(head, F.lit("_part5_"), _pad(num, 3))).otherwise(F.concat(head, F.lit("_part"), num, F.lit("_raw")))
     )
-    return table, ref
 
 
 def references(entries: DataFrame) -> DataFrame:
     """(ref_table, ref_id, entry_id, at): the references of word-to-examples rows."""
-    table, ref = source_ref(F.col("_e.source"))
-    base = entries.select("entry_id", "vocab_id", F.col("loaded_at").alias("at"), F.col("examples.source").alias("_sources"))
-    by_vocab = base.select(F.lit("vocab").alias("ref_table"), vocab_ref_id(F.col("vocab_id")).alias("ref_id"), "entry_id", "at")
-    by_source = base.select("entry_id", "at", F.explode(F.array_distinct("_sources")).alias("_s"))
-    table, ref = source_ref(F.col("_s"))
-    by_source = by_source.select(table.alias("ref_table"), ref.alias("ref_id"), "entry_id", "at")
+    by_vocab = entries.select(F.lit("vocab").alias("ref_table"), vocab_ref_id(F.col("vocab_id")).alias("ref_id"), "entry_id", F.col("loaded_at").alias("at"))
+    sources = entries.select("entry_id", F.col("loaded_at").alias("at"), F.explode("examples.source").alias("_s"))
+    by_source = with_source_ref(sources, "_s").select("ref_table", "ref_id", "entry_id", "at")
     return by_vocab.unionByName(by_source).where("ref_id is not null")
 
 
@@ -88,6 +89,7 @@ def find_orphans(refs: DataFrame, targets: DataFrame) -> DataFrame:
     Null ids are no references; repeated rows give one row; an empty target
     table makes every reference ``missing``.
     """
+    refs = materialise(refs, "refs")  # taken apart once, read three times
     month = F.date_format("at", "yyyy-MM").alias("load_month")
     counts = refs.groupBy(*_KEY, month).agg(F.count("*").alias("_n")).groupBy(*_KEY).agg(F.sum("_n").alias("_n"))
     heavy = heavy_keys(counts, _KEY, "_n")
