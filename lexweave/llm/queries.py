@@ -32,5 +32,10 @@ def queries() -> dict:
     }
 
 
+_GRAMS = r"""SELECT {key}, unnest(list_transform(range(1, len(w) - 10), lambda i: array_to_string(w[i:i + 11], ' '))) AS g FROM (SELECT {key}, regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}]+') AS w FROM {src}) WHERE len(w) >= 12"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "p9_found": f"SELECT DISTINCT doc_id, item_id FROM ({_GRAMS.format(key='doc_id', src='documents')}) JOIN ({_GRAMS.format(key='item_id', src='eval_items')}) USING (g)",
+    }
