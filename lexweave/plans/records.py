@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from ..operators import nested, orphans, packed, salted
 from ..session import table
+from .sql import WORD
 
 
 def _t(names, f):
@@ -46,5 +47,21 @@ def queries() -> dict:
     }
 
 
+_PLAIN = "regexp_replace(lower({}), '[^\\p{{L}}\\p{{N}}]', '', 'g')"
+_NUM = lambda i: f"regexp_extract(p, '^vol0*([0-9]+)test0*([0-9]+)(q|part)0*([0-9]+)$', {i})"
+_REFS = f"""v AS (SELECT entry_id, loaded_at, {_PLAIN.format("vocab_id")} AS p FROM word_ets_examples), s AS (SELECT entry_id, loaded_at, {_PLAIN.format("e.source")} AS p FROM (SELECT entry_id, loaded_at, unnest(examples) AS e FROM word_ets_examples)),
+  refs AS (SELECT 'vocab' AS ref_table, CASE WHEN regexp_matches(p, '^hw[0-9]+$') THEN 'hw_' || format('{{:04d}}', regexp_extract(p, '^hw([0-9]+)$', 1)::BIGINT) ELSE p END AS ref_id, entry_id, loaded_at FROM v WHERE p <> ''
+    UNION SELECT CASE WHEN {_NUM(3)} = 'q' THEN 'questions' ELSE 'passages' END, 'vol' || {_NUM(1)} || '_test' || format('{{:02d}}', {_NUM(2)}::BIGINT) || '_part' || CASE WHEN {_NUM(3)} = 'q' THEN '5_' || format('{{:03d}}', {_NUM(4)}::BIGINT) ELSE {_NUM(4)} || '_raw' END, entry_id, loaded_at FROM s WHERE {_NUM(3)} <> ''),
+  t AS (SELECT ref_table, id AS ref_id, bool_and(coalesce(deleted, false)) AS gone, min(loaded_at) AS first_at FROM (SELECT 'vocab' AS ref_table, id, deleted, loaded_at FROM vocab UNION ALL SELECT 'questions', id, deleted, loaded_at FROM questions UNION ALL SELECT 'passages', id, deleted, loaded_at FROM passages) GROUP BY ALL),
+  found AS (SELECT DISTINCT ref_table, ref_id, entry_id, CASE WHEN t.first_at IS NULL THEN 'missing' WHEN gone THEN 'deleted' WHEN first_at > loaded_at THEN 'late' END AS reason, strftime(loaded_at, '%Y-%m') AS load_month FROM refs LEFT JOIN t USING (ref_table, ref_id))"""
+_TOTALS = f"""totals AS (SELECT word, count(*) AS n_entries, sum(n)::BIGINT AS n_examples FROM (SELECT {WORD} AS word, entry_id, max(coalesce(len(examples), 0)) AS n FROM word_ets_examples GROUP BY ALL) GROUP BY word)"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "p1_found": f"WITH {_REFS} SELECT * FROM found WHERE reason IS NOT NULL",
+        "p1_report": f"WITH {_REFS} SELECT ref_table, load_month, reason, count(*) AS n_refs, count(DISTINCT ref_id) AS n_targets FROM found WHERE reason IS NOT NULL GROUP BY ALL",
+        "p4_found": f"WITH {_TOTALS} SELECT * FROM totals",
+        "p4_with_vocab": f"""WITH {_TOTALS}, v AS (SELECT {WORD} AS word, count(DISTINCT id) AS n_vocab_ids, count(DISTINCT day) AS n_days FROM vocab GROUP BY 1)
+          SELECT word, coalesce(n_entries, 0) AS n_entries, coalesce(n_examples, 0) AS n_examples, coalesce(n_vocab_ids, 0) AS n_vocab_ids, coalesce(n_days, 0) AS n_days FROM totals FULL JOIN v USING (word)""",
+    }
