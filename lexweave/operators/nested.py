@@ -25,7 +25,8 @@ SCHEMAS = {
 
 
 def _as_list(value) -> list:
-    """Children of an optional field in any shape: list, one object, JSON text of either, scalar, null."""
+    """Children of an optional field in any shape: list, one object, object keyed
+    by place (its values in the order given), JSON text of these, scalar, null."""
     if isinstance(value, str):
         try:
             inner = json.loads(value)
@@ -34,6 +35,8 @@ def _as_list(value) -> list:
         return _as_list(inner) if not isinstance(inner, (int, float, bool)) else [inner]
     if value is None:
         return []
+    if isinstance(value, dict) and value and all(k.isdigit() for k in value):
+        return list(value.values())
     return value if isinstance(value, list) else [value]
 
 
