@@ -6,7 +6,7 @@ import re
 from dataclasses import dataclass, field
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .scans import Noise, learn_noise, scan_texts
@@ -20,8 +20,9 @@ LIMIT_LEAST = 5
 #: that its known four-word ends are all there are.
 END_LEAST = 3
 END_COMMON = 300
-#: Most end phrases per field that are sent to the executors.
-MAX_ENDS = 20_000
+#: Share of a field's closed texts from which an end phrase is sent to the
+#: executors: at most 1 / share phrases per field.
+END_SHARE = 1 / 200_000
 
 _CLOSERS = "\"'”’»」』)\\]*_"
 #: Ends that need no second look: a full stop in any form, closing marks, blanks.
@@ -94,13 +95,16 @@ class Baseline:
 def learn_baseline(texts: DataFrame) -> Baseline:
     """End phrases of closed texts per field and field limits per source, from all texts.
 
-    The driver gets at most ``MAX_ENDS`` phrases per field and one limit per source.
+    The driver gets at most 1 / ``END_SHARE`` phrases per field and one limit per source.
     """
     base = texts.select("field_name", "feed", open_end(F.col("text")).alias("open"), F.length("text").alias("len"), _end_phrase_column(F.col("text")).alias("end"))
     ends: dict[str, dict[str, int]] = {}
     closed = base.where("not open").groupBy("field_name", "end").agg(F.count("*").alias("n"))
-    rank = F.row_number().over(Window.partitionBy("field_name").orderBy(F.desc("n"), "end"))
-    for r in closed.where(F.col("n") >= END_LEAST).withColumn("rank", rank).where(F.col("rank") <= MAX_ENDS).collect():
+    totals = {r["field_name"]: r["n"] for r in closed.groupBy("field_name").agg(F.sum("n").alias("n")).collect()}  # a row per field
+    enough = F.lit(False)
+    for name, n in totals.items():
+        enough = enough | (F.col("field_name") == name) & (F.col("n") >= max(END_LEAST, n * END_SHARE))
+    for r in closed.where(enough).collect():
         own = ends.setdefault(r["field_name"], {})
         pair = " ".join(r["end"].split(" ")[-2:])
         own[r["end"]] = own.get(r["end"], 0) + r["n"]

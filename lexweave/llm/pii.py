@@ -12,12 +12,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import materialise
+from .scans import common
 
 KINDS = ("email", "id_number", "phone", "address", "name")
 PLACEHOLDERS = {"email": "[EMAIL]", "id_number": "[ID]", "phone": "[PHONE]", "address": "[ADDRESS]", "name": "[NAME]"}
-#: Most words and name parts that are sent to the executors (the most frequent).
-MAX_WORDS = 60_000
-MAX_NAMES = 60_000
+#: Share of all words from which a word or name part is sent to the executors:
+#: at most 1 / share of either.
+WORD_SHARE = 1 / 500_000
 #: Rounds of expectation-maximisation and of the classifier's training.
 EM_ROUNDS = 25
 FIT_ROUNDS = 400
@@ -194,8 +195,8 @@ def learn_words(texts: DataFrame) -> tuple[dict[str, int], dict[str, int], dict[
 
     rows = texts.select("text").mapInArrow(count, "kind string, word string, n bigint").groupBy("kind", "word").agg(F.sum("n").alias("n"))
     rows = materialise(rows.where("n >= 2"), "p10-words")
-    top = lambda kind, most: {r["word"]: r["n"] for r in rows.where(F.col("kind") == kind).orderBy(F.desc("n"), "word").limit(most).collect()}
-    return top("w", MAX_WORDS), top("n", MAX_NAMES), top("o", MAX_WORDS)
+    top = lambda kind: {r["word"]: r["n"] for r in common(rows.where(F.col("kind") == kind), "n", WORD_SHARE, 2).collect()}
+    return top("w"), top("n"), top("o")
 
 
 def candidates(texts: DataFrame, words: dict[str, int], names: dict[str, int], others: dict[str, int]) -> DataFrame:
