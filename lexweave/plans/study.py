@@ -44,7 +44,6 @@ def queries() -> dict:
     raw = lambda name: lambda s, d: table(s, d, name)
     issues = lambda s, d: quality.issues(allq(s, d), quality.question_rules(), "questions").unionByName(quality.issues(allv(s, d), quality.vocab_rules(), "vocab"))
     old_new = lambda s, d: [r.examples(entries(s, d).where(c)) for c in ("feed <> 'book_scan'", "feed = 'book_scan'")]
-    secs = F.col("value").cast("int") * 7
     return {
         "token_probe_all": lambda s, d: matching.probe_all(_sentences(s, d), _forms(s, d)),
         "token_probe_per_field": lambda s, d: matching.probe_per_field(questions(s, d), _forms(s, d)),
@@ -84,7 +83,7 @@ def queries() -> dict:
         "weak_study_fanout": lambda s, d: exams.study_documents(exams.weak(exams.grades(resp(s, d), "category"), 101.0), TOPICS, raw("documents")(s, d)),
         "sittings": lambda s, d: exams.sittings(resp(s, d)),
         "event_props": lambda s, d: ev(s, d).select("event_type", F.get_json_object("props", "$.k").cast("bigint").alias("k")).groupBy("event_type").agg(F.sum("k").alias("sum_k"), F.count("k").alias("n")),
-        "durations": lambda s, d: ev(s, d).select("event_id", F.format_string("%02d:%02d", F.expr("cast(value as int) * 7 div 60"), secs % 60).alias("mmss"), F.date_format("ts", "yyyyMMdd_HHmm").alias("stamp")),
+        "durations": lambda s, d: ev(s, d).select("event_id", F.format_string("%02d:%02d", F.expr("cast(value as int) * 7 div 60"), F.expr("cast(value as int) * 7 % 60")).alias("mmss"), F.date_format("ts", "yyyyMMdd_HHmm").alias("stamp")),
         "range_bounds": lambda s, d: allq(s, d).groupBy("volume", "test").agg(F.concat_ws("-", F.min("question_number"), F.max("question_number")).alias("range")).select(
             "volume", "test", F.greatest(F.lit(0), F.regexp_extract("range", r"^(\d+)-(\d+)$", 1).cast("int") - 101).alias("start"), F.least(F.lit(30), F.regexp_extract("range", r"^(\d+)-(\d+)$", 2).cast("int") - 100).alias("end")),
         "coverage_tiers": lambda s, d: r.coverage(allv(s, d), r.example_counts(entries(s, d))).select("day", F.when(F.col("pct_hits") >= 95, "high").when(F.col("pct_hits") >= 50, "middle").otherwise("low").alias("tier"), (F.col("pct_hits") * 3.5).cast("int").alias("bar")),

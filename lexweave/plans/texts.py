@@ -41,9 +41,10 @@ def queries() -> dict:
     q, v = questions, vocab
     allq = lambda s, d: r.first_copy(table(s, d, "questions"), "id", "loaded_at")
     lines = lambda s, d: p.lines(_passages(s, d))
-    filled = text.fill_first(F.col("sentence"), F.col("choices")[F.col("answer")])
+    filled = lambda: text.fill_first(F.col("sentence"), F.col("choices")[F.col("answer")])
     usable = "sentence is not null and answer is not null and map_contains_key(choices, answer)"
-    ex3 = text.split_explanation(F.col("explanation"))
+    parts = ("explanation", "translation", "vocabulary")
+    ex3 = lambda: [c.alias(n) for c, n in zip(text.split_explanation(F.col("explanation")), parts)]
     return {
         "sentence_split_stats": lambda s, d: _docs(s, d).select("source", F.explode(text.sentences(F.col("text"))).alias("x")).groupBy("source").agg(F.count("*").alias("n_sentences"), F.sum(F.length("x")).alias("n_chars")),
         "passage_segments": lambda s, d: p.segments(lines(s, d)),
@@ -57,13 +58,13 @@ def queries() -> dict:
         "contiguous_blank_blocks": lambda s, d: p.contiguous_blocks(lines(s, d), F.col("line").contains("-------")),
         "lines_until_second_block": lambda s, d: p.until_mark(lines(s, d), F.col("header_from").isin(135, 151)),
         "first_header_place": lambda s, d: p.first_per_key(lines(s, d)),
-        "filled_sentences": lambda s, d: q(s, d).where(usable).select("id", filled.alias("filled")),
+        "filled_sentences": lambda s, d: q(s, d).where(usable).select("id", filled().alias("filled")),
         "bold_matched_form": lambda s, d: _ex(s, d).select("ex_id", text.bold(text.unbold(F.col("sentence")), F.regexp_extract("matched_form", "^[A-Za-z]+$", 0)).alias("bolded")),
         "unbold_sentences": lambda s, d: _ex(s, d).select("ex_id", text.unbold(F.col("sentence")).alias("plain")),
         "dedupe_key_groups": lambda s, d: _ex(s, d).groupBy(text.dedupe_key(F.col("sentence")).alias("key")).agg(F.count("*").alias("n"), F.min("ex_id").alias("first_id")).where("n > 1"),
         "corrupt_text_flag": lambda s, d: _ex(s, d).where(text.is_corrupt(F.col("sentence"))).select("ex_id"),
         "text_repair": lambda s, d: _ex(s, d).where(text.is_corrupt(F.col("sentence"))).select("ex_id", text.repair(F.col("sentence")).alias("repaired")),
-        "explanation_parts": lambda s, d: allq(s, d).where("explanation is not null").select("id", ex3[0].alias("explanation"), ex3[1].alias("translation"), ex3[2].alias("vocabulary")),
+        "explanation_parts": lambda s, d: allq(s, d).where("explanation is not null").select("id", *ex3()),
         "answer_letters": lambda s, d: _passages(s, d).select("id", F.explode("answer").alias("k", "a")).groupBy(text.fix_answer(F.col("a")).alias("answer")).agg(F.count("*").alias("n")),
         "html_escaped_gloss": lambda s, d: v(s, d).select("id", text.escape_html(F.col("meaning_kr")).alias("html")),
         "inline_html_examples": lambda s, d: _ex(s, d).select("ex_id", text.inline_html(F.col("sentence")).alias("html")),
