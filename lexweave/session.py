@@ -45,3 +45,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def parallelism(spark: SparkSession) -> int:
     return max(2, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
+
+
+def spread(scan: DataFrame) -> DataFrame:
+    """A scan with at least as many partitions as there are cores.
+
+    Small files come as one or two tasks, too few for work that is heavy per
+    row. Only then rows are dealt out anew; a scan of many partitions is left
+    alone, so nothing large is ever shuffled for it.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
