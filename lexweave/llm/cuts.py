@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import materialise
 from .scans import Noise, learn_noise, scan_texts
 
 #: A length at which at least this share and number of a source's open ends
@@ -97,9 +98,14 @@ def learn_baseline(texts: DataFrame) -> Baseline:
 
     The driver gets at most 1 / ``END_SHARE`` phrases per field and one limit per source.
     """
-    base = texts.select("field_name", "feed", open_end(F.col("text")).alias("open"), F.length("text").alias("len"), _end_phrase_column(F.col("text")).alias("end"))
+    is_open = open_end(F.col("text"))
+    base = materialise(  # counted in one pass; all that follows reads the counts
+        texts.select("field_name", "feed", is_open.alias("open"), F.when(is_open, F.length("text")).alias("len"), F.when(~is_open, _end_phrase_column(F.col("text"))).alias("end"))
+        .groupBy("field_name", "feed", "open", "len", "end").agg(F.count("*").alias("n")),
+        "p7-ends",
+    )
     ends: dict[str, dict[str, int]] = {}
-    closed = base.where("not open").groupBy("field_name", "end").agg(F.count("*").alias("n"))
+    closed = base.where("not open").groupBy("field_name", "end").agg(F.sum("n").alias("n"))
     totals = {r["field_name"]: r["n"] for r in closed.groupBy("field_name").agg(F.sum("n").alias("n")).collect()}  # a row per field
     enough = F.lit(False)
     for name, n in totals.items():
@@ -110,8 +116,7 @@ def learn_baseline(texts: DataFrame) -> Baseline:
         own[r["end"]] = own.get(r["end"], 0) + r["n"]
         if pair != r["end"]:
             own[pair] = own.get(pair, 0) + r["n"]
-    lengths = base.where("open").groupBy("field_name", "feed", "len").agg(F.count("*").alias("n"))
-    peaks = lengths.groupBy("field_name", "feed").agg(F.sum("n").alias("all"), F.max_by("len", F.struct("n", F.col("len"))).alias("len"), F.max("n").alias("n"))
+    peaks = base.where("open").groupBy("field_name", "feed").agg(F.sum("n").alias("all"), F.max_by("len", F.struct("n", F.col("len"))).alias("len"), F.max("n").alias("n"))
     limits = {
         (r["field_name"], r["feed"]): r["len"]
         for r in peaks.where((F.col("n") >= LIMIT_LEAST) & (F.col("n") >= F.col("all") * LIMIT_SHARE)).collect()

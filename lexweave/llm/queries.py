@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from ..session import table
+from ..session import spread, table
 from . import bpe, cuts, leaks, pii, scans, typography
 
 
 def _t(names, f):
-    return lambda spark, sf: f(*(table(spark, sf, n) for n in names))
+    return lambda spark, sf: f(*(spread(table(spark, sf, n)) for n in names))
 
 
 _EX = ("word_ets_examples", "word_ets_examples_raw")
