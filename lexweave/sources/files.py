@@ -8,11 +8,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.text import strip
 from ..schemas import QUESTION
 
 
 def _whole(spark: SparkSession, path: str, **options) -> DataFrame:
-    return spark.read.options(wholetext=True, **options).text(path).select(F.input_file_name().alias("file"), "value")
+    return spark.read.options(**options).text(path, wholetext=True).select(F.input_file_name().alias("file"), "value")
 
 
 def json_arrays(spark: SparkSession, glob: str, schema: str = QUESTION) -> DataFrame:
@@ -82,7 +83,7 @@ def sections(pages: DataFrame, headings: list[str]) -> DataFrame:
     """(file, pos, heading, text) of the second-level sections whose heading is listed."""
     parts = pages.select("file", F.posexplode(F.split("body", r"(?m)^## ")).alias("pos", "part")).where("pos > 0")
     head = F.trim(F.split("part", "\n", 2)[0])
-    return parts.select("file", "pos", head.alias("heading"), F.trim(F.coalesce(F.get(F.split("part", "\n", 2), 1), F.lit(""))).alias("text")).where(F.col("heading").isin(*headings))
+    return parts.select("file", "pos", head.alias("heading"), strip(F.coalesce(F.get(F.split("part", "\n", 2), 1), F.lit(""))).alias("text")).where(F.col("heading").isin(*headings))
 
 
 def word_sheets(spark: SparkSession, path: str, groups: int = 2) -> DataFrame:
