@@ -85,7 +85,7 @@ def sequence_gaps(questions: DataFrame, first: int = 101) -> DataFrame:
 
 def wrong_totals(entries: DataFrame) -> DataFrame:
     """(entry_id, total_count, n_examples): rows whose stated total isn't their number of examples."""
-    n = F.coalesce(F.when(F.col("examples").isNotNull(), F.size("examples")), F.lit(0))
+    n = F.coalesce(F.when(F.col("examples").isNotNull(), F.size("examples.ex_id")), F.lit(0))
     return entries.select("entry_id", "total_count", n.alias("n_examples")).where(~F.col("total_count").eqNullSafe(F.col("n_examples"))).distinct()
 
 

@@ -123,7 +123,7 @@ def test_salted_totals(spark):
             k = w.strip().lower() if w is not None else None
             want[k][i] = max(want[k].get(i, 0), n or 0)
     assert got == {k: (len(v), sum(v.values())) for k, v in want.items()}
-    empty = spark.createDataFrame([], "entry_id long, word string, examples array<int>")
+    empty = spark.createDataFrame([], "entry_id long, word string, examples array<struct<ex_id long>>")
     assert salted.word_totals(empty).count() == 0
 
 
