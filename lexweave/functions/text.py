@@ -12,12 +12,12 @@ from .lexicon import BLANK, STOP_WORDS
 WHITE = r"[ \t\n\r\x0B\f]"
 
 
-def strip(text: Column) -> Column:
+def strip(text: Column | str) -> Column:
     """Without white space at either end."""
     return F.regexp_replace(text, rf"^{WHITE}+|{WHITE}+$", "")
 
 
-def collapse(text: Column) -> Column:
+def collapse(text: Column | str) -> Column:
     """White space runs as one blank, none at the ends."""
     return F.trim(F.regexp_replace(text, rf"{WHITE}+", " "))
 
