@@ -77,3 +77,17 @@ def quote_blocks(page_rows: DataFrame) -> DataFrame:
     lines = F.split("content", "\n")
     starts = F.filter(F.sequence(F.lit(0), F.size(lines) - 1), lambda i: F.get(lines, i).startswith(">") & ~F.coalesce(F.get(lines, i - 1).startswith(">"), F.lit(False)))
     return page_rows.select("id", F.size(starts).cast("bigint").alias("n_quotes"))
+
+
+def majority_pos(vocab: DataFrame) -> DataFrame:
+    """(word, pos): the part of speech that most rows of a word give, the first seen on ties."""
+    v = vocab.select(word_key(F.col("word")).alias("word"), "id", F.explode(classify.pos_list(F.col("pos"))).alias("pos"))
+    n = v.groupBy("word", "pos").agg(F.count("*").alias("n"), F.min("id").alias("first"))
+    # the least of (-n, first seen) is the most frequent, and the first seen among equals
+    return n.groupBy("word").agg(F.min_by("pos", F.struct((-F.col("n")).alias("n"), "first", "pos")).alias("pos"))
+
+
+def volume_histogram(ex: DataFrame) -> DataFrame:
+    """(volume, n): examples per volume, taken from the source's text where the field is null."""
+    from_text = F.expr("try_cast(nullif(regexp_extract(source, '(?i)vol[^0-9]*([0-9]+)', 1), '') as int)")
+    return ex.groupBy(F.coalesce("volume", from_text).alias("volume")).agg(F.count("*").alias("n"))

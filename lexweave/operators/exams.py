@@ -122,3 +122,30 @@ def sittings(rows: DataFrame, gap_minutes: int = 30) -> DataFrame:
     new = (F.col("at").cast("timestamp").cast("long") - F.lag(F.col("at").cast("timestamp").cast("long")).over(w) > gap_minutes * 60).cast("int")
     s = rows.withColumn("_n", F.coalesce(new, F.lit(0))).withColumn("sitting", F.sum("_n").over(w.rowsBetween(Window.unboundedPreceding, 0)))
     return s.groupBy("user_id", "sitting").agg(F.count("*").alias("n"), F.count_if("is_correct").alias("correct"))
+
+
+def chosen(rows: DataFrame, **allowed: list | None) -> DataFrame:
+    """Rows whose columns have one of the allowed values; None means any, null values fall out."""
+    for column, values in allowed.items():
+        if values is not None:
+            rows = rows.where(F.col(column).isin(*values))
+    return rows
+
+
+def wrong_answers(rows: DataFrame, category: str | None = None) -> DataFrame:
+    """Answers that are wrong; a missing mark counts as right."""
+    wrong = rows.where(~F.coalesce("is_correct", F.lit(True)))
+    return wrong if category is None else wrong.where(F.col("category") == category)
+
+
+def exam_payload(questions: DataFrame) -> DataFrame:
+    """(id, payload): each question as the JSON that an exam page embeds; null fields are left out."""
+    fields = F.struct("id", "sentence", "choices", "answer", classify.classify_choices(F.col("choices")).alias("category"), "volume", "test", "question_number")
+    return questions.select("id", F.to_json(fields).alias("payload"))
+
+
+def graded_sheet(questions: DataFrame, answers: DataFrame) -> DataFrame:
+    """(category, total, correct, rate) of (id, user_answer) rows; a question without an answer is wrong."""
+    q = questions.where("answer is not null").select("id", "answer", classify.classify_choices(F.col("choices")).alias("category"))
+    given = answers.groupBy("id").agg(F.max("user_answer").alias("user_answer"))
+    return grades(q.join(given, "id", "left").withColumn("is_correct", F.coalesce(F.col("answer") == F.col("user_answer"), F.lit(False))), "category")

@@ -115,3 +115,56 @@ def passage_sentences(passages: DataFrame) -> DataFrame:
     """(id, pos, sentence): cleaned body lines joined and split into sentences."""
     body = F.array_join(F.filter(F.split("raw_text", "\n"), lambda x: ~x.rlike(SKIP_LINE)), " ")
     return passages.select("id", F.posexplode(text.sentences(body)).alias("pos", "sentence"))
+
+
+def resolve_blanks(sentences: DataFrame, passages: DataFrame, left: int = 25, ahead: int = 60, behind: int = 80) -> DataFrame:
+    """(sent_id, q_number): the question that a blanked sentence of a passage asks.
+
+    ``sentences`` is (sent_id, id, sentence). The blank is found in the passage
+    by up to ``left`` characters before it (the blank must follow within
+    ``ahead``), else by as many after it (within ``behind`` before). Then a
+    label NNN. or NNN) beside the blank counts if it lies in the header's
+    range, else the blank's ordinal below its header. Sentences without a
+    blank, or whose place isn't found, give no row.
+    """
+    flat = lambda c: F.lower(text.collapse(text.unbold(c)))
+    s = sentences.where(F.col("sentence").rlike("-{5,}")).select("sent_id", "id", flat(F.col("sentence")).alias("s"))
+    cut = F.split("s", "-{5,}", 2)
+    s = s.select("sent_id", "id", F.right(F.trim(cut[0]), F.lit(left)).alias("a"), F.left(F.trim(cut[1]), F.lit(left)).alias("z"))
+    p = passages.select("id", F.regexp_replace(flat(F.col("raw_text")), "-{5,}", BLANK).alias("body"))
+    both = s.join(p, "id")
+    end = F.when(F.length("a") >= 10, F.instr("body", F.col("a")) + F.length("a")).otherwise(0)
+    after = F.when(F.col("a_end") > F.length("a"), F.expr(f"locate('{BLANK}', body, a_end)")).otherwise(0)
+    both = both.withColumn("a_end", end).withColumn("b1", after).withColumn("z_at", F.when(F.length("z") >= 10, F.instr("body", F.col("z"))).otherwise(0))
+    head = F.substring("body", F.lit(1), F.col("z_at") - 1)
+    back = F.when(F.col("z_at") > 0, F.length(head) - F.instr(F.reverse(head), BLANK) - len(BLANK) + 2)
+    place = F.when((F.col("b1") > 0) & (F.col("b1") - F.col("a_end") <= ahead), F.col("b1")).when(head.contains(BLANK) & (F.col("z_at") - back <= behind), back)
+    at = both.withColumn("at", place).where("at > 0").select("sent_id", "at", F.substring("body", F.lit(1), F.col("at") - 1).alias("before"), F.substring("body", F.col("at") + len(BLANK), F.lit(35)).alias("behind"))
+    header = r"questions?\s+(\d{2,3})\s*[-–—]\s*(\d{2,3})\s+refer to the following"
+    num = lambda i: F.element_at(F.regexp_extract_all("before", F.lit(header), F.lit(i)), -1).cast("int")
+    below = F.element_at(F.split("before", header), -1)
+    ordinal = F.size(F.split(below, BLANK)) - 1
+    lab = lambda c, pat: F.nullif(F.regexp_extract(c, pat, 1), F.lit("")).cast("int")
+    found = at.where(F.size(F.regexp_extract_all("before", F.lit(header), F.lit(1))) > 0).select(
+        "sent_id", num(1).alias("lo"), num(2).alias("hi"), ordinal.alias("k"), lab(F.col("behind"), r"^\D{0,3}(\d{3})[.)]").alias("l1"), lab(F.col("before"), r"(\d{3})[.)]\s*$").alias("l2")
+    )
+    fits = lambda c: F.when(F.col(c).between(F.col("lo"), F.col("hi")), F.col(c))
+    q = F.coalesce(fits("l1"), fits("l2"), F.when(F.col("lo") + F.col("k") <= F.col("hi"), F.col("lo") + F.col("k")))
+    return found.select("sent_id", q.cast("bigint").alias("q_number")).where("q_number is not null")
+
+
+def reading_order(blocks: DataFrame, gutter: float = 280.0) -> DataFrame:
+    """(page, place, text): blocks (page, x0, y0, text) of two-column pages, left column first, from top to bottom."""
+    w = Window.partitionBy("page").orderBy((F.col("x0") >= gutter).cast("int"), "y0", "x0")
+    return blocks.select("page", F.row_number().over(w).cast("bigint").alias("place"), "text")
+
+
+def entry_blocks(rows: DataFrame, is_head: Column) -> DataFrame:
+    """(id, block, head, n_lines, gloss): lines (id, line_no, line) cut where an entry
+    begins; the first line with Hangul is its gloss. Lines above the first entry are left out."""
+    w = Window.partitionBy("id").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
+    b = rows.withColumn("block", F.sum(F.coalesce(is_head, F.lit(False)).cast("int")).over(w)).where("block > 0")
+    hangul = F.col("line").rlike("[\\x{AC00}-\\x{D7A3}]")
+    return b.groupBy("id", "block").agg(
+        F.min_by("line", "line_no").alias("head"), F.count("*").alias("n_lines"), F.min_by("line", F.when(hangul, F.col("line_no"))).alias("gloss")
+    )

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text
+from ..functions.sql import register
 from ..functions.lexicon import CATEGORIES, FAMILY_RULES, LEMMA_ENDINGS, MIN_STEM, PATTERN_MARKERS, PHRASE_PREPOSITIONS, PHRASE_STOP_WORDS, PLACEHOLDERS, POOLED_CATEGORIES, POS_NAMES, POS_SHORT
-from ..operators import cards, exams, matching, patches, quality
+from ..operators import cards, exams, matching, passages, patches, quality
 from ..operators import reports as r
 from ..session import table
 from . import texts
@@ -37,6 +38,19 @@ def _ex(s, d):
     return r.examples(entries(s, d))
 
 
+def _resolved(s, d):
+    """Blanked lines of the passages, looked up again by their context."""
+    p = _all("passages")(s, d)
+    rows = passages.lines(p).where("line rlike '-{5,}' and header_from is null")
+    return passages.resolve_blanks(rows.select(F.concat_ws(":", "id", "line_no").alias("sent_id"), "id", F.col("line").alias("sentence")), p)
+
+
+def _sql_functions(s, d):
+    register(s)
+    _ex(s, d).createOrReplaceTempView("lw_examples")
+    return s.sql("SELECT word, count(DISTINCT lw_dedupe_key(sentence)) AS n_texts, sum(size(lw_tokens(lw_unbold(sentence)))) AS n_tokens FROM lw_examples GROUP BY word")
+
+
 def queries() -> dict:
     allq, allv = _all("questions"), _all("vocab")
     ev = lambda s, d: table(s, d, "events")
@@ -94,6 +108,14 @@ def queries() -> dict:
         "page_links": lambda s, d: cards.page_links(cards.pages(allv(s, d))),
         "page_front_matter": lambda s, d: cards.front_matter(cards.pages(allv(s, d))),
         "page_quote_blocks": lambda s, d: cards.quote_blocks(cards.pages(allv(s, d))),
+        "majority_pos": lambda s, d: cards.majority_pos(allv(s, d)),
+        "volume_histogram": lambda s, d: cards.volume_histogram(_ex(s, d)),
+        "chosen_vocab": lambda s, d: exams.chosen(allv(s, d), day=[1, 2, 3], level=["800", "900"]).select("id", "day", "level"),
+        "wrong_answers": lambda s, d: exams.wrong_answers(resp(s, d), "error").groupBy("user_id").agg(F.count("*").alias("n")),
+        "exam_payload": lambda s, d: exams.exam_payload(questions(s, d)).select("id", F.get_json_object("payload", "$.choices.A").alias("a"), F.get_json_object("payload", "$.answer").alias("answer")),
+        "graded_sheet": lambda s, d: exams.graded_sheet(questions(s, d), questions(s, d).select("id", F.when(F.col("question_number") % 2 == 0, F.col("answer")).otherwise("A").alias("user_answer"))),
+        "resolved_blanks": _resolved,
+        "sql_functions": _sql_functions,
     }
 
 
@@ -247,4 +269,12 @@ def oracle_sql() -> dict[str, str]:
         "page_links": rf"SELECT DISTINCT id, target FROM (SELECT id, unnest(regexp_extract_all(content, '\[\[([^\]|]+)\]\]', 1)) AS target FROM {page})",
         "page_front_matter": f"SELECT id, nullif({strip('word')}, '') AS word, day, nullif(level, '') AS level FROM {V}",
         "page_quote_blocks": f"SELECT id, 1::BIGINT AS n_quotes FROM {V}",
+        "majority_pos": f"SELECT word, pos FROM (SELECT {WORD} AS word, id, unnest(list_distinct({pos})) AS pos FROM {V}) GROUP BY word, pos QUALIFY row_number() OVER (PARTITION BY word ORDER BY count(*) DESC, min(id), pos) = 1",
+        "volume_histogram": f"SELECT coalesce(volume, try_cast(nullif(regexp_extract(source, '(?i)vol[^0-9]*([0-9]+)', 1), '') AS INT)) AS volume, count(*) AS n FROM {EXAMPLES} GROUP BY 1",
+        "chosen_vocab": f"SELECT id, day, level FROM {V} WHERE day IN (1, 2, 3) AND level IN ('800', '900')",
+        "wrong_answers": f"SELECT user_id, count(*) AS n FROM {resp} WHERE NOT is_correct AND category = 'error' GROUP BY 1",
+        "exam_payload": f"SELECT id, choices['A'] AS a, answer FROM {LIVE_Q}",
+        "graded_sheet": f"SELECT category, count(*) AS total, count(*) FILTER (is_correct) AS correct, {rate} AS rate FROM (SELECT c.category, coalesce(CASE WHEN q.question_number % 2 = 0 THEN q.answer ELSE 'A' END = q.answer, false) AS is_correct FROM {LIVE_Q} q JOIN ({cls}) c USING (id) WHERE q.answer IS NOT NULL) GROUP BY category",
+        "resolved_blanks": f"WITH {texts._CARRIED}, m AS (SELECT *, sum(len(string_split(line, '-------')) - 1) OVER (PARTITION BY id, q_from ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS k FROM c WHERE header_from IS NULL) SELECT id || ':' || line_no AS sent_id, (q_from + coalesce(k, 0))::BIGINT AS q_number FROM m WHERE contains(line, '-------') AND q_from + coalesce(k, 0) <= q_to",
+        "sql_functions": rf"SELECT word, count(DISTINCT lower({white('replace(sentence, ' + repr('**') + ', ' + repr('') + ')')})) AS n_texts, sum(len(regexp_extract_all(regexp_replace(regexp_replace(sentence, '\*\*(.+?)\*\*', '\1', 'g'), '-{{2,}}', ' ', 'g'), '[a-zA-Z]+')))::BIGINT AS n_tokens FROM {EXAMPLES} GROUP BY word",
     } | {"chunk_batches": "SELECT batch_id, count(*) AS n, min(entry_id) AS first_id, max(entry_id) AS last_id FROM (SELECT ((row_number() OVER (ORDER BY entry_id) - 1) // 80 + 1)::BIGINT AS batch_id, entry_id FROM (SELECT DISTINCT entry_id FROM word_ets_examples)) GROUP BY batch_id"}

@@ -177,3 +177,32 @@ def test_column_pruning_reaches_the_scan(spark, sf):
     plan = records.queries()["p4_found"](spark, sf)._jdf.queryExecution().executedPlan().toString()
     schema = [x for x in plan.split("ReadSchema: ")[1:]]
     assert schema and all("sentence" not in x.split("\n")[0] for x in schema)
+
+
+def test_resolve_blanks_by_context_and_label(spark):
+    from lexweave.operators import passages
+
+    body = "Questions 141-144 refer to the following letter.\nDear guest, we are glad to ------- you here.\nThe hall is 144. ------- today for all of the members.\nQuestions 145-146 refer to the following memo.\nStaff should ------- early on every Monday morning."
+    p = spark.createDataFrame([("p", body)], "id string, raw_text string")
+    s = spark.createDataFrame(
+        [("a", "p", "Dear guest, we are **glad** to ------- you here."), ("b", "p", "The hall is 144. ------- today for all of the members."), ("c", "p", "x ------- early on every Monday morning."), ("d", "p", "no blank"), ("e", "p", "unknown words stand here ------- and nowhere else at all")],
+        "sent_id string, id string, sentence string",
+    )
+    assert {tuple(r) for r in passages.resolve_blanks(s, p).collect()} == {("a", 141), ("b", 144), ("c", 145)}
+
+
+def test_reading_order_and_entry_blocks(spark):
+    from lexweave.functions import pages
+    from lexweave.operators import passages
+
+    b = spark.createDataFrame([(1, 300.0, 5.0, "c"), (1, 10.0, 50.0, "b"), (1, 20.0, 5.0, "a")], "page int, x0 double, y0 double, text string")
+    assert [r["text"] for r in passages.reading_order(b).orderBy("place").collect()] == ["a", "b", "c"]
+    lines = ["머리말", "schedule ★", "[skedʒul]", "일정", "approve", "승인하다"]
+    rows = spark.createDataFrame([("p", i, x) for i, x in enumerate(lines)], "id string, line_no int, line string")
+    got = [(r["head"], r["n_lines"], r["gloss"]) for r in passages.entry_blocks(rows, pages.is_headword(F.col("line"))).orderBy("block").collect()]
+    assert got == [("schedule ★", 3, "일정"), ("approve", 2, "승인하다")]
+
+
+def test_majority_takes_the_first_of_equals(spark):
+    v = spark.createDataFrame([("h3", "go", "noun"), ("h1", "Go", "verb"), ("h2", "go", "noun"), ("h0", "go", "verb")], "id string, word string, pos string")
+    assert [tuple(r) for r in cards.majority_pos(v).collect()] == [("go", "verb")]
