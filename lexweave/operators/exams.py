@@ -52,7 +52,7 @@ def stratified_sample(questions: DataFrame, count: int, seed: str = "7") -> Data
     q = questions.select("id", classify.classify_choices(F.col("choices")).alias("category"))
     plan = allocation(category_sizes(questions), count).where("alloc > 0").select("category", "alloc")
     rank = F.row_number().over(Window.partitionBy("category").orderBy(stable_order("id", F.lit(seed)), "id"))
-    return q.join(F.broadcast(plan), "category").withColumn("r", rank).where("r <= alloc").select("category", "id")  # a row per category
+    return q.join(F.broadcast(plan), "category").withColumn("r", rank).where(F.col("r") <= count).where("r <= alloc").select("category", "id")  # a row per category
 
 
 def balanced_sample(vocab: DataFrame, count: int, seed: str = "7") -> DataFrame:
@@ -60,7 +60,8 @@ def balanced_sample(vocab: DataFrame, count: int, seed: str = "7") -> DataFrame:
     v = vocab.select("id", F.coalesce("day", F.lit(0)).alias("day"), stable_order("id", F.lit(seed)).alias("o"))
     days = v.agg(F.count_distinct("day")).scalar()
     per_day = F.greatest(F.lit(1), F.floor(F.lit(count) / days))
-    ranked = v.withColumn("r", F.row_number().over(Window.partitionBy("day").orderBy("o", "id"))).withColumn("rest", (F.col("r") > per_day).cast("int"))
+    # no day gives more than ``count`` rows, so no more of them leave a task
+    ranked = v.withColumn("r", F.row_number().over(Window.partitionBy("day").orderBy("o", "id"))).where(F.col("r") <= count).withColumn("rest", (F.col("r") > per_day).cast("int"))
     return ranked.orderBy("rest", "o", "id").limit(count).select("id", "day", (F.col("rest") == 1).alias("filled"))
 
 

@@ -179,13 +179,12 @@ def word_documents(ex: DataFrame) -> DataFrame:
     """
     once = keep_first(ex, text.dedupe_key(F.col("sentence")), ["ex_id"])
     order = F.struct(F.coalesce("volume", F.lit(0)).alias("a"), F.coalesce("test", F.lit(0)).alias("b"), F.coalesce("part", F.lit(0)).alias("c"), F.coalesce("question_number", F.lit(0)).alias("d"), F.col("ex_id").alias("e"))
+    counts = once.groupBy("word").agg(F.count("*").alias("total_count"), F.array_join(F.array_sort(F.collect_set(F.col("part").cast("string"))), ",").alias("parts"))
     rank = F.row_number().over(Window.partitionBy("word").orderBy(order))
-    ranked = once.select("word", "part", F.trim("source").alias("source"), order.alias("o"), rank.alias("r"))
-    return ranked.groupBy("word").agg(
-        F.count("*").alias("total_count"),
-        F.array_join(F.array_sort(F.collect_set(F.col("part").cast("string"))), ",").alias("parts"),
-        F.array_join(F.transform(F.sort_array(F.collect_list(F.when(F.col("r") <= 3, F.struct("o", "source")))), lambda x: x["source"]), ";").alias("first_sources"),
-    )
+    # at most three rows of a word pass the limit, and already before the shuffle
+    top = once.select("word", F.trim("source").alias("source"), order.alias("o"), rank.alias("r")).where("r <= 3")
+    firsts = top.groupBy("word").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("o", "source"))), lambda x: x["source"]), ";").alias("first_sources"))
+    return counts.join(firsts, "word").select("word", "total_count", "parts", "first_sources")
 
 
 def chapter_map(vocab: DataFrame, group: str = "day") -> DataFrame:
