@@ -81,8 +81,8 @@ def unclosed(text: str) -> bool:
     stack = [s for s in stack if s != "’"]
     if text.count('"') % 2 and not text.rstrip().endswith('"'):
         stack.append('"')
-    broken = re.search(r"�$|\\u[0-9a-fA-F]{0,3}$|\\$|&[a-z]{1,6}$|&#\d*$|[\ud800-\udbff]$|(?<!\*)\*$|<[a-z/]*$", text.rstrip())
-    return bool(stack) or bool(broken)
+    broken = re.search(r"�$|\\u[0-9a-fA-F]{0,3}$|\\$|&[a-z]{1,6}$|&#\d*$|[\ud800-\udbff]$|<[a-z/]*$", text.rstrip())
+    return bool(stack) or bool(broken) or text.replace("**", "").count("*") % 2 == 1
 
 
 @dataclass

@@ -73,7 +73,7 @@ def test_is_cut(noise, text, cut):
     assert cuts.is_cut("f", "s", text, BASE, noise) is cut
 
 
-@pytest.mark.parametrize("text, is_open", [("a **b", True), ("a **b** (c)", False), ("“a", True), ("‘a b’", False), ('say "x', True), ("a\\u00e", True), ("ok", False)])
+@pytest.mark.parametrize("text, is_open", [("a **b", True), ("a **b** (c)", False), ("“a", True), ("‘a b’", False), ('say "x', True), ("a\\u00e", True), ("ok", False), ("in *June*", False), ("by Foods *", True), ("2 * 3 * 4", False)])
 def test_stack(text, is_open):
     assert cuts.unclosed(text) is is_open
 
