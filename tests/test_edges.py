@@ -206,3 +206,16 @@ def test_reading_order_and_entry_blocks(spark):
 def test_majority_takes_the_first_of_equals(spark):
     v = spark.createDataFrame([("h3", "go", "noun"), ("h1", "Go", "verb"), ("h2", "go", "noun"), ("h0", "go", "verb")], "id string, word string, pos string")
     assert [tuple(r) for r in cards.majority_pos(v).collect()] == [("go", "verb")]
+
+
+def test_outside_function_in_batches(spark):
+    from lexweave.operators import external
+
+    rows = spark.createDataFrame([(i, "noun") for i in range(130)], "id long, pos string")
+    done = spark.createDataFrame([(1,), (1,), (2,)], "id long")
+    left = external.pending(rows, done, "id")
+    assert left.count() == 128
+    replies = external.in_batches(left, lambda p: p.assign(pos="verb", n=len(p)), "id long, pos string, n long", size=50, workers=2)
+    assert replies.agg(F.max("n")).first()[0] <= 50
+    merged = external.merge_replies(rows, replies.select("id", "pos"), "id", "pos")
+    assert {(r["pos"], r["count"]) for r in merged.groupBy("pos").count().collect()} == {("verb", 128), ("noun", 2)}
