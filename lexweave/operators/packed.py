@@ -66,15 +66,15 @@ def delimiter_scores(values: DataFrame, candidates: Sequence[str] = CANDIDATES)
     more, as many as there are delimiters around them, give or take stray
     ones at the ends) and regular (all pieces are of one type).
     """
+    rows = values.where("value is not null").withColumn("outside", F.regexp_replace("value", _SHIELD, ""))
     checks = []
     for c in candidates:
         pieces = split_outside(F.col("value"), [c])
-        ok = (F.size(pieces) >= 2) & (F.size(F.array_distinct(F.transform(pieces, _kind))) == 1)
-        has = F.length(F.regexp_replace(F.col("value"), _SHIELD, "")) != F.length(F.translate(F.regexp_replace(F.col("value"), _SHIELD, ""), c, ""))
-        stray = F.size(pieces) < 2  # the candidate only at an end: says nothing
-        checks.append(F.when(has & ~stray, F.struct(F.lit(c).alias("delimiter"), ok.cast("int").alias("ok"))))
-    rows = values.where("value is not null").select("source", F.explode(F.array_compact(F.array(*checks))).alias("c"))
-    return rows.groupBy("source", F.col("c.delimiter").alias("delimiter")).agg(F.count("*").alias("n"), F.avg("c.ok").alias("score"))
+        # a candidate that only stands at an end says nothing
+        seen = F.when(F.col("outside").contains(c), F.struct(F.lit(c).alias("delimiter"), F.size(pieces).alias("k"), F.size(F.array_distinct(F.transform(pieces, _kind))).alias("kinds")))
+        checks.append(seen)
+    found = rows.select("source", F.explode(F.array_compact(F.array(*checks))).alias("c")).where("c.k >= 2")
+    return found.groupBy("source", F.col("c.delimiter").alias("delimiter")).agg(F.count("*").alias("n"), F.avg((F.col("c.kinds") == 1).cast("int")).alias("score"))
 
 
 def accepted_delimiters(values: DataFrame, candidates: Sequence[str] = CANDIDATES, min_score: float = MIN_SCORE) -> dict[str, list[str]]:
