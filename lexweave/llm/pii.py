@@ -34,8 +34,9 @@ _LOCAL = r"[A-Za-z0-9](?:[A-Za-z0-9._%+\-]*[A-Za-z0-9])?"
 _AT = r"(?:@|\s?[\[(<{]\s?at\s?[\])>}]\s?|\s+at\s+(?=[A-Za-z0-9\-]+\s+dot\s))"
 _DOT = r"(?:\.|\s?[\[(<{]\s?dot\s?[\])>}]\s?|\s+dot\s+)"
 EMAIL = re.compile(rf"(?<![A-Za-z0-9._%+\-]){_LOCAL}{_AT}[A-Za-z0-9][A-Za-z0-9\-]*(?:{_DOT}[A-Za-z0-9][A-Za-z0-9\-]*)+", re.I)
+_MAY_MAIL = re.compile(r"@|[\[(<{]\s?at\s?[\])>}]|\sdot\s", re.I)
 PHONE = re.compile(
-    r"(?<![\w.+\-/])(?:\+\d{1,3}(?:[ .\-]?\(?\d{1,4}\)?){2,4}|\(0?\d{1,4}\)[ \-]?\d{3,4}[ .\-]?\d{4}|0\d{1,3}[\-. ]\d{3,4}[\-. ]\d{4}|\d{3}[\-.]\d{3}[\-.]\d{4}|\d{3} \d{3} \d{4}|0\d{4} \d{6}|0\d{9,10})(?![\w]|[\-.]\d)"
+    r"(?<![\w.+\-/])(?:\+\d{1,3}(?:[ .\-]?\(?\d{1,4}\)?){2,3}|\(0?\d{1,4}\)[ \-]?\d{3,4}[ .\-]?\d{4}|0\d{1,3}[\-. ]\d{3,4}[\-. ]\d{4}|\d{3}[\-.]\d{3}[\-.]\d{4}|\d{3} \d{3} \d{4}|0\d{4} \d{6}|0\d{9,10})(?![\w]|[\-.]\d)"
 )
 ID_NUMBER = re.compile(r"(?<![\w\-.+])(?:\d{6}-\d{7}|\d{13}|\d{3}[\- ]\d{2}[\- ]\d{4}|[A-Z]{2}\d{7}|[A-Z]\d{7,8}[A-Z]?|[A-Z]\d{3}[A-Z]\d{4})(?![\w]|[\-.]\d)")
 ADDRESS = re.compile(
@@ -101,10 +102,17 @@ def _trim(text: str, start: int, end: int) -> tuple[int, int]:
 
 def spans(text: str) -> Iterator[tuple[str, int, int]]:
     """Candidate spans (kind, start, end) by form alone."""
-    for kind, patterns in (("email", (EMAIL,)), ("phone", (PHONE,)), ("id_number", (ID_NUMBER,)), ("address", (ADDRESS, ADDRESS_KO))):
-        for p in patterns:
-            for m in p.finditer(text):
-                yield kind, m.start(), m.end()
+    if _MAY_MAIL.search(text):
+        for m in EMAIL.finditer(text):
+            yield "email", m.start(), m.end()
+    for kind, p in (("phone", PHONE), ("id_number", ID_NUMBER), ("address", ADDRESS), ("address", ADDRESS_KO)):
+        for m in p.finditer(text):
+            yield kind, m.start(), m.end()
+    yield from name_spans(text)
+
+
+def name_spans(text: str) -> Iterator[tuple[str, int, int]]:
+    """Candidate names."""
     at = 0
     while m := NAME.search(text, at):  # a known word before a name is dropped, and the search goes on behind it
         a, z = _trim(text, m.start(), m.end())
@@ -185,10 +193,9 @@ def learn_words(texts: DataFrame) -> tuple[dict[str, int], dict[str, int], dict[
         for b in batches:
             for t in b.column(0).to_pylist():
                 words.update(re.findall(r"(?<![A-Za-z'’@.\-_+=0-9])[a-z]{2,}(?![A-Za-z@\-_+0-9]|\.[a-z]|\s?[\[(]at)|[가-힣]+", t))
-                for kind, s, e in spans(t):
-                    if kind == "name":
-                        strong = _STRONG_NAME.search(t[max(0, s - 60) : s])
-                        (names if strong else others).update({p.lower() for p in _parts(t[s:e])})
+                for _, s, e in name_spans(t):
+                    strong = _STRONG_NAME.search(t[max(0, s - 60) : s])
+                    (names if strong else others).update({p.lower() for p in _parts(t[s:e])})
             if len(words) + len(others) > 200_000:
                 yield from flush()
         yield from flush()
@@ -280,15 +287,30 @@ def decide(cands: DataFrame) -> dict[str, bool]:
     return out
 
 
+def _free(spans_of_text: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
+    """Spans that overlap none before them in the order of ``KINDS``, then of place."""
+    kept: list[tuple[str, int, int]] = []
+    for kind, s, e in sorted(set(spans_of_text), key=lambda x: (KINDS.index(x[0]), x[1], x[2])):
+        if all(e <= a or z <= s for _, a, z in kept):
+            kept.append((kind, s, e))
+    return sorted(kept, key=lambda x: x[1])
+
+
+def learn(documents: DataFrame):
+    """What the whole corpus tells: (counts of words and names, verdict by kind and votes)."""
+    texts = documents.select(F.col("doc_id").cast("bigint"), "text").where("text is not null and text <> ''")
+    learned = learn_words(texts)
+    cands = materialise(candidates(texts, *learned), "p10-candidates")
+    return learned, decide(cands), cands
+
+
 def find_spans(documents: DataFrame) -> DataFrame:
     """(doc_id, kind, start, end, found_text) of personal information.
 
     Overlapping spans are settled per document in the order of ``KINDS``.
     Null and empty texts hold none.
     """
-    texts = documents.select(F.col("doc_id").cast("bigint"), "text").where("text is not null and text <> ''")
-    cands = materialise(candidates(texts, *learn_words(texts)), "p10-candidates")
-    verdict = decide(cands)
+    _, verdict, cands = learn(documents)
     yes = [k for k, ok in verdict.items() if ok]
     rank = F.array_position(F.array(*(F.lit(k) for k in KINDS)), F.col("kind"))
     kept = cands.where("doc_id is not null").where(F.concat_ws("|", "kind", "votes").isin(yes) if yes else F.lit(False))
@@ -310,18 +332,22 @@ def found(documents: DataFrame) -> DataFrame:
 def redact(documents: DataFrame) -> DataFrame:
     """(doc_id, text) with typed placeholders in place of personal information.
 
-    Documents without any keep their text; null stays null.
+    The texts are read again rather than joined with their spans, so that no
+    text is shuffled. Documents without any keep their text; null stays null.
     """
-    per_doc = find_spans(documents).groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("start", "end", "kind"))).alias("_spans"))
+    learned, verdict, _ = learn(documents)
+    shared = documents.sparkSession.sparkContext.broadcast((learned, verdict))
 
     def run(batches):
+        learned, verdict = shared.value
         for b in batches:
             out = []
-            for t, ss in zip(b.column(1).to_pylist(), b.column(2).to_pylist()):
-                for s in reversed(ss or []):
-                    t = t[: s["start"]] + PLACEHOLDERS[s["kind"]] + t[s["end"] :]
+            for t in b.column(1).to_pylist():
+                if t:
+                    good = [(k, s, e) for k, s, e in spans(t) if verdict.get(f"{k}|" + ",".join(map(str, votes(k, t, s, e, *learned))))]
+                    for kind, s, e in reversed(_free(good)):
+                        t = t[:s] + PLACEHOLDERS[kind] + t[e:]
                 out.append(t)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.string())], names=["doc_id", "text"])
 
-    both = documents.select(F.col("doc_id").cast("bigint"), "text").join(per_doc, "doc_id", "left")
-    return both.mapInArrow(run, "doc_id bigint, text string")
+    return documents.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(run, "doc_id bigint, text string")
