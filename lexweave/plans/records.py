@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from ..operators import nested, orphans, packed, salted
-from ..session import table
+from ..session import spread, table
 from .sql import WORD
 
 
@@ -26,7 +26,7 @@ def _flat(tag):
     """A flat table of raw files and typed entries together, from one written emission."""
 
     def run(spark, sf):
-        tagged = nested.flatten_payloads(table(spark, sf, "word_ets_examples_raw")).select("*")
+        tagged = nested.flatten_payloads(spread(table(spark, sf, "word_ets_examples_raw")))
         rows = tagged.unionByName(nested.flatten_entries(table(spark, sf, "word_ets_examples")).select(*tagged.columns))
         return nested.read_flat(spark, nested.write_tagged(rows), tag)
 
@@ -37,7 +37,7 @@ def queries() -> dict:
     return {
         "p1_found": _t(_REF, _orphans),
         "p1_report": _t(_REF, _report),
-        "p2_found": _t(("word_ets_examples_raw",), lambda r: nested.children(nested.flatten_payloads(r))),
+        "p2_found": _t(("word_ets_examples_raw",), lambda r: nested.children(nested.flatten_payloads(spread(r)))),
         "p2_words": _flat("word"),
         "p2_examples": _flat("example"),
         "p2_parts": _flat("part"),
