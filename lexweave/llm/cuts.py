@@ -185,6 +185,6 @@ def cut_shares(entries: DataFrame, questions: DataFrame) -> DataFrame:
     """(field_name, feed, n_texts, n_cut, share) per source."""
     texts = cut_texts(entries, questions).groupBy("field_name", "feed").agg(F.count_distinct("record_id").alias("n_texts"))
     cut = find_cuts(entries, questions).where("is_cut").groupBy("field_name", "feed").agg(F.count_distinct("record_id").alias("n_cut"))
-    both = texts.alias("t").join(F.broadcast(cut).alias("c"), (F.col("t.field_name") == F.col("c.field_name")) & F.col("t.feed").eqNullSafe(F.col("c.feed")), "left")
+    both = texts.alias("t").join(cut.alias("c"), (F.col("t.field_name") == F.col("c.field_name")) & F.col("t.feed").eqNullSafe(F.col("c.feed")), "left")
     n = F.coalesce("n_cut", F.lit(0)).cast("bigint")
     return both.select("t.field_name", "t.feed", "n_texts", n.alias("n_cut"), (n / F.col("n_texts")).alias("share"))
