@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from ..operators import nested, orphans, packed, salted
 from ..session import spread, table
+from . import records_sql
 from .sql import WORD
 
 
@@ -61,6 +62,8 @@ def oracle_sql() -> dict[str, str]:
     return {
         "p1_found": f"WITH {_REFS} SELECT * FROM found WHERE reason IS NOT NULL",
         "p1_report": f"WITH {_REFS} SELECT ref_table, load_month, reason, count(*) AS n_refs, count(DISTINCT ref_id) AS n_targets FROM found WHERE reason IS NOT NULL GROUP BY ALL",
+        "p2_found": records_sql.CHILDREN,
+        "p5_found": records_sql.packed(),
         "p4_found": f"WITH {_TOTALS} SELECT * FROM totals",
         "p4_with_vocab": f"""WITH {_TOTALS}, v AS (SELECT {WORD} AS word, count(DISTINCT id) AS n_vocab_ids, count(DISTINCT day) AS n_days FROM vocab GROUP BY 1)
           SELECT word, coalesce(n_entries, 0) AS n_entries, coalesce(n_examples, 0) AS n_examples, coalesce(n_vocab_ids, 0) AS n_vocab_ids, coalesce(n_days, 0) AS n_days FROM totals FULL JOIN v USING (word)""",
