@@ -13,8 +13,8 @@ WHITE = r"[ \t\n\r\x0B\f]"
 
 
 def strip(text: Column | str) -> Column:
-    """Without white space at either end."""
-    return F.regexp_replace(text, rf"^{WHITE}+|{WHITE}+$", "")
+    """Without white space at either end (the look-behind keeps long runs linear)."""
+    return F.regexp_replace(text, rf"^{WHITE}+|(?<!{WHITE}){WHITE}+$", "")
 
 
 def collapse(text: Column | str) -> Column:

@@ -178,7 +178,7 @@ def apply_schema(tagged: DataFrame, tag: str) -> DataFrame:
 def children(tagged: DataFrame) -> DataFrame:
     """(raw_id, word, child_kind, pos, child_text): an example's source or the part's number."""
     text = F.when(
-        F.col("tag") == "example", F.regexp_replace(F.coalesce(F.get_json_object("payload", "$.source"), F.lit("")), r"(?U)^\s+|\s+$", "")
+        F.col("tag") == "example", F.regexp_replace(F.coalesce(F.get_json_object("payload", "$.source"), F.lit("")), r"(?U)^\s+|(?<!\s)\s+$", "")
     ).otherwise(F.get_json_object("payload", "$.part"))
     return (
         tagged.where(F.col("tag").isin("example", "part"))

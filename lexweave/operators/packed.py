@@ -32,7 +32,7 @@ def _numbered(text: Column) -> Column:
 
 def _tidy(piece: Column) -> Column:
     """Piece without outer blanks and surrounding quotes."""
-    blank = r"(?U)^\s+|\s+$"
+    blank = r"(?U)^\s+|(?<!\s)\s+$"
     bare = F.regexp_replace(piece, blank, "")
     return F.regexp_replace(F.regexp_replace(bare, r'^(?:"([^"]*+)"|“([^”]*+)”|「([^」]*+)」)$', "$1$2$3"), blank, "")
 

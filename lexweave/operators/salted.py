@@ -42,7 +42,7 @@ def salted_distinct_totals(
 
 def word_key(word: Column) -> Column:
     """Word without outer blanks, in lower case."""
-    return F.lower(F.regexp_replace(word, r"(?U)^\s+|\s+$", ""))
+    return F.lower(F.regexp_replace(word, r"(?U)^\s+|(?<!\s)\s+$", ""))
 
 
 def word_totals(entries: DataFrame) -> DataFrame:
