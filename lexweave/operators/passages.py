@@ -16,7 +16,7 @@ SKIP_LINE = r"(?i)^\s*(?:\(?[A-D]\)|\d{3}\.|page \d|part \d|questions? \d|[-—\
 
 def lines(passages: DataFrame) -> DataFrame:
     """(id, line_no, line, header_from, header_to): non-empty lines; headers with their question range."""
-    rows = passages.select("id", F.posexplode(F.split("raw_text", "\n")).alias("line_no", "line")).where(text.strip(F.col("line")) != "")
+    rows = passages.select("id", F.posexplode(F.split("raw_text", "\n")).alias("line_no", "line")).where(text.strip(F.col("line")) != "").withColumn("line_no", F.col("line_no").cast("bigint"))
     num = lambda i: F.expr(f"try_cast(nullif(regexp_extract(line, '{HEADER}', {i}), '') as int)".replace("\\", "\\\\"))
     return rows.withColumn("header_from", num(1)).withColumn("header_to", num(2))
 
