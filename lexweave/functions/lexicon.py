@@ -1,6 +1,6 @@
 """Default word lists. Every function takes its list as a parameter."""
 
-# They must equal the usual ones for equal results.
+# Fixed values, here and below: they must equal the usual ones for equal results.
 STOP_WORDS = (
     "the a an is are was were be been being have has had do does did will would shall should can could may might must "
     "to of in for on with at by from as into through during before after above below between out off over under again "
@@ -42,6 +42,7 @@ CONJUNCTIONS = (
 ).split()
 AUXILIARIES = "was were is are am has have had will would shall should can could may might must be been being".split()
 COMPARATIVES = "more most less least better best worse worst further furthest farther farthest higher lower greater lesser".split()
+# Question categories, and the keywords of their labels.
 CATEGORIES = ["품사", "동사시제/태", "접속사/전치사", "관계대명사", "어휘", "대명사", "비교급/최상급", "기타문법"]
 CATEGORY_KEYWORDS = {
     "품사": ["명사 자리", "형용사 자리", "부사 자리", "명사자리", "형용사자리", "부사자리", "품사"],
@@ -54,31 +55,31 @@ CATEGORY_KEYWORDS = {
     "기타문법": ["한정사", "수량 형용사", "수량형용사", "숫자"],
 }
 OTHER_CATEGORY = "기타문법"
-# suffix -> endings that take its place
+# Word families, an ending and what may take its place.
 FAMILY_RULES = [
-    ("e", "ion tion ation er or ment ence ance ed es ing ings"),
-    ("", "ion tion ation ment ence ance er or ness ity al ous ive able ible ful ly s es ed ing ings"),
-    ("tion", "t te tive tional tionally"),
-    ("sion", "de se sive sional"),
-    ("ment", "- al ally"),
-    ("ness", "- less ful fully"),
-    ("ity", "- ous ize ization"),
-    ("ly", "- ness ful"),
-    ("ing", "- e ed er ion tion ment"),
-    ("ed", "- e ing er ion tion ment"),
-    ("er", "- e ing ed ion tion"),
-    ("ous", "- ness ly"),
-    ("ive", "- ness ly ity"),
-    ("able", "- ness bly ility"),
-    ("ible", "- ness bly ility"),
-    ("al", "- ly ize ism"),
-    ("ful", "- ly ness"),
+    ("e", ["ion", "tion", "ation", "er", "or", "ment", "ence", "ance", "ed", "es", "ing", "ings"]),
+    ("", ["ion", "tion", "ation", "ment", "ence", "ance", "er", "or", "ness", "ity", "al", "ous", "ive", "able", "ible", "ful", "ly", "s", "es", "ed", "ing", "ings"]),
+    ("tion", ["t", "te", "tive", "tional", "tionally"]),
+    ("sion", ["de", "se", "sive", "sional"]),
+    ("ment", ["", "al", "ally"]),
+    ("ness", ["", "less", "ful", "fully"]),
+    ("ity", ["", "ous", "ize", "ization"]),
+    ("ly", ["", "ness", "ful"]),
+    ("ing", ["", "e", "ed", "er", "ion", "tion", "ment"]),
+    ("ed", ["", "e", "ing", "er", "ion", "tion", "ment"]),
+    ("er", ["", "e", "ing", "ed", "ion", "tion"]),
+    ("ous", ["", "ness", "ly"]),
+    ("ive", ["", "ness", "ly", "ity"]),
+    ("able", ["", "ness", "bly", "ility"]),
+    ("ible", ["", "ness", "bly", "ility"]),
+    ("al", ["", "ly", "ize", "ism"]),
+    ("ful", ["", "ly", "ness"]),
 ]
 MIN_STEM = 3
-# endings that the fallback lemmatiser strips, in this order
+# Endings that the fallback lemmatiser strips, in this order.
 LEMMA_ENDINGS = "tion sion ment ness ity ing ed er est ous ive able ible al ly ful".split()
 DEFAULT_ENDINGS = "s es ed ing er ers est ly ment ments tion tions ness al ive ity".split()
-# part of speech by ending, the first that fits
+# Part of speech by ending, the first that fits.
 SUFFIX_POS = [
     ("noun", "ement ament ation ition iness"),
     ("adverb", "ously ively fully ially ently antly arily"),
@@ -94,7 +95,7 @@ SUFFIX_POS = [
     ("noun", "er or"),
     ("adjective", "al"),
 ]
-# part of speech by the Korean gloss, the first pattern that is found
+# Part of speech by the Korean gloss, the first pattern that is found.
 GLOSS_POS = [
     ("verb", r"다\s*$|시키다"),
     ("adjective", r"적인|스러운|있는|없는|같은|로운\s*$|다운\s*$"),
@@ -102,8 +103,10 @@ GLOSS_POS = [
     ("preposition", r"에도\s*불구하고|동안에?\s*$"),
     ("conjunction", r"때문에"),
 ]
+# Parts of speech, blank mark, question numbers of the parts.
 POS_NAMES = "noun verb adjective adverb preposition conjunction pronoun phrase".split()
 POS_SHORT = {"n.": "noun", "v.": "verb", "adj.": "adjective", "a.": "adjective", "adv.": "adverb", "ad.": "adverb", "prep.": "preposition", "conj.": "conjunction", "phr.": "phrase"}
 BLANK = "-------"
 EXAM_PARTS = {5: (101, 130), 6: (131, 146), 7: (147, 200)}
+# Rare categories that a sample pools.
 POOLED_CATEGORIES = ["기타문법", "관계대명사", "비교급/최상급"]

@@ -16,7 +16,7 @@ def family(word: Column) -> Column:
     parts = [F.array(w)]
     for suffix, endings in FAMILY_RULES:
         stem = F.substring(w, F.lit(1), F.length(w) - len(suffix)) if suffix else w
-        forms = F.array(*(stem if e == "-" else F.concat(stem, F.lit(e)) for e in endings.split()))
+        forms = F.array(*(F.concat(stem, F.lit(e)) for e in endings))
         fits = (F.length(stem) >= MIN_STEM) & (w.endswith(suffix) if suffix else F.lit(True))
         parts.append(F.when(fits, forms).otherwise(F.array().cast("array<string>")))
     return F.when(F.length(w) >= MIN_STEM, F.filter(F.array_distinct(F.concat(*parts)), lambda f: F.length(f) >= MIN_STEM)).otherwise(F.array().cast("array<string>"))

@@ -123,8 +123,8 @@ def _family(w: str, col: str, keep: str) -> str:
     """SQL union of a word family: rows (keep, form)."""
     parts = [f"SELECT {keep}, {col} AS form FROM {w} WHERE length({col}) >= 3"]
     for s, es in FAMILY_RULES:
-        for e in es.split():
-            parts.append(f"SELECT {keep}, left({col}, length({col}) - {len(s)}) || '{'' if e == '-' else e}' FROM {w} WHERE ends_with({col}, '{s}') AND length({col}) - {len(s)} >= {MIN_STEM}")
+        for e in es:
+            parts.append(f"SELECT {keep}, left({col}, length({col}) - {len(s)}) || '{e}' FROM {w} WHERE ends_with({col}, '{s}') AND length({col}) - {len(s)} >= {MIN_STEM}")
     return "(SELECT * FROM (" + " UNION ".join(parts) + ") WHERE length(form) >= 3)"
 
 

@@ -100,9 +100,9 @@ def oracle_sql() -> dict[str, str]:
     fam = " UNION ".join(
         ["SELECT word, word AS form FROM w WHERE length(word) >= 3"]
         + [
-            f"SELECT word, left(word, length(word) - {len(s)}) || '{'' if e == '-' else e}' FROM w WHERE ends_with(word, '{s}') AND length(word) - {len(s)} >= {MIN_STEM}"
+            f"SELECT word, left(word, length(word) - {len(s)}) || '{e}' FROM w WHERE ends_with(word, '{s}') AND length(word) - {len(s)} >= {MIN_STEM}"
             for s, es in FAMILY_RULES
-            for e in es.split()
+            for e in es
         ]
     )
     var = " UNION ".join(
