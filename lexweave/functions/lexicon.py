@@ -79,6 +79,21 @@ MIN_STEM = 3
 # Endings that the fallback lemmatiser strips, in this order.
 LEMMA_ENDINGS = "tion sion ment ness ity ing ed er est ous ive able ible al ly ful".split()
 DEFAULT_ENDINGS = "s es ed ing er ers est ly ment ments tion tions ness al ive ity".split()
+# Irregular plurals and verb forms.
+IRREGULAR = {
+    "woman": ["women"], "man": ["men"], "child": ["children"], "person": ["people"], "foot": ["feet"], "tooth": ["teeth"],
+    "mouse": ["mice"], "goose": ["geese"], "ox": ["oxen"], "analysis": ["analyses"], "criterion": ["criteria"],
+    "datum": ["data"], "phenomenon": ["phenomena"], "medium": ["media"], "index": ["indices"],
+    "buy": ["bought"], "sell": ["sold"], "tell": ["told"], "find": ["found"], "make": ["made"], "take": ["took", "taken"],
+    "give": ["gave", "given"], "come": ["came"], "go": ["went", "gone"], "know": ["knew", "known"], "think": ["thought"],
+    "bring": ["brought"], "teach": ["taught"], "catch": ["caught"], "run": ["ran", "run"], "begin": ["began", "begun"],
+    "write": ["wrote", "written"], "speak": ["spoke", "spoken"], "hold": ["held"], "build": ["built"], "send": ["sent"],
+    "spend": ["spent"], "lend": ["lent"], "lead": ["led"], "meet": ["met"], "feel": ["felt"], "keep": ["kept"],
+    "leave": ["left"], "lose": ["lost"], "pay": ["paid"], "say": ["said"], "hear": ["heard"], "read": ["read"],
+    "win": ["won"], "sit": ["sat"], "stand": ["stood"], "understand": ["understood"], "withdraw": ["withdrew", "withdrawn"],
+    "arise": ["arose", "arisen"], "drive": ["drove", "driven"], "prove": ["proved", "proven"], "rise": ["rose", "risen"],
+    "choose": ["chose", "chosen"], "freeze": ["froze", "frozen"],
+}
 # Part of speech by ending, the first that fits.
 SUFFIX_POS = [
     ("noun", "ement ament ation ition iness"),

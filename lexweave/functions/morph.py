@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .lexicon import DEFAULT_ENDINGS, FAMILY_RULES, LEMMA_ENDINGS, MIN_STEM, PHRASE_STOP_WORDS, SUFFIX_POS
+from .lexicon import DEFAULT_ENDINGS, FAMILY_RULES, IRREGULAR, LEMMA_ENDINGS, MIN_STEM, PHRASE_STOP_WORDS, SUFFIX_POS
 
 
 def family(word: Column) -> Column:
@@ -23,15 +23,17 @@ def family(word: Column) -> Column:
 
 
 def variants(word: Column) -> Column:
-    """Regular variants: y to ies, dropped e, doubled consonant, plain endings."""
+    """Variants: irregular forms, y to ies, dropped e, doubled consonant, plain endings."""
     w = F.lower(word)
     n = F.length(w)
     ends = lambda stem, es: F.array(*(F.concat(stem, F.lit(e)) for e in es.split()))
     none = F.array().cast("array<string>")
     stem = F.substring(w, F.lit(1), n - 1)
     last = F.right(w, F.lit(1))
+    irregular = F.create_map(*(x for k, v in IRREGULAR.items() for x in (F.lit(k), F.array(*map(F.lit, v)))))
     parts = [
         F.array(w),
+        F.coalesce(F.element_at(irregular, w), none),
         F.when(w.rlike("[^aeiou]y$") & (n > 2), ends(stem, "ies ied ier iest")).otherwise(none),
         F.when(w.endswith("e") & (n > 2), ends(stem, "ing ed er est ion ions")).otherwise(none),
         F.when(w.rlike("[^aeiou][aeiou][^aeiouywh]$"), ends(F.concat(w, last), "ing ed er")).otherwise(none),

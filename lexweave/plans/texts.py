@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import classify, morph, text
-from ..functions.lexicon import AUXILIARIES, CATEGORY_KEYWORDS, COMPARATIVES, CONJUNCTIONS, FAMILY_RULES, DEFAULT_ENDINGS, GLOSS_POS, LEMMA_ENDINGS, MIN_STEM, OTHER_CATEGORY, PHRASE_STOP_WORDS, PREPOSITIONS, PRONOUNS, RELATIVES, SUFFIX_POS
+from ..functions.lexicon import AUXILIARIES, CATEGORY_KEYWORDS, COMPARATIVES, CONJUNCTIONS, FAMILY_RULES, DEFAULT_ENDINGS, GLOSS_POS, IRREGULAR, LEMMA_ENDINGS, MIN_STEM, OTHER_CATEGORY, PHRASE_STOP_WORDS, PREPOSITIONS, PRONOUNS, RELATIVES, SUFFIX_POS
 from ..operators import passages as p
 from ..operators import reports as r
 from ..session import table
@@ -107,6 +107,7 @@ def oracle_sql() -> dict[str, str]:
     )
     var = " UNION ".join(
         ["SELECT word, word AS form FROM w"]
+        + [f"SELECT word, form FROM w JOIN (VALUES {', '.join(f'({k!r}, {x!r})' for k, v in IRREGULAR.items() for x in v)}) i(k, form) ON i.k = w.word"]
         + [f"SELECT word, word || '{e}' FROM w" for e in DEFAULT_ENDINGS]
         + [f"SELECT word, left(word, length(word) - 1) || '{e}' FROM w WHERE regexp_matches(word, '[^aeiou]y$') AND length(word) > 2" for e in "ies ied ier iest".split()]
         + [f"SELECT word, left(word, length(word) - 1) || '{e}' FROM w WHERE ends_with(word, 'e') AND length(word) > 2" for e in "ing ed er est ion ions".split()]

@@ -98,6 +98,7 @@ def test_phrases(spark):
 def test_word_forms(spark):
     df = spark.createDataFrame([("apply",), ("cat",), ("ab",), (None,)], "w string")
     got = {r[0]: r[1] for r in df.select("w", morph.family(F.col("w"))).collect()}
+    assert {"took", "taken", "taking"} <= set(spark.createDataFrame([("Take",)], "w string").select(morph.variants(F.col("w"))).first()[0])
     assert "applying" in got["apply"] and "cater" in got["cat"] and got["ab"] == []
 
 
