@@ -31,6 +31,16 @@ def batches(rows: DataFrame, order: list[str], size: int) -> DataFrame:
     return with_row_number(rows, order).withColumn("batch_id", F.ceil(F.col("row_no") / size))
 
 
+def chapter_map(vocab: DataFrame, size: int = 500) -> DataFrame:
+    """(day, page, n_words, words): the entries of each day in the order of their ids,
+    at most ``size`` to a page, so that a day of any size makes no large group.
+    Entries without a day come first, as day -1."""
+    v = vocab.select(F.coalesce("day", F.lit(-1)).alias("day"), "id", F.trim("word").alias("w"))
+    paged = batches(v, ["day", "id"], size).groupBy("day", F.col("batch_id").alias("page"))
+    words = F.transform(F.sort_array(F.collect_list(F.struct("row_no", "w"))), lambda s: s["w"])
+    return paged.agg(F.count("*").alias("n_words"), F.array_join(words, ",").alias("words"))
+
+
 def sequential_ids(vocab: DataFrame) -> DataFrame:
     """(id, new_id): ids counted in the order of day, word and old id."""
     v = vocab.select("id", F.coalesce("day", F.lit(0)).alias("d"), word_key(F.col("word")).alias("w"))

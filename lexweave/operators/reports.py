@@ -185,11 +185,3 @@ def word_documents(ex: DataFrame) -> DataFrame:
     top = once.select("word", F.trim("source").alias("source"), order.alias("o"), rank.alias("r")).where("r <= 3")
     firsts = top.groupBy("word").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("o", "source"))), lambda x: x["source"]), ";").alias("first_sources"))
     return counts.join(firsts, "word").select("word", "total_count", "parts", "first_sources")
-
-
-def chapter_map(vocab: DataFrame, group: str = "day") -> DataFrame:
-    """(group, n_words, words): the entries of a chapter in the order of their ids."""
-    return vocab.groupBy(group).agg(
-        F.count("*").alias("n_words"),
-        F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("id", F.trim("word").alias("w")))), lambda s: s["w"]), ",").alias("words"),
-    )

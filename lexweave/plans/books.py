@@ -43,9 +43,9 @@ def _word_lines(s, d):
 
 
 def _chapter_pages(s, d):
-    v = vocab(s, d).where("day is not null")
+    v = vocab(s, d).where("day is not null").withColumn("no", F.expr("try_cast(regexp_extract(id, '([0-9]+)', 1) as int) div 200"))  # pages of bounded length
     entry = F.concat(text.strip("word"), F.lit(" "), F.coalesce("frequency", F.lit("")), F.lit("\n"), F.regexp_replace(F.coalesce("meaning_kr", F.lit("")), r"\s+", " "))
-    return v.groupBy("day").agg(F.concat(F.lit("page\n"), F.format_string("DAY %02d", "day"), F.lit("\n"), F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("id", entry.alias("e")))), lambda x: x["e"]), "\n")).alias("page"))
+    return v.groupBy("day", "no").agg(F.concat(F.lit("page\n"), F.format_string("DAY %02d", "day"), F.lit("\n"), F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("id", entry.alias("e")))), lambda x: x["e"]), "\n")).alias("page"))
 
 
 def queries() -> dict:
@@ -56,7 +56,7 @@ def queries() -> dict:
         "book_answer_key": lambda s, d: _answer_pages(s, d).select("id", F.explode(pages.answer_entries(F.col("page"))).alias("a")).select("id", "a.number", "a.answer"),
         "book_explanations": _explanations,
         "book_word_lines": _word_lines,
-        "book_days": lambda s, d: _chapter_pages(s, d).select("day", pages.page_day(F.col("page")).alias("found")),
+        "book_days": lambda s, d: _chapter_pages(s, d).select("day", pages.page_day(F.col("page")).alias("found")).distinct(),
         "book_headwords": lambda s, d: lines(s, d).groupBy("day").agg(F.count_if(pages.is_headword(F.col("line"))).alias("n_heads")),
         "book_star_tiers": lambda s, d: lines(s, d).where(pages.is_headword(F.col("line"))).groupBy(pages.star_tier(F.col("line")).alias("tier")).agg(F.count("*").alias("n")),
         "filled_html": filled,
@@ -67,6 +67,7 @@ def oracle_sql() -> dict[str, str]:
     q = f"(SELECT * FROM {LIVE_Q} WHERE sentence IS NOT NULL AND len(map_keys(choices)) = 4 AND question_number IS NOT NULL)"
     usable = "sentence IS NOT NULL AND answer IS NOT NULL AND list_contains(map_keys(choices), answer)"
     esc = lambda x: f"replace(replace(replace(replace(replace({x}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&#x27;')"
+    n_pages = f"(SELECT day, count(DISTINCT try_cast(regexp_extract(id, '([0-9]+)', 1) AS INT) // 200) AS k FROM {V} WHERE day IS NOT NULL GROUP BY day)"
     heads = rf"SELECT day, coalesce(frequency, '') AS f FROM {V} WHERE day IS NOT NULL AND regexp_matches({strip('word')}, '^[A-Za-z]') AND length(regexp_replace(word, '[^A-Za-z]', '', 'g')) >= 2"
     at = "instr(e, '-------')"
     flat = lambda x: strip(rf"regexp_replace(regexp_replace({x}, '[ \t\r]*\n\s*', ' ', 'g'), '\s{{2,}}', ' ', 'g')")
@@ -76,8 +77,8 @@ def oracle_sql() -> dict[str, str]:
         "book_explanations": f"SELECT id, trim(category) AS category, {flat('explanation')} AS explanation, {flat('translation')} AS translation, {flat('vocabulary')} AS vocabulary FROM {LIVE_Q} WHERE explanation IS NOT NULL AND translation IS NOT NULL AND vocabulary IS NOT NULL AND category IS NOT NULL",
         "book_word_lines": rf"SELECT id, {strip('word')} AS word, 'noun' AS pos, array_to_string(regexp_extract_all(meaning_kr, '[\x{{AC00}}-\x{{D7A3}}]+'), ', ') AS meaning FROM {V} WHERE regexp_matches(trim(word), '^[A-Za-z]{{2,}}$') AND regexp_matches(meaning_kr, '[\x{{AC00}}-\x{{D7A3}}]')",
         "book_days": f"SELECT DISTINCT day, day AS found FROM {V} WHERE day IS NOT NULL",
-        "book_headwords": f"SELECT day, count(*) + 2 AS n_heads FROM ({heads}) GROUP BY day",
-        "book_star_tiers": f"SELECT tier, sum(n)::BIGINT AS n FROM (SELECT f AS tier, count(*) AS n FROM ({heads}) GROUP BY 1 UNION ALL SELECT '', 2 * count(DISTINCT day) FROM {V} WHERE day IS NOT NULL) GROUP BY tier",
+        "book_headwords": f"SELECT day, count(f) + 2 * any_value(k) AS n_heads FROM {n_pages} LEFT JOIN ({heads}) USING (day) GROUP BY day",
+        "book_star_tiers": f"SELECT tier, sum(n)::BIGINT AS n FROM (SELECT f AS tier, count(*) AS n FROM ({heads}) GROUP BY 1 UNION ALL SELECT '', 2 * sum(k) FROM {n_pages}) GROUP BY tier",
         "filled_html": rf"""WITH a AS (SELECT id, {esc('sentence')} AS e, '<b>' || {esc('choices[answer]')} || '</b>' AS b FROM {LIVE_Q} WHERE {usable} AND contains(sentence, '-------'))
           SELECT id, regexp_replace(regexp_replace(left(e, {at} - 1) || b || substr(e, {at} + 7), '(\S)(<b>)', '\1 \2', 'g'), '(</b>)(\S)', '\1 \2', 'g') AS html FROM a
           UNION ALL SELECT id, {esc('sentence')} || ' [→ <b>' || {esc('choices[answer]')} || '</b>]' FROM {LIVE_Q} WHERE {usable} AND NOT contains(sentence, '-------') AND NOT contains(sentence, '—') AND NOT contains(sentence, '........')""",

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import classify
 from ..functions.lexicon import CATEGORIES, POS_NAMES, POS_SHORT, STOP_WORDS
+from ..operators import patches
 from ..operators import reports as r
 from ..session import table
 from .sql import EXAMPLES, LIVE_Q, V, WORD, items
@@ -48,7 +49,7 @@ def queries() -> dict:
         "pos_histogram": lambda s, d: r.histogram(v(s, d), F.explode_outer(classify.pos_list(F.col("pos"))), "pos"),
         "examples_top5_priority": lambda s, d: r.top_examples(r.examples(e(s, d))),
         "word_examples_dedup_sorted": lambda s, d: r.word_documents(r.examples(e(s, d))),
-        "chapter_map": lambda s, d: r.chapter_map(v(s, d)),
+        "chapter_map": lambda s, d: patches.chapter_map(v(s, d)),
     }
 
 
@@ -93,5 +94,5 @@ def oracle_sql() -> dict[str, str]:
           k AS (SELECT *, row_number() OVER (PARTITION BY word ORDER BY coalesce(volume, 0), coalesce(test, 0), coalesce(part, 0), coalesce(question_number, 0), ex_id) AS r FROM once)
           SELECT word, count(*) AS total_count, coalesce(string_agg(DISTINCT part::VARCHAR, ',' ORDER BY part::VARCHAR), '') AS parts,
             coalesce(string_agg(trim(source), ';' ORDER BY r) FILTER (r <= 3), '') AS first_sources FROM k GROUP BY word""",
-        "chapter_map": f"SELECT day, count(*) AS n_words, string_agg(trim(word), ',' ORDER BY id) AS words FROM {V} GROUP BY day",
+        "chapter_map": f"SELECT day, page, count(*) AS n_words, string_agg(w, ',' ORDER BY n) AS words FROM (SELECT coalesce(day, -1) AS day, trim(word) AS w, row_number() OVER (ORDER BY coalesce(day, -1), id) AS n, ((n - 1) // 500 + 1)::BIGINT AS page FROM {V}) GROUP BY day, page",
     }
