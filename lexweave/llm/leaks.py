@@ -21,6 +21,9 @@ BLOCK_WORDS = 400_000
 MATCH, MISMATCH, GAP = 2.0, -1.0, 1.0
 #: Words around a seed that the alignment sees beyond the item's own length.
 MARGIN = 20
+#: Document words that are aligned at once, and pairs that wait for it.
+CELLS = 32_768
+PAIRS = 4096
 
 _WORD = regex.compile(r"[\p{L}\p{N}]+")
 
@@ -82,15 +85,24 @@ def gram_frequencies(texts: DataFrame, block: dict[int, list[str]]) -> dict[tupl
     return {g: by_no.get(no, 0) for g, no in grams.items()}
 
 
-def choose_seeds(block: dict[int, list[str]], frequency: dict[tuple[str, ...], int]) -> dict[tuple[str, ...], list[tuple[int, int]]]:
+def choose_seeds(block: dict[int, list[str]], frequency: dict[tuple[str, ...], int], edited: bool = False) -> dict[tuple[str, ...], list[tuple[int, int]]]:
     """Seed -> (item, position): of every window of ``LEAK_WORDS`` words its rarest
-    n-gram, so no leak can do without a seed, and frequent phrases start no alignment."""
+    n-gram, so no leak can do without a seed, and frequent phrases start no alignment.
+
+    An edited copy may hold none of these: a window with a changed word has
+    n-grams that stand nowhere, and they are the rarest. With ``edited`` every
+    n-gram that stands in the corpus is a seed besides, whatever its frequency.
+    """
     seeds: dict[tuple[str, ...], set[tuple[int, int]]] = defaultdict(set)
     for item, ws in block.items():
         own = [tuple(ws[i : i + SEED_WORDS]) for i in range(len(ws) - SEED_WORDS + 1)]
         for at in range(len(ws) - LEAK_WORDS + 1):
             best = min(range(at, at + LEAK_WORDS - SEED_WORDS + 1), key=lambda i: (frequency.get(own[i], 0), i))
             seeds[own[best]].add((item, best))
+        if edited:
+            for i, g in enumerate(own):
+                if frequency.get(g, 0) >= 1:
+                    seeds[g].add((item, i))
     return {g: sorted(v) for g, v in seeds.items()}
 
 
@@ -115,6 +127,48 @@ def align(doc: np.ndarray, item: np.ndarray) -> tuple[float, int]:
     return best, longest
 
 
+def align_many(pairs: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """``align`` of many (document, item) pairs at once: scores and longest runs in their order.
+
+    Pairs of like length go together, filled up with numbers that equal nothing,
+    ``CELLS`` document words at a time.
+    """
+    scores, longest = np.zeros(len(pairs)), np.zeros(len(pairs), np.int64)
+    order = sorted(range(len(pairs)), key=lambda k: (len(pairs[k][0]) // 32, len(pairs[k][1])))
+    at = 0
+    while at < len(order):
+        end, width = at, 0
+        while end < len(order) and (end == at or max(width, len(pairs[order[end]][0])) * (end - at + 1) <= CELLS):
+            width = max(width, len(pairs[order[end]][0]))
+            end += 1
+        part = order[at:end]
+        docs = np.full((len(part), width), -1, np.int32)
+        items = np.full((max(len(pairs[k][1]) for k in part), len(part), 1), -2, np.int32)
+        for row, k in enumerate(part):
+            docs[row, : len(pairs[k][0])] = pairs[k][0]
+            items[: len(pairs[k][1]), row, 0] = pairs[k][1]
+        ramp = np.arange(width + 1, dtype=np.float32) * np.float32(GAP)
+        prev, top = np.zeros((len(part), width + 1), np.float32), np.zeros((len(part), width + 1), np.float32)
+        runs, most = np.zeros((len(part), width + 1), np.int32), np.zeros((len(part), width + 1), np.int32)
+        for w in items:
+            same = docs == w
+            cell = np.zeros_like(prev)
+            np.maximum(prev[:, :-1] + np.where(same, np.float32(MATCH), np.float32(MISMATCH)), 0, out=cell[:, 1:])
+            np.maximum(cell, prev - np.float32(GAP), out=cell)
+            cell += ramp
+            np.maximum.accumulate(cell, axis=1, out=cell)
+            cell -= ramp
+            np.maximum(top, cell, out=top)
+            prev = cell
+            nxt = np.zeros_like(runs)
+            np.multiply(runs[:, :-1] + 1, same, out=nxt[:, 1:])
+            np.maximum(most, nxt, out=most)
+            runs = nxt
+        scores[part], longest[part] = top.max(axis=1), most.max(axis=1)
+        at = end
+    return scores, longest
+
+
 def _regions(hits: Iterable[tuple[int, int]], item_len: int, doc_len: int) -> list[tuple[int, int]]:
     """Stretches of the document where the item can lie, from (document, item) positions of seeds."""
     out: list[list[int]] = []
@@ -127,13 +181,15 @@ def _regions(hits: Iterable[tuple[int, int]], item_len: int, doc_len: int) -> li
     return [(a, b) for a, b in out]
 
 
-def find_leaks(documents: DataFrame, items: DataFrame) -> DataFrame:
+def find_leaks(documents: DataFrame, items: DataFrame, edited: bool = True) -> DataFrame:
     """(doc_id, item_id, score, longest_run) of documents aligned with test items.
 
     ``score`` is the Smith-Waterman score in words over the best stretch;
     ``longest_run`` the most consecutive words in common. The corpus isn't
     shuffled: items go out in blocks of bounded size, each document is cut
-    into words, looked up for seeds and aligned where one lies.
+    into words, looked up for seeds and aligned where one lies. Every document
+    that shares ``SEED_WORDS`` words in a row with an item is aligned with it;
+    without ``edited`` only what may hold ``LEAK_WORDS`` of its words in a row.
 
     Null and empty texts leak nothing; items under ``LEAK_WORDS`` words can't
     leak; repeated rows give one row.
@@ -142,7 +198,7 @@ def find_leaks(documents: DataFrame, items: DataFrame) -> DataFrame:
     texts = documents.select(F.col("doc_id").cast("bigint"), "text").where("text is not null")
     result = None
     for block in item_blocks(items):
-        seeds = choose_seeds(block, gram_frequencies(texts, block))
+        seeds = choose_seeds(block, gram_frequencies(texts, block), edited)
         shared = spark.sparkContext.broadcast((block, seeds))
 
         def scan(batches, shared=shared):
@@ -150,8 +206,18 @@ def find_leaks(documents: DataFrame, items: DataFrame) -> DataFrame:
             known = {w for ws in block.values() for w in ws}
             number = {w: n for n, w in enumerate(sorted(known), 1)}
             coded = {i: np.array([number[w] for w in ws]) for i, ws in block.items()}
+            waiting: list[tuple[int, int, np.ndarray]] = []
+
+            def aligned():
+                scores, runs = align_many([(own, coded[item]) for _, item, own in waiting])
+                docs, ids = [w[0] for w in waiting], [w[1] for w in waiting]
+                waiting.clear()
+                return pa.RecordBatch.from_arrays(
+                    [pa.array(docs, pa.int64()), pa.array(ids, pa.int64()), pa.array(scores, pa.float64()), pa.array(runs, pa.int64())],
+                    names=["doc_id", "item_id", "score", "longest_run"],
+                )
+
             for b in batches:
-                out: list[tuple] = []
                 for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                     words = words_of(text)
                     hits: dict[int, set[tuple[int, int]]] = defaultdict(set)
@@ -162,13 +228,11 @@ def find_leaks(documents: DataFrame, items: DataFrame) -> DataFrame:
                         continue
                     own = np.array([number.get(w, 0) for w in words])
                     for item, where in hits.items():
-                        both = [align(own[a:z], coded[item]) for a, z in _regions(where, len(coded[item]), len(own))]
-                        out.append((doc, item, max(s for s, _ in both), max(r for _, r in both)))
-                if out:
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.int64(), pa.float64(), pa.int64()))],
-                        names=["doc_id", "item_id", "score", "longest_run"],
-                    )
+                        waiting += [(doc, item, own[a:z]) for a, z in _regions(where, len(coded[item]), len(own))]
+                    if len(waiting) >= PAIRS:
+                        yield aligned()
+            if waiting:
+                yield aligned()
 
         found = texts.mapInArrow(scan, "doc_id bigint, item_id bigint, score double, longest_run bigint")
         result = found if result is None else result.unionByName(found)
@@ -179,13 +243,14 @@ def find_leaks(documents: DataFrame, items: DataFrame) -> DataFrame:
 
 def leaked(documents: DataFrame, items: DataFrame) -> DataFrame:
     """(doc_id, item_id) where at least ``LEAK_WORDS`` consecutive words of the item stand in the document."""
-    return find_leaks(documents, items).where(F.col("longest_run") >= LEAK_WORDS).select("doc_id", "item_id")
+    return find_leaks(documents, items, edited=False).where(F.col("longest_run") >= LEAK_WORDS).select("doc_id", "item_id")
 
 
 def leak_report(documents: DataFrame, items: DataFrame) -> DataFrame:
     """(item_id, n_docs, n_edited, best_score): documents that hold the item's words
     in a run, and those whose alignment alone shows an edited copy (at least
-    ``LEAK_WORDS`` matches' worth of score)."""
+    ``LEAK_WORDS`` matches' worth of score). A copy without ``SEED_WORDS`` words of
+    the item left in a row has no seed and isn't seen."""
     rows = find_leaks(documents, items)
     run = F.col("longest_run") >= LEAK_WORDS
     return rows.groupBy("item_id").agg(

@@ -40,6 +40,32 @@ def test_alignment():
     assert leaks.align(a, b) == (9.0, 3)
 
 
+def test_edited_copy_without_a_verbatim_one(spark):
+    """Every eighth word is changed, and no document holds the rest verbatim."""
+    w = [f"word{i}" for i in range(48)]
+    copy = [x if i % 8 != 7 else f"other{i}" for i, x in enumerate(w)]
+    d = spark.createDataFrame([(1, " ".join(copy), 0), (2, "nothing of the kind is in here", 0)], DOC)
+    e = spark.createDataFrame([(10, " ".join(w), "a")], EVAL)
+    assert leaks.leaked(d, e).count() == 0
+    assert [(r["item_id"], r["n_docs"], r["n_edited"]) for r in leaks.leak_report(d, e).collect()] == [(10, 0, 1)]
+
+
+def test_common_phrases_are_seeds_of_edited_copies(spark):
+    """A copy whose only five words in a row are a phrase of many documents."""
+    w = [f"word{i}" for i in range(40)]
+    copy = [x if i < 5 or i % 4 else f"other{i}" for i, x in enumerate(w)]
+    docs = [(1, " ".join(copy), 0), *((n, " ".join(w[:5]) + f" only {n}", 0) for n in range(2, 60)), (99, " ".join(w[1:7]), 0)]
+    d, e = spark.createDataFrame(docs, DOC), spark.createDataFrame([(10, " ".join(w), "a")], EVAL)
+    assert [(r["n_docs"], r["n_edited"]) for r in leaks.leak_report(d, e).collect()] == [(0, 1)]
+
+
+def test_many_alignments_equal_single_ones():
+    rng = np.random.default_rng(1)
+    pairs = [(rng.integers(0, 5, rng.integers(1, 90)), rng.integers(1, 5, rng.integers(12, 40))) for _ in range(900)]
+    scores, runs = leaks.align_many(pairs)
+    assert list(zip(scores, runs)) == [leaks.align(d, i) for d, i in pairs]
+
+
 def test_same_as_sql(spark):
     sf = "/root/testdata/sf0.01"
     assert_same(queries.queries()["p9_found"](spark, sf), views(sf), queries.oracle_sql()["p9_found"])
