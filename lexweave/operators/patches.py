@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -147,8 +149,51 @@ def natural_order(rows: DataFrame, label: Column) -> DataFrame:
     return d.select(place.cast("bigint").alias("place"), "label")
 
 
-def hybrid_order(ex: DataFrame, k: int = 5) -> DataFrame:
-    """(word, place, ex_id): per word by page, or by test and question number where there is no page."""
+def _hybrid_keys() -> list[Column]:
     key = F.coalesce(F.nullif("page", F.lit(0)), F.coalesce("test", F.lit(0)) * 1000 + F.coalesce("question_number", F.lit(0)))
-    place = F.row_number().over(Window.partitionBy("word").orderBy(F.coalesce("volume", F.lit(0)), key, "ex_id"))
+    return [F.coalesce("volume", F.lit(0)), key, F.col("ex_id")]
+
+
+def ranked_within(rows: DataFrame, key: str, order: Sequence[Column], name: str = "place") -> DataFrame:
+    """Rows numbered from 1 within each ``key`` in a total order, without bringing a hot key into one task.
+
+    The rows are range-partitioned by key and order and written once. Each
+    partition numbers its own; only its first key can have rows before it, so
+    what comes before is a table of at most one row per partition.
+    """
+    parts = max(1, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions", "200")))
+    names = [f"_o{i}" for i in range(len(order))]
+    placed = rows.withColumns(dict(zip(names, order))).repartitionByRange(parts, key, *names).withColumn("_p", F.spark_partition_id())
+    placed = materialise(placed, "ranked")
+    sizes = placed.groupBy("_p", key).agg(F.count("*").alias("_n"))
+    before = F.sum("_n").over(Window.partitionBy(key).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1))
+    starts = sizes.select("_p", F.col(key).alias("_k"), before.alias("_before")).where("_before is not null")
+    own = F.row_number().over(Window.partitionBy("_p", key).orderBy(*names))
+    both = placed.withColumn("_own", own).alias("r").join(F.broadcast(starts.alias("s")), (F.col("r._p") == F.col("s._p")) & F.col(key).eqNullSafe(F.col("_k")), "left")
+    place = F.col("_own") + F.coalesce("_before", F.lit(0))
+    return both.select(*(F.col(f"r.{c}") for c in rows.columns), place.cast("bigint").alias(name))
+
+
+def hybrid_order(ex: DataFrame) -> DataFrame:
+    """(word, place, ex_id): all examples of each word by page, or by test and question number where there is no page."""
+    return ranked_within(ex.select("word", "volume", "page", "test", "question_number", "ex_id"), "word", _hybrid_keys()).select("word", "place", "ex_id")
+
+
+def hybrid_first(ex: DataFrame, k: int = 5) -> DataFrame:
+    """(word, place, ex_id): the first ``k`` of ``hybrid_order``; no more than these are sorted."""
+    place = F.row_number().over(Window.partitionBy("word").orderBy(*_hybrid_keys()))
     return ex.withColumn("place", place.cast("bigint")).where(F.col("place") <= k).select("word", "place", "ex_id")
+
+
+def word_example_pages(ex: DataFrame, size: int = 500) -> DataFrame:
+    """(word, page, n_examples, ex_ids): all distinct sentences of each word in the order
+    of volume, test, part and question, at most ``size`` to a page, so that a word
+    with any number of examples makes no large group."""
+    cols = ["volume", "test", "part", "question_number", "ex_id"]  # the sentence itself is only moved as the key
+    keyed = ex.select("word", text.dedupe_key(F.col("sentence")).alias("_key"), *cols)
+    once = keyed.groupBy("word", "_key").agg(F.min_by(F.struct(*cols), "ex_id").alias("_r")).select("word", "_r.*")
+    order = [*(F.coalesce(c, F.lit(0)) for c in ("volume", "test", "part", "question_number")), F.col("ex_id")]
+    n = ranked_within(once, "word", order)
+    ids = F.transform(F.sort_array(F.collect_list(F.struct("place", "ex_id"))), lambda x: x["ex_id"])
+    page = F.expr(f"(place - 1) div {size} + 1")
+    return n.groupBy("word", page.alias("page")).agg(F.count("*").alias("n_examples"), ids.alias("ex_ids"))

@@ -176,6 +176,7 @@ def word_documents(ex: DataFrame) -> DataFrame:
     """(word, total_count, parts, first_sources): one row per word from its distinct sentences.
 
     Examples are kept first come, then ordered by volume, test, part, question.
+    The sources are those of the first three; ``patches.word_example_pages`` has all examples in order.
     """
     once = keep_first(ex, text.dedupe_key(F.col("sentence")), ["ex_id"])
     order = F.struct(F.coalesce("volume", F.lit(0)).alias("a"), F.coalesce("test", F.lit(0)).alias("b"), F.coalesce("part", F.lit(0)).alias("c"), F.coalesce("question_number", F.lit(0)).alias("d"), F.col("ex_id").alias("e"))

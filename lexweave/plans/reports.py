@@ -49,6 +49,7 @@ def queries() -> dict:
         "pos_histogram": lambda s, d: r.histogram(v(s, d), F.explode_outer(classify.pos_list(F.col("pos"))), "pos"),
         "examples_top5_priority": lambda s, d: r.top_examples(r.examples(e(s, d))),
         "word_examples_dedup_sorted": lambda s, d: r.word_documents(r.examples(e(s, d))),
+        "word_examples_ordered": lambda s, d: patches.word_example_pages(r.examples(e(s, d))),
         "chapter_map": lambda s, d: patches.chapter_map(v(s, d)),
     }
 

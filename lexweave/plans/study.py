@@ -85,7 +85,8 @@ def queries() -> dict:
         "incremental_merge": lambda s, d: patches.incremental_merge(*old_new(s, d)),
         "word_sets": lambda s, d: patches.word_sets(allv(s, d), entries(s, d)),
         "natural_sort_sources": lambda s, d: patches.natural_order(raw("documents")(s, d), F.col("source")),
-        "hybrid_sort_examples": lambda s, d: patches.hybrid_order(_ex(s, d)),
+        "hybrid_sort_examples": lambda s, d: patches.hybrid_first(_ex(s, d)),
+        "hybrid_sort_examples_all": lambda s, d: patches.hybrid_order(_ex(s, d)),
         "stratified_allocation": lambda s, d: exams.allocation(exams.category_sizes(questions(s, d)), 30),
         "stratified_sample": lambda s, d: exams.stratified_sample(questions(s, d), 30),
         "balanced_sample": lambda s, d: exams.balanced_sample(allv(s, d), 40),
