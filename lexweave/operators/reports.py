@@ -85,12 +85,22 @@ def category_cube(questions: DataFrame) -> DataFrame:
 
 
 def category_pivot(questions: DataFrame, volumes: Sequence[int]) -> DataFrame:
-    """Category by volume, zero-filled, with the sum of the volumes shown."""
+    """Category by the given volumes, zero-filled, with the sum of these; ``category_crosstab`` has all volumes."""
     wide = questions.select(category_of(F.col("category")).alias("category"), "volume").groupBy("category").pivot("volume", list(volumes)).count()
     cols = [F.coalesce(F.col(str(v)), F.lit(0)).alias(f"v{v}") for v in volumes]
     return wide.select("category", *cols).withColumn("total", sum((F.col(f"v{v}") for v in volumes), F.lit(0)))
 
 
+def category_crosstab(questions: DataFrame) -> DataFrame:
+    """(category, volume, n, total): category by every volume there is, zero-filled, with the category's sum over all
+    questions; questions without a volume count under a null one."""
+    n = questions.groupBy(category_of(F.col("category")).alias("category"), "volume").agg(F.count("*").alias("n"))
+    totals = n.groupBy("category").agg(F.sum("n").alias("total"))  # one row per category
+    cells = n.select("volume").distinct().crossJoin(F.broadcast(totals)).alias("c")
+    both = cells.join(n.alias("n"), (F.col("c.category") == F.col("n.category")) & F.col("c.volume").eqNullSafe(F.col("n.volume")), "left")
+    return both.select("c.category", "c.volume", F.coalesce("n.n", F.lit(0)).alias("n"), "c.total")
+
+
 def category_share(questions: DataFrame) -> DataFrame:
     """(volume, category, n, pct): share within the volume."""
     n = questions.groupBy("volume", category_of(F.col("category")).alias("category")).agg(F.count("*").alias("n"))

@@ -38,6 +38,7 @@ def queries() -> dict:
         "vocabulary_size_by_volume": lambda s, d: r.vocabulary_size(_tokens(s, d), "volume"),
         "category_counts_rollup": lambda s, d: r.category_counts(q(s, d)),
         "category_pivot": lambda s, d: r.category_pivot(q(s, d), _VOLUMES),
+        "category_crosstab": lambda s, d: r.category_crosstab(q(s, d)),
         "category_share_within_volume": lambda s, d: r.category_share(q(s, d)),
         "volume_test_cube": lambda s, d: r.category_cube(q(s, d)),
         "ordered_categories": lambda s, d: r.ordered_categories(q(s, d), CATEGORIES),

@@ -1,6 +1,7 @@
 """Queries that return all rows where those with a fixed SQL return the first few."""
 
 from lexweave.operators import patches
+from lexweave.operators import reports as r_ops
 from lexweave.plans import reports, study
 
 from .compare import assert_same, views
@@ -43,3 +44,21 @@ def test_ordered_examples_are_as_many_as_counted(spark):
     for r in reports.queries()["word_examples_ordered"](spark, SF).collect():
         got[r["word"]] = got.get(r["word"], 0) + len(set(r["ex_ids"]))
     assert got == n and max(n.values()) > 5
+
+
+def test_crosstab_has_every_volume(spark):
+    rows = [("a", 1), ("a", 1), ("a", 17), ("b", 17), (None, None), ("b", 6)]
+    got = r_ops.category_crosstab(spark.createDataFrame(rows, "category string, volume int")).collect()
+    cells = {(r["category"], r["volume"]): (r["n"], r["total"]) for r in got}
+    none = next(c for c, _ in cells if c not in ("a", "b"))
+    assert len(got) == len(cells) == 12
+    assert {k: v for k, v in cells.items() if v[0]} == {("a", 1): (2, 3), ("a", 17): (1, 3), ("b", 17): (1, 2), ("b", 6): (1, 2), (none, None): (1, 1)}
+
+
+def test_crosstab_same_as_sql(spark):
+    sql = f"""WITH n AS (SELECT {reports._CAT} AS category, volume, count(*) AS n FROM {reports.LIVE_Q} GROUP BY ALL)
+      SELECT c.category, v.volume, coalesce(n.n, 0) AS n, c.total::BIGINT AS total FROM (SELECT category, sum(n) AS total FROM n GROUP BY category) c
+      CROSS JOIN (SELECT DISTINCT volume FROM n) v LEFT JOIN n ON n.category = c.category AND n.volume IS NOT DISTINCT FROM v.volume"""
+    folder = "/root/testdata/sf0.1"
+    assert_same(reports.queries()["category_crosstab"](spark, folder), views(folder), sql)
+    assert reports.queries()["category_crosstab"](spark, folder).where("volume > 5 and n > 0").count() > 0
