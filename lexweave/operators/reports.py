@@ -84,21 +84,19 @@ def category_cube(questions: DataFrame) -> DataFrame:
     return questions.cube("volume", "test").agg(F.grouping_id().cast("bigint").alias("level"), F.count("*").alias("n"))
 
 
-def category_pivot(questions: DataFrame, volumes: Sequence[int]) -> DataFrame:
-    """Category by the given volumes, zero-filled, with the sum of these; ``category_crosstab`` has all volumes."""
-    wide = questions.select(category_of(F.col("category")).alias("category"), "volume").groupBy("category").pivot("volume", list(volumes)).count()
-    cols = [F.coalesce(F.col(str(v)), F.lit(0)).alias(f"v{v}") for v in volumes]
-    return wide.select("category", *cols).withColumn("total", sum((F.col(f"v{v}") for v in volumes), F.lit(0)))
-
-
-def category_crosstab(questions: DataFrame) -> DataFrame:
-    """(category, volume, n, total): category by every volume there is, zero-filled, with the category's sum over all
-    questions; questions without a volume count under a null one."""
-    n = questions.groupBy(category_of(F.col("category")).alias("category"), "volume").agg(F.count("*").alias("n"))
-    totals = n.groupBy("category").agg(F.sum("n").alias("total"))  # one row per category
-    cells = n.select("volume").distinct().crossJoin(F.broadcast(totals)).alias("c")
-    both = cells.join(n.alias("n"), (F.col("c.category") == F.col("n.category")) & F.col("c.volume").eqNullSafe(F.col("n.volume")), "left")
-    return both.select("c.category", "c.volume", F.coalesce("n.n", F.lit(0)).alias("n"), "c.total")
+def category_wide(questions: DataFrame) -> DataFrame:
+    """Category by every volume there is (a column each, named by the volume), zero-filled, with the total over all
+    questions; questions without a volume stand under ``null``. No questions give no volume columns."""
+    wide = questions.select(category_of(F.col("category")).alias("category"), "volume").groupBy("category").pivot("volume").count().na.fill(0)
+    return wide.withColumn("total", sum((F.col(f"`{c}`") for c in wide.columns[1:]), F.lit(0)).cast("bigint"))
+
+
+def category_pivot(questions: DataFrame) -> DataFrame:
+    """(category, volume, n, total): the crosstab of ``category_wide`` in rows, whose columns don't depend on the data."""
+    wide = category_wide(questions)
+    cells = [F.struct(F.lit(None if v == "null" else int(v)).cast("int").alias("volume"), F.col(f"`{v}`").alias("n")) for v in wide.columns[1:-1]]
+    none = F.array().cast("array<struct<volume:int,n:bigint>>")
+    return wide.select("category", F.explode(F.array(*cells) if cells else none).alias("c"), "total").select("category", "c.volume", "c.n", "total")
 
 
 def category_share(questions: DataFrame) -> DataFrame:

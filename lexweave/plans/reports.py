@@ -11,8 +11,6 @@ from ..operators import reports as r
 from ..session import table
 from .sql import EXAMPLES, LIVE_Q, V, WORD, items
 
-_VOLUMES = (1, 2, 3, 4, 5)
-
 
 def questions(spark, sf):
     return r.live(r.first_copy(table(spark, sf, "questions"), "id", "loaded_at"))
@@ -37,8 +35,7 @@ def queries() -> dict:
         "word_frequency_per_volume_top10": lambda s, d: r.word_frequency_top_per_group(_tokens(s, d), "volume"),
         "vocabulary_size_by_volume": lambda s, d: r.vocabulary_size(_tokens(s, d), "volume"),
         "category_counts_rollup": lambda s, d: r.category_counts(q(s, d)),
-        "category_pivot": lambda s, d: r.category_pivot(q(s, d), _VOLUMES),
-        "category_crosstab": lambda s, d: r.category_crosstab(q(s, d)),
+        "category_pivot": lambda s, d: r.category_pivot(q(s, d)),
         "category_share_within_volume": lambda s, d: r.category_share(q(s, d)),
         "volume_test_cube": lambda s, d: r.category_cube(q(s, d)),
         "ordered_categories": lambda s, d: r.ordered_categories(q(s, d), CATEGORIES),
@@ -75,7 +72,8 @@ def oracle_sql() -> dict[str, str]:
           SELECT volume, row_number() OVER (PARTITION BY volume ORDER BY n DESC, f) AS rank, token, n FROM c QUALIFY rank <= 10""",
         "vocabulary_size_by_volume": f"WITH {_TOKENS} SELECT volume, count(*) AS n_tokens, count(DISTINCT token) AS n_distinct FROM t GROUP BY volume",
         "category_counts_rollup": f"SELECT volume, category, count(*) AS n FROM (SELECT volume, {_CAT} AS category FROM {LIVE_Q}) GROUP BY ROLLUP (volume, category)",
-        "category_pivot": f"SELECT {_CAT} AS category, " + ", ".join(f"count(*) FILTER (volume = {v}) AS v{v}" for v in _VOLUMES) + f", count(*) FILTER (volume BETWEEN 1 AND 5) AS total FROM {LIVE_Q} GROUP BY 1",
+        "category_pivot": f"""WITH q AS (SELECT {_CAT} AS category, volume FROM {LIVE_Q}), v AS (SELECT DISTINCT volume FROM q), n AS (SELECT category, volume, count(*) AS n FROM q GROUP BY ALL), t AS (SELECT category, count(*) AS total FROM q GROUP BY 1)
+          SELECT t.category, v.volume, coalesce(n.n, 0) AS n, t.total FROM t, v LEFT JOIN n ON n.category = t.category AND n.volume IS NOT DISTINCT FROM v.volume""",
         "category_share_within_volume": f"SELECT volume, {_CAT} AS category, count(*) AS n, round(count(*) * 100.0 / sum(count(*)) OVER (PARTITION BY volume), 4)::DOUBLE AS pct FROM (SELECT volume, {_CAT} AS category FROM {LIVE_Q}) GROUP BY volume, category",
         "volume_test_cube": f"SELECT volume, test, grouping(volume, test)::BIGINT AS level, count(*) AS n FROM {LIVE_Q} GROUP BY CUBE (volume, test)",
         "ordered_categories": f"""SELECT row_number() OVER (ORDER BY CASE WHEN spot IS NOT NULL THEN 0 WHEN category <> '(미분류)' THEN 1 ELSE 2 END, coalesce(spot, 0), category) AS place, category, n

@@ -33,7 +33,7 @@ def _all(q, v, e):
     counts = reports.example_counts(e)
     sents = q.select("id", "sentence")
     return [
-        reports.word_frequency_top(toks), reports.word_frequency_top_per_group(toks, "volume"), reports.category_counts(q), reports.category_pivot(q, [1, 2]), reports.category_share(q),
+        reports.word_frequency_top(toks), reports.word_frequency_top_per_group(toks, "volume"), reports.category_counts(q), reports.category_pivot(q), reports.category_share(q),
         reports.ordered_categories(q, ["어휘"]), reports.coverage(v, counts), reports.tokens_not_in(toks, v), reports.without_examples(v, counts), reports.word_documents(ex), reports.top_examples(ex),
         patches.chapter_map(v), matching.probe_all(sents, forms), matching.probe_per_field(q, forms), matching.inverted_index(forms), matching.verified_phrases(sents, words),
         quality.issues(q, quality.question_rules(), "q"), quality.issues(v, quality.vocab_rules(), "v"), quality.sequence_gaps(q), quality.wrong_totals(e), quality.fixed_sentences(q),
