@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator
+import math
+from collections.abc import Collection, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -19,34 +20,55 @@ TAGGED = "doc_id bigint, tag string, pk string, parent string, word string, pos
 SCHEMAS = {
     "word": "vocab_id string, chapter int, total_count int",
     "example": "ex_id bigint, sentence string, source string, volume int, test int, page int, question_number int, part int, matched_form string",
-    "part": "part int",
+    "part": "part int, number string",
     "error": "message string",
 }
 
 
+TAGS = tuple(SCHEMAS)
+
+
+def _finite(text: str) -> float | None:
+    value = float(text)
+    return value if math.isfinite(value) else None
+
+
+def _parse(text: str):
+    """JSON to Python; numbers that JSON can't hold (NaN, infinities) are null."""
+    return json.loads(text, parse_constant=lambda _: None, parse_float=_finite)
+
+
+def _dump(value) -> str:
+    """Python to JSON that is valid UTF-8: half a character is replaced."""
+    return json.dumps(value, ensure_ascii=False).encode("utf-8", "replace").decode()
+
+
 def _as_list(value) -> list:
     """Children of an optional field in any shape: list, one object, object keyed
-    by place (its values in the order given), JSON text of these, scalar, null."""
+    by place (its values in the order given), JSON text of these, scalar, null.
+    An empty object has no children; text that isn't JSON, or is nested too
+    deep to be read, is a child itself."""
     if isinstance(value, str):
         try:
-            inner = json.loads(value)
-        except ValueError:
+            inner = _parse(value)
+        except (ValueError, RecursionError):
             return [value] if value.strip() else []
         return _as_list(inner) if not isinstance(inner, (int, float, bool)) else [inner]
     if value is None:
         return []
-    if isinstance(value, dict) and value and all(k.isdigit() for k in value):
+    if isinstance(value, dict) and all(k.isdigit() for k in value):
         return list(value.values())
     return value if isinstance(value, list) else [value]
 
 
 def _part_number(value) -> str | None:
+    """The digits of a part, without leading zeros; null where there are none."""
     if isinstance(value, bool) or value is None:
         return None
     if isinstance(value, float) and value == int(value):
         value = int(value)
-    digits = "".join(c for c in str(value) if c.isdigit())
-    return str(int(digits)) if digits else None
+    digits = "".join(c for c in str(value) if c in "0123456789")
+    return (digits.lstrip("0") or "0") if digits else None
 
 
 def _is_word(node: dict) -> bool:
@@ -73,47 +95,53 @@ def visit(node, key: str | None = None) -> Iterator[tuple[str, dict]]:
             stack.extend((v, k if isinstance(v, list) else None) for v in reversed(x) if isinstance(v, (dict, list)))
 
 
-def _emit(doc_id: int, payload: str | None) -> Iterator[tuple]:
+def _emit(doc_id: int, payload: str | None, tags: Collection[str]) -> list[tuple]:
+    """The tagged rows of a document, or a single ``error`` row if anything in it can't be read."""
     if payload is None or not payload.strip():
-        return
+        return []
     try:
-        root = json.loads(payload)
-    except (ValueError, RecursionError) as e:
-        yield doc_id, "error", f"{doc_id}/error", None, None, 1, json.dumps({"message": str(e)[:200]})
-        return
+        return [r for r in _walk(doc_id, _parse(payload)) if r[1] in tags]
+    except (ValueError, TypeError, ArithmeticError, RecursionError) as e:
+        return [(doc_id, "error", f"r{doc_id}/error", None, None, 1, _dump({"message": f"{type(e).__name__}: {e}"}))] if "error" in tags else []
+
+
+def _walk(doc_id: int, root) -> Iterator[tuple]:
     for n, (word, rec) in enumerate(visit(root), 1):
-        pk = f"{doc_id}/w{n}"
+        pk, word = f"r{doc_id}/w{n}", word.encode("utf-8", "replace").decode()
         own = {k: v for k, v in rec.items() if k not in ("examples", "parts_appeared", "word")}
-        yield doc_id, "word", pk, None, word, n, json.dumps(own, ensure_ascii=False)
+        yield doc_id, "word", pk, None, word, n, _dump(own)
         pos = 0
         for ex in _as_list(rec.get("examples")):
             if isinstance(ex, str):
                 ex = {"sentence": ex}
             if isinstance(ex, dict):
                 pos += 1
-                yield doc_id, "example", f"{pk}/e{pos}", pk, word, pos, json.dumps(ex, ensure_ascii=False)
+                yield doc_id, "example", f"{pk}/e{pos}", pk, word, pos, _dump(ex)
         pos = 0
         for part in _as_list(rec.get("parts_appeared")):
             number = _part_number(part)
             if number is not None:
                 pos += 1
-                yield doc_id, "part", f"{pk}/p{pos}", pk, word, pos, json.dumps({"part": int(number)})
+                yield doc_id, "part", f"{pk}/p{pos}", pk, word, pos, _dump({"part": number, "number": number})
 
 
-def flatten_payloads(raw: DataFrame, doc_id: str = "raw_id", payload: str = "payload") -> DataFrame:
+def flatten_payloads(raw: DataFrame, doc_id: str = "raw_id", payload: str = "payload", tags: Collection[str] = TAGS) -> DataFrame:
     """Single-pass tagged emission from JSON payloads (schema ``TAGGED``).
 
     Each payload is parsed once and walked once; a row is emitted for each
-    word, example and part with its key, its parent's key and its position.
-    Null and blank payloads give no rows, an unreadable one gives a row with
-    tag ``error``; unknown extra fields stay in the payload.
+    word, example and part among ``tags`` with its key, its parent's key and
+    its position. Null and blank payloads give no rows, an unreadable one gives
+    a row with tag ``error`` and nothing else; unknown extra fields stay in the
+    payload. Numbers that JSON can't hold are null, half a character is
+    replaced.
     """
+    tags = frozenset(tags)
 
     def walk(batches):
         for b in batches:
             rows: list[tuple] = []
             for d, p in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                rows.extend(_emit(d, p))
+                rows.extend(_emit(d, p, tags))
                 if len(rows) >= 5000:
                     yield _batch(rows)
                     rows = []
@@ -129,28 +157,38 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names=names)
 
 
-def flatten_entries(entries: DataFrame) -> DataFrame:
+def delivered_once(rows: DataFrame, key: str) -> DataFrame:
+    """One row of each ``key``. Only rows whose key recurs are shuffled whole; of all
+    others just the key is, to be counted. Rows without a key are all kept."""
+    again = rows.where(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("_n")).where("_n > 1").select(key)
+    return rows.join(again, key, "left_anti").unionByName(rows.join(again, key, "left_semi").dropDuplicates([key]))
+
+
+def flatten_entries(entries: DataFrame, tags: Collection[str] = TAGS) -> DataFrame:
     """The same tagged rows from typed word-to-examples rows, all in the JVM.
 
     One ``explode`` over the tagged children of a row is the single pass; the
     row's exact repeats are dropped first by entry_id. Null and empty arrays
-    give the word row alone; null elements are skipped and not counted.
+    give the word row alone; null elements are skipped and not counted. A row
+    without entry_id is a document of its own without keys.
     """
-    d = F.col("entry_id").cast("string")
-    pk = F.concat(d, F.lit("/w1"))
+    pk = F.concat(F.lit("e"), F.col("entry_id").cast("string"), F.lit("/w1"))
     exs = F.filter("examples", lambda e: e.isNotNull())
     pts = F.filter("parts_appeared", lambda p: p.isNotNull())
     node = lambda tag, key, parent, pos, payload: F.struct(
         F.lit(tag).alias("tag"), key.alias("pk"), parent.alias("parent"), pos.cast("bigint").alias("pos"), payload.alias("payload")
     )
     none = F.lit(None).cast("string")
-    nodes = F.concat(
-        F.array(node("word", pk, none, F.lit(1), F.to_json(F.struct("vocab_id", "chapter", "total_count")))),
-        F.coalesce(F.transform(exs, lambda e, i: node("example", F.concat(pk, F.lit("/e"), i + 1), pk, i + 1, F.to_json(e))), F.array()),
-        F.coalesce(F.transform(pts, lambda p, i: node("part", F.concat(pk, F.lit("/p"), i + 1), pk, i + 1, F.to_json(F.struct(p.alias("part"))))), F.array()),
-    )
-    once = entries.select("entry_id", "word", "vocab_id", "chapter", "total_count", "examples", "parts_appeared").dropDuplicates(["entry_id"])
-    return once.select(F.col("entry_id").alias("doc_id"), "word", F.explode(nodes).alias("n")).select(
+    number = lambda p: F.struct(p.alias("part"), p.cast("string").alias("number"))
+    nodes = {
+        "word": F.array(node("word", pk, none, F.lit(1), F.to_json(F.struct("vocab_id", "chapter", "total_count")))),
+        "example": F.coalesce(F.transform(exs, lambda e, i: node("example", F.concat(pk, F.lit("/e"), i + 1), pk, i + 1, F.to_json(e))), F.array()),
+        "part": F.coalesce(F.transform(pts, lambda p, i: node("part", F.concat(pk, F.lit("/p"), i + 1), pk, i + 1, F.to_json(number(p)))), F.array()),
+    }
+    chosen = [n for tag, n in nodes.items() if tag in tags]
+    needed = ["entry_id", "word", *(["vocab_id", "chapter", "total_count"] if "word" in tags else []), *(["examples"] if "example" in tags else []), *(["parts_appeared"] if "part" in tags else [])]
+    once = delivered_once(entries.select(*needed), "entry_id")
+    return once.select(F.col("entry_id").alias("doc_id"), "word", F.explode(F.concat(*chosen)).alias("n")).select(
         "doc_id", "n.tag", "n.pk", "n.parent", "word", "n.pos", "n.payload"
     )
 
@@ -175,13 +213,8 @@ def apply_schema(tagged: DataFrame, tag: str) -> DataFrame:
     return tagged.where(F.col("tag") == tag).select("doc_id", "pk", "parent", "word", "pos", *own)
 
 
-def children(tagged: DataFrame) -> DataFrame:
-    """(raw_id, word, child_kind, pos, child_text): an example's source or the part's number."""
-    text = F.when(
-        F.col("tag") == "example", F.regexp_replace(F.coalesce(F.get_json_object("payload", "$.source"), F.lit("")), r"(?U)^\s+|(?<!\s)\s+$", "")
-    ).otherwise(F.get_json_object("payload", "$.part"))
-    return (
-        tagged.where(F.col("tag").isin("example", "part"))
-        .select(F.col("doc_id").alias("raw_id"), "word", F.col("tag").alias("child_kind"), "pos", text.alias("child_text"))
-        .distinct()
-    )
+def children(spark: SparkSession, path: str) -> DataFrame:
+    """(raw_id, word, child_kind, pos, child_text) of a written emission: an example's source without outer blanks, or the part's number."""
+    row = lambda tag, text: read_flat(spark, path, tag).select(F.col("doc_id").alias("raw_id"), "word", F.lit(tag).alias("child_kind"), "pos", text.alias("child_text"))
+    source = F.regexp_replace(F.coalesce("source", F.lit("")), r"(?U)^\s+|(?<!\s)\s+$", "")
+    return row("example", source).unionByName(row("part", F.col("number"))).distinct()

@@ -23,12 +23,18 @@ def _report(entries, vocab, questions, passages):
     return orphans.orphan_report(orphans.references(entries), orphans.targets(vocab, questions, passages))
 
 
+def _children(spark, sf):
+    """Children of the raw files, from their written emission."""
+    tagged = nested.flatten_payloads(spread(table(spark, sf, "word_ets_examples_raw")), tags=("example", "part"))
+    return nested.children(spark, nested.write_tagged(tagged))
+
+
 def _flat(tag):
-    """A flat table of raw files and typed entries together, from one written emission."""
+    """A flat table of raw files and typed entries together, from a written emission of its tag alone."""
 
     def run(spark, sf):
-        tagged = nested.flatten_payloads(spread(table(spark, sf, "word_ets_examples_raw")))
-        rows = tagged.unionByName(nested.flatten_entries(table(spark, sf, "word_ets_examples")).select(*tagged.columns))
+        tagged = nested.flatten_payloads(spread(table(spark, sf, "word_ets_examples_raw")), tags=(tag,))
+        rows = tagged.unionByName(nested.flatten_entries(table(spark, sf, "word_ets_examples"), (tag,)).select(*tagged.columns))
         return nested.read_flat(spark, nested.write_tagged(rows), tag)
 
     return run
@@ -38,7 +44,7 @@ def queries() -> dict:
     return {
         "p1_found": _t(_REF, _orphans),
         "p1_report": _t(_REF, _report),
-        "p2_found": _t(("word_ets_examples_raw",), lambda r: nested.children(nested.flatten_payloads(spread(r)))),
+        "p2_found": _children,
         "p2_words": _flat("word"),
         "p2_examples": _flat("example"),
         "p2_parts": _flat("part"),
@@ -63,6 +69,9 @@ def oracle_sql() -> dict[str, str]:
         "p1_found": f"WITH {_REFS} SELECT * FROM found WHERE reason IS NOT NULL",
         "p1_report": f"WITH {_REFS} SELECT ref_table, load_month, reason, count(*) AS n_refs, count(DISTINCT ref_id) AS n_targets FROM found WHERE reason IS NOT NULL GROUP BY ALL",
         "p2_found": records_sql.CHILDREN,
+        "p2_words": records_sql.WORDS,
+        "p2_examples": records_sql.EXAMPLES,
+        "p2_parts": records_sql.PARTS,
         "p5_found": records_sql.packed(),
         "p4_found": f"WITH {_TOTALS} SELECT * FROM totals",
         "p4_with_vocab": f"""WITH {_TOTALS}, v AS (SELECT {WORD} AS word, count(DISTINCT id) AS n_vocab_ids, count(DISTINCT day) AS n_days FROM vocab GROUP BY 1)

@@ -71,19 +71,41 @@ PAYLOADS = [
 def test_nested_shapes(spark):
     raw = spark.createDataFrame(PAYLOADS, "raw_id long, payload string")
     tagged = nested.flatten_payloads(raw)
-    got = {tuple(r) for r in nested.children(tagged).collect()}
+    path = nested.write_tagged(tagged)
+    got = {tuple(r) for r in nested.children(spark, path).collect()}
     assert got == {
         (1, "apply", "example", 1, "Vol 1"), (1, "apply", "part", 1, "5"), (2, "a", "example", 1, "x"), (2, "a", "example", 2, ""),
         (2, "a", "part", 1, "6"), (2, "a", "part", 2, "7"), (3, "b", "example", 1, "y"), (8, "d", "part", 1, "5"), (8, "d", "part", 2, "6"),
         (9, "e", "example", 1, "u"), (9, "e", "example", 2, "v"),
     }
-    path = nested.write_tagged(tagged)
     words = nested.read_flat(spark, path, "word")
     assert words.count() == 6 and nested.read_flat(spark, path, "error").count() == 1
     ex = nested.read_flat(spark, path, "example")
     assert ex.join(words.select(F.col("pk").alias("parent")), "parent").count() == ex.count()
 
 
+def test_nested_survives_bad_payloads(spark):
+    deep = "[" * 200_000 + "]" * 200_000
+    raw = [
+        (1, '{"a": {"parts_appeared": [NaN, Infinity, 1e999, 6], "examples": [{"source": "s", "page": NaN}]}}'),
+        (2, '{"b": {"examples": [{"source": "x\\ud800y"}, "z\\udfff"]}, "\\ud800": {"parts_appeared": ["Part 007"]}}'),
+        (3, json.dumps({"c": {"examples": deep, "parts_appeared": {}}})),
+        (4, json.dumps({"d": {"examples": {}, "parts_appeared": []}})),
+        (5, '{"e": ' + deep + "}"),
+        (6, '{"f": {"parts_appeared": [' + "9" * 5000 + "]}}"),
+        (7, '{"g": {"parts_appeared": ["' + "9" * 5000 + '", true, null]}}'),
+        (8, "[]"), (9, "3"), (10, '{"h": {"vocab_id": ["x"], "chapter": "two", "examples": 7}}'),
+    ]
+    path = nested.write_tagged(nested.flatten_payloads(spark.createDataFrame(raw, "raw_id long, payload string")))
+    got = {tuple(r) for r in nested.children(spark, path).collect()}
+    assert got == {
+        (1, "a", "part", 1, "6"), (1, "a", "example", 1, "s"), (2, "b", "example", 1, "x?y"), (2, "b", "example", 2, ""), (2, "?", "part", 1, "7"),
+        (3, "c", "example", 1, ""), (7, "g", "part", 1, "9" * 5000),
+    }
+    assert {r["doc_id"] for r in nested.read_flat(spark, path, "error").collect()} == {5, 6}
+    assert {(r["doc_id"], r["word"]) for r in nested.read_flat(spark, path, "word").collect()} == {(1, "a"), (2, "b"), (2, "?"), (3, "c"), (4, "d"), (7, "g"), (10, "h")}
+
+
 def test_nested_found_against_brute_force(spark, sf):
     want = set()
     for rid, payload in table(spark, sf, "word_ets_examples_raw").select("raw_id", "payload").collect():
@@ -143,7 +165,7 @@ QUEST = "id string, vocabulary string, value int"
 
 
 def _packed(spark, vocab, questions):
-    df = packed.packed_fields(spark.createDataFrame(vocab, VOCAB), spark.createDataFrame(questions, QUEST), min_score=0.5)
+    df = packed.packed_fields(spark.createDataFrame(vocab, VOCAB), spark.createDataFrame(questions, QUEST), min_regularity=0.5)
     out = defaultdict(list)
     for r in sorted(map(tuple, df.collect())):
         out[r[0], r[1]].append(r[3])
@@ -175,6 +197,18 @@ def test_packed_fields(spark):
     }
 
 
+def test_packed_delimiters_need_support_and_even_pieces(spark):
+    """One stray slash among many values, and pieces of any number, make no delimiter."""
+    stray = [("s", "alpha, beta, gamma")] * 500 + [("s", "one/two")]
+    uneven = [("u", ";".join("abcdefghijk"[:k])) for k in (2, 11, 3, 5)]
+    df = spark.createDataFrame(stray + uneven, "source string, value string")
+    assert packed.accepted_delimiters(df) == {"s": [","]}
+    for copies in (3, 10):  # the verdict doesn't move with the size
+        assert packed.accepted_delimiters(spark.createDataFrame((stray + uneven) * copies, "source string, value string")) == {"s": [","]}
+    scores = {r["delimiter"]: r for r in packed.delimiter_scores(df).where("source = 's'").collect()}
+    assert scores["/"]["support"] < 0.005 < scores[","]["support"] and scores[","]["consistency"] == 1.0
+
+
 def test_packed_very_long_and_empty(spark):
     text = ";".join(f'"v{i}, x"' for i in range(60_000))
     got = _packed(spark, [("h", None, text, D(2025, 1, 1), 1)], [])
