@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import materialise
-from .skew import heavy_keys
+from .skew import attach_by_key, heavy_keys
 
 _KEY = ["ref_table", "ref_id"]
 
@@ -69,42 +69,63 @@ def targets(vocab: DataFrame, questions: DataFrame, passages: DataFrame) -> Data
     )
 
 
-def _reason(at: Column) -> Column:
-    return (
+def key_states(refs: DataFrame, targets: DataFrame) -> DataFrame:
+    """(ref_table, ref_id, n, state, first_at): the keys that are or may be orphans, one row each.
+
+    References are counted per key and month; from these each key's number,
+    earliest and latest load come, and the key meets its target once. Keys that
+    would overload a task by their references are bounded in number (see
+    ``heavy_keys``); their targets' state is broadcast, all other keys go
+    through a shuffled join, and the union of both is the result. ``state`` is
+    missing, deleted or late; a late key has at least one reference loaded
+    before its target. Without targets every key is missing.
+    """
+    months = refs.groupBy(*_KEY, _month()).agg(F.count("*").alias("n"), F.min("at").alias("min_at"))
+    keys = months.groupBy(*_KEY).agg(F.sum("n").alias("n"), F.min("min_at").alias("min_at"))
+    heavy = heavy_keys(keys, _KEY, "n").drop("_heavy_n")
+    state = targets.withColumn("_hit", F.lit(True))
+    hot = keys.join(F.broadcast(heavy), _KEY).join(F.broadcast(state.join(F.broadcast(heavy), _KEY)), _KEY, "left")
+    rest = keys.join(F.broadcast(heavy), _KEY, "left_anti").join(state, _KEY, "left")
+    what = (
         F.when(F.col("_hit").isNull(), F.lit("missing"))
         .when(F.col("all_deleted"), F.lit("deleted"))
-        .when(F.col("first_at") > at, F.lit("late"))
+        .when(F.col("first_at") > F.col("min_at"), F.lit("late"))
     )
+    cols = [*_KEY, "n", what.alias("state"), "first_at"]
+    return hot.select(*cols).unionByName(rest.select(*cols)).where("state is not null")
+
+
+def _month() -> Column:
+    return F.date_format("at", "yyyy-MM").alias("load_month")
+
+
+def _orphan_rows(refs: DataFrame, states: DataFrame) -> DataFrame:
+    """References of orphan keys, without those that were loaded after their late target."""
+    rows = attach_by_key(refs, states, _KEY, "n")
+    return rows.where((F.col("state") != "late") | (F.col("first_at") > F.col("at")))
 
 
 def find_orphans(refs: DataFrame, targets: DataFrame) -> DataFrame:
     """(ref_table, ref_id, entry_id, reason, load_month), one row per entry and target.
 
-    References are first counted per key and month. Keys that would overload a
-    task (their number is bounded, see ``heavy_keys``) have their targets'
-    state broadcast; all other keys go through a shuffled join; the union of
-    both is the result. A target is ``late`` if it was first loaded after the
-    referring row; a null load time is never late.
+    What a reference is, is decided per key (``key_states``); rows are only
+    looked up for the keys that are orphans or may be late. A target is
+    ``late`` if it was first loaded after the referring row; a null load time
+    is never late.
 
     Null ids are no references; repeated rows give one row; an empty target
     table makes every reference ``missing``.
     """
-    refs = materialise(refs, "refs")  # taken apart once, read three times
-    month = F.date_format("at", "yyyy-MM").alias("load_month")
-    counts = refs.groupBy(*_KEY, month).agg(F.count("*").alias("_n")).groupBy(*_KEY).agg(F.sum("_n").alias("_n"))
-    heavy = heavy_keys(counts, _KEY, "_n")
-    state = targets.withColumn("_hit", F.lit(True))
-    # state of the heavy keys: as many rows as there are heavy keys
-    heavy_state = F.broadcast(heavy.join(state, _KEY, "left").withColumn("_heavy", F.lit(True)))
-    tagged = refs.join(heavy_state, _KEY, "left")
-    hot = tagged.where("_heavy")
-    rest = tagged.where("_heavy is null").select(*_KEY, "entry_id", "at").join(state, _KEY, "left")
-    cols = [*_KEY, "entry_id", _reason(F.col("at")).alias("reason"), month]
-    return hot.select(*cols).unionByName(rest.select(*cols)).where("reason is not null").distinct()
+    refs = materialise(refs, "refs")  # taken apart once, read twice
+    rows = _orphan_rows(refs, materialise(key_states(refs, targets), "states"))
+    return rows.select(*_KEY, "entry_id", F.col("state").alias("reason"), _month()).distinct()
 
 
 def orphan_report(refs: DataFrame, targets: DataFrame) -> DataFrame:
-    """(ref_table, load_month, reason, n_refs, n_targets): orphans per table and period."""
-    return find_orphans(refs, targets).groupBy("ref_table", "load_month", "reason").agg(
-        F.count("*").alias("n_refs"), F.count_distinct("ref_id").alias("n_targets")
-    )
+    """(ref_table, load_month, reason, n_refs, n_targets): orphans per table and period.
+
+    Only references of orphan keys are counted, once per entry, first per key
+    and month; the counts of heavy and other keys meet in the last sum.
+    """
+    per_key = find_orphans(refs, targets).groupBy(*_KEY, "reason", "load_month").agg(F.count("*").alias("n"))
+    return per_key.groupBy("ref_table", "load_month", "reason").agg(F.sum("n").alias("n_refs"), F.count("*").alias("n_targets"))
