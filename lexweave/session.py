@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 
@@ -24,18 +25,55 @@ def shared_dir(spark: SparkSession) -> str:
     return path
 
 
+def scratch_dir(spark: SparkSession) -> str:
+    """This application's own part of the shared folder. ``release`` removes it;
+    at the latest that happens when the program ends."""
+    path = f"{shared_dir(spark).rstrip('/')}/lexweave-{spark.sparkContext.applicationId}"
+    if path not in _scratch:
+        _scratch[path] = spark
+        if len(_scratch) == 1:
+            atexit.register(_release_all)
+    return path
+
+
+_scratch: dict[str, SparkSession] = {}
+
+
+def release(spark: SparkSession) -> None:
+    """Remove the tables that this application wrote into the shared folder.
+
+    To be called when the results are written: queries read these tables until then.
+    """
+    _remove(scratch_dir(spark))
+
+
+def _remove(path: str) -> None:
+    sc = _scratch.pop(path).sparkContext
+    folder = sc._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(sc._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+def _release_all() -> None:
+    for path in list(_scratch):
+        try:
+            _remove(path)
+        except Exception:  # noqa: BLE001 - the session is gone, its folder stays for the cluster to clean
+            pass
+
+
 def shared_table_path(spark: SparkSession, name: str) -> str:
     """A fresh path for a table written into the shared folder."""
-    return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    return f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as parquet into the shared folder and read it back.
+def materialise(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
+    """Write ``df`` as parquet into the shared folder, in folders by the column ``by``
+    if given, and read it back.
 
     Cuts the lineage in a way that survives the loss of any executor.
     """
     path = shared_table_path(df.sparkSession, name)
-    df.write.parquet(path)
+    (df.write.partitionBy(by) if by else df.write).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
