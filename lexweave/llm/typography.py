@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -13,12 +15,16 @@ from pyspark.sql import functions as F
 from ..operators.skew import attach_by_key
 from ..session import materialise
 
-#: Bits of the filters per record, their number of probes, and their greatest
-#: size. Beyond it the filters fill up: more records are shuffled as possible
-#: repeats, the result stays the same.
+#: Bits of the filters per record, their number of probes, and the size of one
+#: filter. More records than one filter takes are told into shards by their
+#: hashes, with a filter each: filters are never fuller than ``BITS_PER_RECORD``
+#: allows, however many records there are.
 BITS_PER_RECORD = 12
 PROBES = 4
-MAX_BITS = 1 << 26
+SHARD_BITS = 1 << 26
+#: Shards whose filters are built and probed by one job, which bounds what the
+#: driver holds: this many times ``SHARD_BITS`` / 8 bytes.
+SHARDS_AT_ONCE = 16
 _CHUNK = 1 << 16  # bits
 _KEYS = "kind string, id bigint, h1 bigint, h2 bigint"
 
@@ -54,7 +60,8 @@ def canonical_json(payload: str | None) -> str | None:
     if payload is None or not payload.strip():
         return None
     try:
-        return json.dumps(_canonical(json.loads(payload)), sort_keys=True, separators=(",", ":"), ensure_ascii=False)
+        # escapes keep half characters from breaking the column
+        return json.dumps(_canonical(json.loads(payload)), sort_keys=True, separators=(",", ":"))
     except (ValueError, RecursionError):
         return payload.strip()
 
@@ -91,79 +98,116 @@ def _merge(once: np.ndarray, rep: np.ndarray, once2: np.ndarray, rep2: np.ndarra
     return once | once2, rep | rep2 | (once & once2)
 
 
-def repeat_filter(keys: DataFrame, bits: int) -> np.ndarray:
-    """Packed Bloom filter (``bits`` / 8 bytes) of the hashes seen more than once.
+def repeat_filters(shards: dict[int, DataFrame], bits: int) -> Iterator[tuple[int, np.ndarray]]:
+    """(shard, packed Bloom filter of ``bits`` / 8 bytes) of the hashes seen more than once.
 
     Each partition builds a filter of once-seen and one of repeatedly-seen
-    hashes; the parts are merged chunk by chunk in two levels. It may hold
-    hashes seen once (false positives), never misses a repeated one.
+    hashes; the parts are merged chunk by chunk in two levels. A filter may
+    hold hashes seen once (false positives), never misses a repeated one. One
+    job serves all ``shards``; the driver gets one filter after the other.
     """
 
-    def build(batches):
-        once, rep = np.zeros(bits, bool), np.zeros(bits, bool)
-        part = 0
-        for b in batches:
-            h1, h2 = (b.column(c).to_numpy(zero_copy_only=False) for c in (2, 3))
-            if not len(h1):
-                continue
-            part = int(h1[0]) & 0x3F
-            pos = _probe_bits(h1, h2, bits)
-            # seen in an earlier batch, or twice in this one
-            seen = once[pos].all(axis=0)
-            pair = h1.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) ^ h2.astype(np.uint64)
-            order = np.argsort(pair, kind="stable")
-            same = np.zeros(len(pair), bool)
-            same[order[1:]] = pair[order[1:]] == pair[order[:-1]]
-            rep[pos[:, seen | same]] = True
-            once[pos] = True
-        po, pr = np.packbits(once), np.packbits(rep)
-        step = _CHUNK // 8
-        for c in range(0, bits // 8, step):
-            o, r = po[c : c + step], pr[c : c + step]
-            if o.any():
-                yield pa.RecordBatch.from_pydict({"chunk": pa.array([c // step], pa.int32()), "slot": pa.array([part], pa.int32()), "once": [o.tobytes()], "rep": [r.tobytes()]})
+    def build_of(shard: int):
+        def build(batches):
+            once, rep = np.zeros(bits, bool), np.zeros(bits, bool)
+            part = 0
+            for b in batches:
+                h1, h2 = (b.column(c).to_numpy(zero_copy_only=False) for c in (2, 3))
+                if not len(h1):
+                    continue
+                part = int(h1[0]) & 0x3F
+                pos = _probe_bits(h1, h2, bits)
+                # seen in an earlier batch, or twice in this one
+                seen = once[pos].all(axis=0)
+                pair = h1.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) ^ h2.astype(np.uint64)
+                order = np.argsort(pair, kind="stable")
+                same = np.zeros(len(pair), bool)
+                same[order[1:]] = pair[order[1:]] == pair[order[:-1]]
+                rep[pos[:, seen | same]] = True
+                once[pos] = True
+            po, pr = np.packbits(once), np.packbits(rep)
+            step = _CHUNK // 8
+            for c in range(0, bits // 8, step):
+                o, r = po[c : c + step], pr[c : c + step]
+                if o.any():
+                    yield pa.RecordBatch.from_pydict(
+                        {"shard": pa.array([shard], pa.int32()), "chunk": pa.array([c // step], pa.int32()), "slot": pa.array([part], pa.int32()), "once": [o.tobytes()], "rep": [r.tobytes()]}
+                    )
+
+        return build
 
     def fold(pdf: pd.DataFrame) -> pd.DataFrame:
         once = rep = None
         for o, r in zip(pdf["once"], pdf["rep"]):
             o, r = np.frombuffer(o, np.uint8), np.frombuffer(r, np.uint8)
             once, rep = (o, r) if once is None else _merge(once, rep, o, r)
-        return pd.DataFrame({"chunk": pdf["chunk"].iloc[:1], "slot": pdf["slot"].iloc[:1], "once": [once.tobytes()], "rep": [rep.tobytes()]})
-
-    schema = "chunk int, slot int, once binary, rep binary"
-    parts = keys.mapInArrow(build, schema)
-    level1 = parts.groupBy("chunk", "slot").applyInPandas(fold, schema)
-    level2 = level1.groupBy("chunk").applyInPandas(fold, schema).select("chunk", "rep")
-    out = np.zeros(bits // 8, np.uint8)
-    for row in level2.toLocalIterator():  # bits / 8 bytes in all
+        return pdf.iloc[:1].assign(once=[once.tobytes()], rep=[rep.tobytes()])
+
+    schema = "shard int, chunk int, slot int, once binary, rep binary"
+    parts = reduce(DataFrame.unionByName, (rows.mapInArrow(build_of(s), schema) for s, rows in shards.items()))
+    level1 = parts.groupBy("shard", "chunk", "slot").applyInPandas(fold, schema)
+    level2 = level1.groupBy("shard", "chunk").applyInPandas(fold, schema).select("shard", "chunk", "rep")
+    out = {s: np.zeros(bits // 8, np.uint8) for s in shards}
+    for row in level2.toLocalIterator():
         at = row["chunk"] * (_CHUNK // 8)
-        out[at : at + _CHUNK // 8] = np.frombuffer(row["rep"], np.uint8)
-    return out
+        out[row["shard"]][at : at + _CHUNK // 8] = np.frombuffer(row["rep"], np.uint8)
+    while out:
+        yield out.popitem()
 
 
 def filter_bits(n: int) -> int:
+    """Bits of a filter for ``n`` records, a power of two."""
     bits = _CHUNK
-    while bits < n * BITS_PER_RECORD and bits < MAX_BITS:
+    while bits < n * BITS_PER_RECORD:
         bits *= 2
     return bits
 
 
-def split_possible_repeats(keys: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(possible repeats, singletons): what the repeat filter holds, and the rest, which is unique for certain."""
-    bits = filter_bits(keys.count())
-    packed = repeat_filter(keys, bits)
-    shared = keys.sparkSession.sparkContext.broadcast(packed)  # at most MAX_BITS / 8 bytes
-
-    def probe(batches):
-        rep = shared.value
-        for b in batches:
-            h1, h2 = (b.column(c).to_numpy(zero_copy_only=False) for c in (2, 3))
-            pos = _probe_bits(h1, h2, bits)
-            hit = ((rep[pos >> 3] >> (7 - (pos & 7)).astype(np.uint8)) & 1).all(axis=0)
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(hit, pa.bool_())], names=[*b.schema.names, "maybe"])
+def stored_keys(entries: DataFrame, raw: DataFrame) -> tuple[DataFrame, int, int]:
+    """(keys, number of shards, bits of a filter): the records' keys, written once.
 
-    tagged = keys.mapInArrow(probe, _KEYS + ", maybe boolean")
-    return tagged.where("maybe").drop("maybe"), tagged.where("not maybe").drop("maybe")
+    More records than one filter takes are written in folders by shard, each
+    task its own files, so that every shard can be read alone without a
+    shuffle. How many records there can be is counted from lengths alone.
+    """
+    sizes = entries.agg(F.coalesce(F.sum(F.when(F.col("examples").isNotNull(), F.size("examples.ex_id"))), F.lit(0)).alias("n"))
+    n = sizes.first()["n"] + raw.count()
+    shards = -(-n * BITS_PER_RECORD // SHARD_BITS) or 1
+    keys = record_keys(entries, raw)
+    if shards == 1:
+        return materialise(keys, "p3-keys"), 1, filter_bits(n)
+    shard = F.pmod(F.shiftrightunsigned("h2", 36), F.lit(shards)).cast("int")
+    # few tasks write into many folders: fewer and larger files
+    few = keys.coalesce(max(1, keys.sparkSession.sparkContext.defaultParallelism))
+    # shards differ a little in size: a filter of the next power of two has room for it
+    return materialise(few.withColumn("shard", shard), "p3-keys", by="shard"), shards, filter_bits(-(-n // shards))
+
+
+def split_possible_repeats(keys: DataFrame, shards: int, bits: int) -> tuple[DataFrame, DataFrame]:
+    """(possible repeats, singletons): what the repeat filters hold, and the rest, which is unique for certain."""
+
+    def probe_of(shared):
+        def probe(batches):
+            rep = shared.value
+            for b in batches:
+                h1, h2 = (b.column(c).to_numpy(zero_copy_only=False) for c in (2, 3))
+                pos = _probe_bits(h1, h2, bits)
+                hit = ((rep[pos >> 3] >> (7 - (pos & 7)).astype(np.uint8)) & 1).all(axis=0)
+                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(hit, pa.bool_())], names=[*b.schema.names, "maybe"])
+
+        return probe
+
+    sc, cols = keys.sparkSession.sparkContext, ["kind", "id", "h1", "h2"]
+    of = {s: (keys.where(F.col("shard") == s) if shards > 1 else keys).select(*cols) for s in range(shards)}
+    groups = []
+    for at in range(0, shards, SHARDS_AT_ONCE):
+        some = {s: of[s] for s in range(at, min(at + SHARDS_AT_ONCE, shards))}
+        # bits / 8 bytes each; only the tasks of a shard fetch its filter
+        tagged = [some[s].mapInArrow(probe_of(sc.broadcast(packed)), _KEYS + ", maybe boolean") for s, packed in repeat_filters(some, bits)]
+        rows = reduce(DataFrame.unionByName, tagged)
+        groups.append(rows if shards <= SHARDS_AT_ONCE else materialise(rows, "p3-split"))
+    rows = reduce(DataFrame.unionByName, groups)
+    return rows.where("maybe").drop("maybe"), rows.where("not maybe").drop("maybe")
 
 
 _HASH = ["kind", "h1", "h2"]
@@ -184,8 +228,7 @@ def duplicate_pairs(entries: DataFrame, raw: DataFrame) -> DataFrame:
     again under the same id is no copy. Records without letters and digits
     have none; empty tables give no rows.
     """
-    keys = materialise(record_keys(entries, raw), "p3-keys")
-    repeats, _ = split_possible_repeats(keys)
+    repeats, _ = split_possible_repeats(*stored_keys(entries, raw))
     groups = exact_groups(repeats).where("n_copies > 1")
     rows = repeats.groupBy(*_HASH, "id").agg(F.lit(1).alias("_one")).drop("_one")
     return attach_by_key(rows, groups, _HASH, "n_copies").where("id <> id_a").select("kind", "id_a", F.col("id").alias("id_b"))
@@ -193,7 +236,6 @@ def duplicate_pairs(entries: DataFrame, raw: DataFrame) -> DataFrame:
 
 def collapsed(entries: DataFrame, raw: DataFrame) -> DataFrame:
     """(kind, id, n_copies): one record per distinct text or file, named by its smallest id."""
-    keys = materialise(record_keys(entries, raw), "p3-keys")
-    repeats, singles = split_possible_repeats(keys)
+    repeats, singles = split_possible_repeats(*stored_keys(entries, raw))
     groups = exact_groups(repeats).select("kind", F.col("id_a").alias("id"), "n_copies")
     return groups.unionByName(singles.select("kind", "id", F.lit(1).cast("bigint").alias("n_copies")))

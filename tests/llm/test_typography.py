@@ -40,13 +40,35 @@ def test_empty_and_one_huge_group(spark):
     assert typography.duplicate_pairs(e, r0).count() == 1499
 
 
-def test_full_filter_loses_nothing(spark, monkeypatch):
-    monkeypatch.setattr(typography, "MAX_BITS", typography._CHUNK)
+def test_crowded_filter_loses_nothing(spark, monkeypatch):
     monkeypatch.setattr(typography, "BITS_PER_RECORD", 1)
     e = spark.createDataFrame([(i, [(i, f"t {i % 15000}")], "x") for i in range(20000)], EX)
     assert typography.duplicate_pairs(e, spark.createDataFrame([], RAW)).count() == 5000
 
 
+def test_more_records_take_more_filters(spark, monkeypatch):
+    """Ten thousand records in filters for five thousand, in one job and in several: the filters stay as sharp as one large one."""
+    e = spark.createDataFrame([(i, [(i, f"t {i % 9000}")], "x") for i in range(10000)], EX)
+    r = spark.createDataFrame([(1, "{}"), (2, "{ }")], RAW)
+    want = sorted(map(tuple, typography.duplicate_pairs(e, r).collect()))
+    assert len(want) == 1001
+    monkeypatch.setattr(typography, "SHARD_BITS", 1 << 15)
+    for at_once in (16, 2):
+        monkeypatch.setattr(typography, "SHARDS_AT_ONCE", at_once)
+        keys, shards, bits = typography.stored_keys(e, r)
+        assert shards == 4 and bits <= 1 << 16
+        repeats, singles = typography.split_possible_repeats(keys, shards, bits)
+        assert repeats.count() < 2002 + 150 and repeats.count() + singles.count() == 10002
+        assert sorted(map(tuple, typography.duplicate_pairs(e, r).collect())) == want
+
+
+def test_half_characters_and_deep_json(spark):
+    deep = "[" * 100_000 + "]" * 100_000
+    raw = [(1, '{"a": "\\ud800"}'), (2, '{"a":"\\ud800"}'), (3, '{"a":"\\udfff"}'), (4, deep), (5, deep + " "), (6, '{"a": NaN}')]
+    e, r = spark.createDataFrame([], EX), spark.createDataFrame(raw, RAW)
+    assert {tuple(x) for x in typography.duplicate_pairs(e, r).collect()} == {("raw", 1, 2), ("raw", 4, 5)}
+
+
 def test_against_brute_force(spark):
     sf = "/root/testdata/sf0.01"
     ex, raw = defaultdict(set), defaultdict(set)
