@@ -3,27 +3,27 @@
 from __future__ import annotations
 
 import re
-from dataclasses import dataclass, field
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import materialise
-from .scans import Noise, learn_noise, scan_texts
+from .scans import inspect_texts, learn_noise, scan_texts
 
-#: A length at which at least this share and number of a source's open ends
-#: pile up is that source's field limit.
-LIMIT_SHARE = 0.25
+#: A source's field limit is the length at which unlike open ends pile up: so
+#: many times as many as at the lengths within ``LIMIT_SPAN`` of it, on average,
+#: and ``LIMIT_LEAST`` at least.
+LIMIT_PEAK = 10
+LIMIT_SPAN = 10
 LIMIT_LEAST = 5
-#: Number of a field's closed texts that must end in a phrase for it to count as
-#: an end of a sentence, and number from which a pair of words is common enough
-#: that its known four-word ends are all there are.
-END_LEAST = 3
-END_COMMON = 300
-#: Share of a field's closed texts from which an end phrase is sent to the
-#: executors: at most 1 / share phrases per field.
-END_SHARE = 1 / 200_000
+#: A last word pair goes on to take new forms if more than this share of its
+#: known longer ends stand alone (see ``learn_ends``): the next end is then
+#: more likely new than known.
+NEW_SHARE = 0.5
+#: Where fewer than this share of a source's texts have a full stop, the lack
+#: of one tells nothing.
+STOPS_SHARE = 0.5
 
 _CLOSERS = "\"'”’»」』)\\]*_"
 #: Ends that need no second look: a full stop in any form, closing marks, blanks.
@@ -47,18 +47,34 @@ def open_end(text: Column) -> Column:
     return (~text.rlike(CLOSED) | text.rlike(ELLIPSIS)) & text.rlike(r"\S")
 
 
+#: Characters that a text may leave open.
+_OPENERS = "([{“‘「\"\\\\&<"
+
+
+def may_be_open(text: Column) -> Column:
+    """Whether the automaton has anything to look at in a text with a full stop at its end."""
+    stars = F.length(text) - F.length(F.replace(text, F.lit("**"), F.lit("")))
+    return text.rlike(rf"[{_OPENERS.replace('[', chr(92) + '[')}]") | (stars % 4 != 0)
+
+
 def end_phrase(text: str) -> tuple[str, str]:
     """(the last four words, the last two), numbers made alike."""
     words = ["#" if w.isdigit() else w for w in _word.findall(text.lower())[-4:]]
     return " ".join(words), " ".join(words[-2:])
 
 
-def _end_phrase_column(text: Column) -> Column:
-    """The last four words in the JVM (letters and digits of any script)."""
-    bare = F.regexp_replace(F.lower(F.substring(text, -80, 80)), r"[^\p{L}\p{N}]+", " ")
-    spaced = F.regexp_replace(F.regexp_replace(bare, r"(?<=\p{L})(?=\p{N})|(?<=\p{N})(?=\p{L})", " "), r"\p{N}+", "#")
-    words = F.split(F.trim(spaced), " ")
-    return F.array_join(F.slice(words, F.greatest(F.size(words) - 3, F.lit(1)), 4), " ")
+def _last_words(text: Column, n: int) -> Column:
+    """The last ``n`` words in the JVM (letters and digits of any script), numbers made alike."""
+
+    def words(part: Column) -> Column:
+        bare = F.regexp_replace(F.lower(part), r"[^\p{L}\p{N}]+", " ")
+        spaced = F.regexp_replace(F.regexp_replace(bare, r"(?<=\p{L})(?=\p{N})|(?<=\p{N})(?=\p{L})", " "), r"\p{N}+", "#")
+        return F.split(F.trim(spaced), " ")
+
+    near = words(F.substring(text, -80, 80))
+    # a text of long words is read as a whole: the first word of its last stretch may be cut
+    all_words = F.when((F.size(near) > n) | (F.length(text) <= 80), near).otherwise(words(text))
+    return F.slice(all_words, F.greatest(F.size(all_words) - (n - 1), F.lit(1)), n)
 
 
 def unclosed(text: str) -> bool:
@@ -85,95 +101,113 @@ def unclosed(text: str) -> bool:
     return bool(stack) or bool(broken) or text.replace("**", "").count("*") % 2 == 1
 
 
-@dataclass
-class Baseline:
-    """What closed texts look like, per field, and where sources cut."""
+def stored_counts(texts: DataFrame) -> DataFrame:
+    """(field_name, feed, open, len, text_hash, end, n): what is learned from all texts, counted in one pass."""
+    is_open = open_end(F.col("text"))
+    own = F.when(is_open, F.xxhash64("text"))
+    end = F.when(~is_open, F.array_join(_last_words(F.col("text"), 6), " "))
+    rows = texts.select("field_name", "feed", is_open.alias("open"), F.when(is_open, F.length("text")).alias("len"), own.alias("text_hash"), end.alias("end"))
+    return materialise(rows.groupBy("field_name", "feed", "open", "len", "text_hash", "end").agg(F.count("*").alias("n")), "p7-counts")
+
+
+def learn_limits(counts: DataFrame) -> DataFrame:
+    """(field_name, feed, limit): the field limit of the sources that have one."""
+    lengths = counts.where("open").groupBy("field_name", "feed", "len").agg(F.count("*").alias("n"))  # unlike texts
+    of_source = Window.partitionBy("field_name", "feed")
+    around = of_source.orderBy("len").rangeBetween(-LIMIT_SPAN, LIMIT_SPAN)
+    near = (F.sum("n").over(around) - F.col("n")) / (2 * LIMIT_SPAN)
+    peak = F.row_number().over(of_source.orderBy(F.desc("n"), F.desc("len"))) == 1
+    top = lengths.withColumns({"near": near, "peak": peak}).where("peak")
+    return top.where((F.col("n") >= LIMIT_LEAST) & (F.col("n") >= LIMIT_PEAK * F.greatest("near", F.lit(0.5)))).select("field_name", "feed", F.col("len").alias("limit"))
 
-    ends: dict[str, dict[str, int]] = field(default_factory=dict)
-    limits: dict[tuple[str, str | None], int] = field(default_factory=dict)
 
+def learn_stops(counts: DataFrame) -> DataFrame:
+    """(field_name, feed, stops): the share of a source's texts that end with a full stop."""
+    n = F.sum("n")
+    return counts.groupBy("field_name", "feed").agg((F.coalesce(F.sum(F.when(~F.col("open"), F.col("n"))), F.lit(0)) / n).alias("stops"))
 
-def learn_baseline(texts: DataFrame) -> Baseline:
-    """End phrases of closed texts per field and field limits per source, from all texts.
 
-    The driver gets at most 1 / ``END_SHARE`` phrases per field and one limit per source.
+def learn_ends(counts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(field_name, four) of all ends of closed texts, and (field_name, two, new_share) of their last pairs.
+
+    Counted are unlike ends of six words, not texts, so copies of a text tell
+    nothing and the measures don't grow with the corpus. ``new_share`` is the
+    Good-Turing estimate that the next end with this pair has four words
+    that weren't seen: the share of its longer ends that are the only one
+    with their four words.
     """
-    is_open = open_end(F.col("text"))
-    base = materialise(  # counted in one pass; all that follows reads the counts
-        texts.select("field_name", "feed", is_open.alias("open"), F.when(is_open, F.length("text")).alias("len"), F.when(~is_open, _end_phrase_column(F.col("text"))).alias("end"))
-        .groupBy("field_name", "feed", "open", "len", "end").agg(F.count("*").alias("n")),
-        "p7-ends",
-    )
-    ends: dict[str, dict[str, int]] = {}
-    closed = base.where("not open").groupBy("field_name", "end").agg(F.sum("n").alias("n"))
-    totals = {r["field_name"]: r["n"] for r in closed.groupBy("field_name").agg(F.sum("n").alias("n")).collect()}  # a row per field
-    enough = F.lit(False)
-    for name, n in totals.items():
-        enough = enough | (F.col("field_name") == name) & (F.col("n") >= max(END_LEAST, n * END_SHARE))
-    for r in closed.where(enough).collect():
-        own = ends.setdefault(r["field_name"], {})
-        pair = " ".join(r["end"].split(" ")[-2:])
-        own[r["end"]] = own.get(r["end"], 0) + r["n"]
-        if pair != r["end"]:
-            own[pair] = own.get(pair, 0) + r["n"]
-    peaks = base.where("open").groupBy("field_name", "feed").agg(F.sum("n").alias("all"), F.max_by("len", F.struct("n", F.col("len"))).alias("len"), F.max("n").alias("n"))
-    limits = {
-        (r["field_name"], r["feed"]): r["len"]
-        for r in peaks.where((F.col("n") >= LIMIT_LEAST) & (F.col("n") >= F.col("all") * LIMIT_SHARE)).collect()
-    }
-    return Baseline(ends, limits)
-
-
-def _furniture_free(text: str, noise: Noise) -> str:
-    """Text without page numbers and running heads, words mended."""
-    return noise.inspect(text)[1]
-
-
-def is_cut(field_name: str, feed: str | None, text: str, base: Baseline, noise: Noise) -> bool:
-    """Whether a text with an open end lost its end."""
-    if len(text) == base.limits.get((field_name, feed)) and not re.search(CLOSED, text):
-        return True
-    body = _furniture_free(text, noise).rstrip()
+    six = counts.where("not open").select("field_name", "end").distinct()
+    words = F.split("end", " ")
+    last = lambda n: F.array_join(F.slice(words, F.greatest(F.size(words) - (n - 1), F.lit(1)), n), " ")
+    fours = six.select("field_name", last(4).alias("four"), last(2).alias("two")).groupBy("field_name", "four", "two").agg(F.count("*").alias("k"))
+    pairs = fours.groupBy("field_name", "two").agg((F.count_if(F.col("k") == 1) / F.sum("k")).alias("new_share"))
+    return fours.select("field_name", "four"), pairs
+
+
+#: What the end of a text tells by itself.
+CUT, WHOLE, BY_PHRASE = 1, 0, 2
+
+
+def judge(text: str, body: str) -> tuple[int, str | None, str | None]:
+    """(verdict, last four words, last two) of a text and its continuous ``body``
+    without page furniture. The phrases are given where they decide."""
+    body = body.rstrip()
     if not body:
-        return False
+        return WHOLE, None, None
     dots = re.search(ELLIPSIS, body)
     stem = body[: dots.start()].rstrip() if dots else body
-    if not dots and re.search(CLOSED, body):
-        return False
     if unclosed(stem):
-        return True
+        return CUT, None, None
+    if not dots and re.search(CLOSED, body):
+        return WHOLE, None, None
     if not dots and re.search(r"\w $", text):  # it stops at the blank before a next word
-        return True
-    ends = base.ends.get(field_name, {})
-    four, two = end_phrase(stem)
-    if four in ends or re.search(r"[.!?。]$", stem):
-        return bool(dots) and not re.search(r"[.!?。]$", stem)
-    return bool(dots) or two not in ends or ends[two] >= END_COMMON
+        return CUT, None, None
+    if re.search(r"[.!?。]$", stem):
+        return WHOLE, None, None
+    return (CUT, None, None) if dots else (BY_PHRASE, *end_phrase(stem))
 
 
 def find_cuts(entries: DataFrame, questions: DataFrame) -> DataFrame:
-    """(field_name, record_id, feed, is_cut) of the texts with an open end.
+    """(field_name, record_id, feed, is_cut) of the texts with an open end or anything to be left open.
+
+    Only those leave the JVM. A text is cut if the automaton finds something
+    in it still open, with or without a full stop at its end; if it has exactly
+    its source's limit; or if it lacks the full stop that its source mostly
+    sets and stops at words that no closed text of its field ends in. A whole
+    sentence without its full stop ends in such words and is none. Null and
+    blank texts are never cut.
 
-    Only those leave the JVM. A text is cut if something in it is still open,
-    if it has exactly its source's limit, or if it stops at words that no
-    closed text of its field ends in; a whole sentence without its full stop
-    ends in such words and is none. Null and blank texts are never cut.
+    Phrases, limits and stops stay in tables: the open ends, which are few,
+    are joined with them.
     """
     texts = cut_texts(entries, questions)
-    base = learn_baseline(texts)
-    noise = learn_noise(scan_texts(entries, questions))
-    shared = texts.sparkSession.sparkContext.broadcast((base.ends, base.limits, noise.vocabulary, noise.heads))
+    counts = stored_counts(texts)
+    learned = learn_noise(scan_texts(entries, questions))
+    text = F.col("text")
+    some = texts.where((open_end(text) | may_be_open(text)) & text.rlike(r"\S"))
 
     def run(batches):
-        ends, limits, vocabulary, heads = shared.value
-        own, b = Noise(vocabulary, heads), Baseline(ends, limits)
         for x in batches:
-            cols = [x.column(i).to_pylist() for i in range(4)]
-            cut = [is_cut(f, s, t, b, own) for f, _, s, t in zip(*cols)]
-            yield pa.RecordBatch.from_arrays([x.column(0), x.column(1), x.column(2), pa.array(cut, pa.bool_())], names=["field_name", "record_id", "feed", "is_cut"])
+            if x.num_rows:
+                cut = list(zip(x.column("text").to_pylist(), x.column("repaired").to_pylist()))
+                size = pa.array([None if re.search(CLOSED, t) else len(t) for t, _ in cut], pa.int32())
+                told = [pa.array(c, k) for c, k in zip(zip(*(judge(t, b) for t, b in cut)), (pa.int32(), pa.string(), pa.string()))]
+                yield pa.RecordBatch.from_arrays([x.column("field_name"), x.column("record_id"), x.column("feed"), size, *told], names=_JUDGED)
+
+    judged = inspect_texts(some, learned).mapInArrow(run, "field_name string, record_id string, feed string, size int, told int, four string, two string").alias("j")
+    fours, pairs = learn_ends(counts)
+    source = lambda t: (F.col("j.field_name") == F.col(f"{t}.field_name")) & F.col("j.feed").eqNullSafe(F.col(f"{t}.feed"))
+    phrase = lambda t, c: (F.col("j.field_name") == F.col(f"{t}.field_name")) & (F.col(f"j.{c}") == F.col(f"{t}.{c}"))
+    rows = (
+        judged.join(learn_limits(counts).alias("l"), source("l"), "left").join(learn_stops(counts).alias("s"), source("s"), "left")
+        .join(fours.alias("f"), phrase("f", "four"), "left").join(pairs.alias("p"), phrase("p", "two"), "left")
+    )
+    strange = F.col("f.four").isNull() & (F.coalesce("p.new_share", F.lit(0.0)) <= NEW_SHARE) & (F.col("s.stops") >= STOPS_SHARE)
+    is_cut = F.coalesce(F.col("j.size") == F.col("l.limit"), F.lit(False)) | (F.col("j.told") == CUT) | (F.col("j.told") == BY_PHRASE) & strange
+    return rows.select("j.field_name", "j.record_id", "j.feed", is_cut.alias("is_cut"))
+
 
-    some = texts.where(open_end(F.col("text"))).select("field_name", "record_id", "feed", "text")
-    return some.mapInArrow(run, "field_name string, record_id string, feed string, is_cut boolean")
+_JUDGED = ["field_name", "record_id", "feed", "size", "told", "four", "two"]
 
 
 def cut_records(entries: DataFrame, questions: DataFrame) -> DataFrame:
