@@ -47,14 +47,21 @@ def open_end(text: Column) -> Column:
     return (~text.rlike(CLOSED) | text.rlike(ELLIPSIS)) & text.rlike(r"\S")
 
 
-#: Characters that a text may leave open.
-_OPENERS = "([{“‘「\"\\\\&<"
+_BRACKETS = "()[]{}“”「」‘"
+_inner = rf"[^{re.escape(_BRACKETS)}]*+"
+_CLOSED_PAIR = "|".join(re.escape(a) + _inner + re.escape(b) for a, b in _PAIRS.items() if a != "‘")
 
 
-def may_be_open(text: Column) -> Column:
-    """Whether the automaton has anything to look at in a text with a full stop at its end."""
-    stars = F.length(text) - F.length(F.replace(text, F.lit("**"), F.lit("")))
-    return text.rlike(rf"[{_OPENERS.replace('[', chr(92) + '[')}]") | (stars % 4 != 0)
+def may_be_unclosed(text: Column) -> Column:
+    """Whether the automaton could find something open in a text with a full stop at
+    its end: an opening mark outside plain pairs, or marks that pair with
+    themselves in an odd number."""
+    size = lambda mark, within: F.length(within) - F.length(F.replace(within, F.lit(mark), F.lit("")))
+    opening = rf"[{re.escape(''.join(_PAIRS))}]"
+    bracket = text.rlike(opening) & F.regexp_replace(text, _CLOSED_PAIR, "").rlike(opening)
+    single = F.replace(text, F.lit("**"), F.lit(""))
+    stars = text.contains("*") & ((size("**", text) % 4 != 0) | (size("*", single) % 2 != 0))
+    return bracket | (size('"', text) % 2 != 0) | stars
 
 
 def end_phrase(text: str) -> tuple[str, str]:
@@ -68,13 +75,12 @@ def _last_words(text: Column, n: int) -> Column:
 
     def words(part: Column) -> Column:
         bare = F.regexp_replace(F.lower(part), r"[^\p{L}\p{N}]+", " ")
-        spaced = F.regexp_replace(F.regexp_replace(bare, r"(?<=\p{L})(?=\p{N})|(?<=\p{N})(?=\p{L})", " "), r"\p{N}+", "#")
-        return F.split(F.trim(spaced), " ")
+        return F.trim(F.regexp_replace(F.regexp_replace(bare, r"(?<=\p{L})(?=\p{N})|(?<=\p{N})(?=\p{L})", " "), r"\p{N}+", "#"))
 
-    near = words(F.substring(text, -80, 80))
     # a text of long words is read as a whole: the first word of its last stretch may be cut
-    all_words = F.when((F.size(near) > n) | (F.length(text) <= 80), near).otherwise(words(text))
-    return F.slice(all_words, F.greatest(F.size(all_words) - (n - 1), F.lit(1)), n)
+    enough = lambda w: F.length(w) - F.length(F.replace(w, F.lit(" "), F.lit(""))) >= n
+    near = F.transform(F.array(words(F.substring(text, -80, 80))), lambda w: F.when(enough(w) | (F.length(text) <= 80), w).otherwise(words(text)))[0]
+    return F.substring_index(near, " ", -n)
 
 
 def unclosed(text: str) -> bool:
@@ -105,7 +111,7 @@ def stored_counts(texts: DataFrame) -> DataFrame:
     """(field_name, feed, open, len, text_hash, end, n): what is learned from all texts, counted in one pass."""
     is_open = open_end(F.col("text"))
     own = F.when(is_open, F.xxhash64("text"))
-    end = F.when(~is_open, F.array_join(_last_words(F.col("text"), 6), " "))
+    end = F.when(~is_open, _last_words(F.col("text"), 6))
     rows = texts.select("field_name", "feed", is_open.alias("open"), F.when(is_open, F.length("text")).alias("len"), own.alias("text_hash"), end.alias("end"))
     return materialise(rows.groupBy("field_name", "feed", "open", "len", "text_hash", "end").agg(F.count("*").alias("n")), "p7-counts")
 
@@ -137,8 +143,7 @@ def learn_ends(counts: DataFrame) -> tuple[DataFrame, DataFrame]:
     with their four words.
     """
     six = counts.where("not open").select("field_name", "end").distinct()
-    words = F.split("end", " ")
-    last = lambda n: F.array_join(F.slice(words, F.greatest(F.size(words) - (n - 1), F.lit(1)), n), " ")
+    last = lambda n: F.substring_index("end", " ", -n)
     fours = six.select("field_name", last(4).alias("four"), last(2).alias("two")).groupBy("field_name", "four", "two").agg(F.count("*").alias("k"))
     pairs = fours.groupBy("field_name", "two").agg((F.count_if(F.col("k") == 1) / F.sum("k")).alias("new_share"))
     return fours.select("field_name", "four"), pairs
@@ -184,7 +189,9 @@ def find_cuts(entries: DataFrame, questions: DataFrame) -> DataFrame:
     counts = stored_counts(texts)
     learned = learn_noise(scan_texts(entries, questions))
     text = F.col("text")
-    some = texts.where((open_end(text) | may_be_open(text)) & text.rlike(r"\S"))
+    ends = open_end(text)
+    some = texts.where(ends)
+    some = some if learned.rest is None else materialise(some, "p7-open")  # read twice
 
     def run(batches):
         for x in batches:
@@ -204,7 +211,14 @@ def find_cuts(entries: DataFrame, questions: DataFrame) -> DataFrame:
     )
     strange = F.col("f.four").isNull() & (F.coalesce("p.new_share", F.lit(0.0)) <= NEW_SHARE) & (F.col("s.stops") >= STOPS_SHARE)
     is_cut = F.coalesce(F.col("j.size") == F.col("l.limit"), F.lit(False)) | (F.col("j.told") == CUT) | (F.col("j.told") == BY_PHRASE) & strange
-    return rows.select("j.field_name", "j.record_id", "j.feed", is_cut.alias("is_cut"))
+    ended = texts.where(~ends & may_be_unclosed(text)).select("field_name", "record_id", "feed", "text").mapInArrow(_automaton, "field_name string, record_id string, feed string, is_cut boolean")
+    return rows.select("j.field_name", "j.record_id", "j.feed", is_cut.alias("is_cut")).unionByName(ended)
+
+
+def _automaton(batches):
+    for x in batches:
+        cut = pa.array([unclosed(t) for t in x.column(3).to_pylist()], pa.bool_())
+        yield pa.RecordBatch.from_arrays([x.column(0), x.column(1), x.column(2), cut], names=["field_name", "record_id", "feed", "is_cut"])
 
 
 _JUDGED = ["field_name", "record_id", "feed", "size", "told", "four", "two"]

@@ -159,9 +159,16 @@ def test_open_end_in_the_jvm(spark):
     assert df.where("got <> want").count() == 0
 
 
+def test_the_jvm_passes_all_that_the_automaton_finds(spark):
+    texts = ["(a [b) c.", "([).", "(“)”.", '(a " b).', "**a *b*.", "*a.", "(a (b) c.", "‘a.", "“a.", "{a.", "(a) b.", '"a" b.', "**a** b.", "((a) (b)).", "a) b.", "*a* **b**."]
+    df = spark.createDataFrame([(t,) for t in texts], "text string")
+    passed = {r[0] for r in df.where(cuts.may_be_unclosed(F.col("text"))).collect()}
+    assert {t for t in texts if cuts.unclosed(t)} <= passed and not passed & {"(a) b.", '"a" b.', "**a** b.", "a) b.", "*a* **b**."}
+
+
 def test_end_phrase_is_the_same_in_both(spark):
     texts = ["moved to room B12.", "by the end of the week", "**x** y (see page 41).", "안에 새 계약서를 승인받지 못했다.", "one", "a " + "x" * 200 + " of " + "y" * 90 + " z."]
-    df = spark.createDataFrame([(t,) for t in texts], "text string").withColumn("end", F.array_join(cuts._last_words(F.col("text"), 4), " "))
+    df = spark.createDataFrame([(t,) for t in texts], "text string").withColumn("end", cuts._last_words(F.col("text"), 4))
     for r in df.collect():
         assert r["end"] == cuts.end_phrase(r["text"])[0]
 
