@@ -189,9 +189,8 @@ def find_cuts(entries: DataFrame, questions: DataFrame) -> DataFrame:
     counts = stored_counts(texts)
     learned = learn_noise(scan_texts(entries, questions))
     text = F.col("text")
-    ends = open_end(text)
-    some = texts.where(ends)
-    some = some if learned.rest is None else materialise(some, "p7-open")  # read twice
+    some = texts.select("*", open_end(text).alias("open")).where(F.col("open") | may_be_unclosed(text))
+    some = materialise(some, "p7-open")  # told once, read three times
 
     def run(batches):
         for x in batches:
@@ -201,7 +200,7 @@ def find_cuts(entries: DataFrame, questions: DataFrame) -> DataFrame:
                 told = [pa.array(c, k) for c, k in zip(zip(*(judge(t, b) for t, b in cut)), (pa.int32(), pa.string(), pa.string()))]
                 yield pa.RecordBatch.from_arrays([x.column("field_name"), x.column("record_id"), x.column("feed"), size, *told], names=_JUDGED)
 
-    judged = inspect_texts(some, learned).mapInArrow(run, "field_name string, record_id string, feed string, size int, told int, four string, two string").alias("j")
+    judged = inspect_texts(some.where("open").drop("open"), learned).mapInArrow(run, "field_name string, record_id string, feed string, size int, told int, four string, two string").alias("j")
     fours, pairs = learn_ends(counts)
     source = lambda t: (F.col("j.field_name") == F.col(f"{t}.field_name")) & F.col("j.feed").eqNullSafe(F.col(f"{t}.feed"))
     phrase = lambda t, c: (F.col("j.field_name") == F.col(f"{t}.field_name")) & (F.col(f"j.{c}") == F.col(f"{t}.{c}"))
@@ -211,7 +210,7 @@ def find_cuts(entries: DataFrame, questions: DataFrame) -> DataFrame:
     )
     strange = F.col("f.four").isNull() & (F.coalesce("p.new_share", F.lit(0.0)) <= NEW_SHARE) & (F.col("s.stops") >= STOPS_SHARE)
     is_cut = F.coalesce(F.col("j.size") == F.col("l.limit"), F.lit(False)) | (F.col("j.told") == CUT) | (F.col("j.told") == BY_PHRASE) & strange
-    ended = texts.where(~ends & may_be_unclosed(text)).select("field_name", "record_id", "feed", "text").mapInArrow(_automaton, "field_name string, record_id string, feed string, is_cut boolean")
+    ended = some.where("not open").select("field_name", "record_id", "feed", "text").mapInArrow(_automaton, "field_name string, record_id string, feed string, is_cut boolean")
     return rows.select("j.field_name", "j.record_id", "j.feed", is_cut.alias("is_cut")).unionByName(ended)
 
 
