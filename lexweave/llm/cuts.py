@@ -74,12 +74,13 @@ def _last_words(text: Column, n: int) -> Column:
     """The last ``n`` words in the JVM (letters and digits of any script), numbers made alike."""
 
     def words(part: Column) -> Column:
-        bare = F.regexp_replace(F.lower(part), r"[^\p{L}\p{N}]+", " ")
-        return F.trim(F.regexp_replace(F.regexp_replace(bare, r"(?<=\p{L})(?=\p{N})|(?<=\p{N})(?=\p{L})", " "), r"\p{N}+", "#"))
+        bare = F.trim(F.regexp_replace(F.lower(part), r"[^\p{L}\p{N}]+", " "))
+        digits = lambda w: F.regexp_replace(F.regexp_replace(w, r"(?<=\p{L})(?=\p{N})|(?<=\p{N})(?=\p{L})", " "), r"\p{N}+", "#")
+        return F.transform(F.array(bare), lambda w: F.when(w.rlike(r"\p{N}"), digits(w)).otherwise(w))[0]
 
     # a text of long words is read as a whole: the first word of its last stretch may be cut
     enough = lambda w: F.length(w) - F.length(F.replace(w, F.lit(" "), F.lit(""))) >= n
-    near = F.transform(F.array(words(F.substring(text, -80, 80))), lambda w: F.when(enough(w) | (F.length(text) <= 80), w).otherwise(words(text)))[0]
+    near = F.transform(F.array(words(F.substring(text, -64, 64))), lambda w: F.when(enough(w) | (F.length(text) <= 64), w).otherwise(words(text)))[0]
     return F.substring_index(near, " ", -n)
 
 

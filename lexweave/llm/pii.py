@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 from bisect import bisect
 from collections.abc import Iterator
+from functools import lru_cache
 from zlib import crc32
 
 import numpy as np
@@ -55,7 +56,7 @@ _DOT = r"(?:\.|\s?[\[(<{]\s?dot\s?[\])>}]\s?|\s+dot\s+)"
 EMAIL = re.compile(rf"(?<![A-Za-z0-9._%+\-]){_LOCAL}{_AT}[A-Za-z0-9][A-Za-z0-9\-]*(?:{_DOT}[A-Za-z0-9][A-Za-z0-9\-]*)+", re.I)
 _MAY_MAIL = re.compile(r"@|[\[(<{]\s?at\s?[\])>}]|\sdot\s", re.I)
 PHONE = re.compile(
-    r"(?<![\w.+\-/])(?:\+\d{1,3}(?:[ .\-]?\(?\d{1,4}\)?){2,3}|\(0?\d{1,4}\)[ \-]?\d{3,4}[ .\-]?\d{4}|0\d{1,3}[\-. ]\d{3,4}[\-. ]\d{4}|\d{3}[\-.]\d{3}[\-.]\d{4}|\d{3} \d{3} \d{4}|0\d{4} \d{6}|0\d{9,10})(?![\w]|[\-.]\d)"
+    r"(?<![\w.+\-/])(?:\+\d{1,3}(?:[ .\-]?\(?\d{1,4}\)?){2,5}|\(0?\d{1,4}\)[ \-]?\d{3,4}[ .\-]?\d{4}|0\d{1,3}[\-. ]\d{3,4}[\-. ]\d{4}|\d{3}[\-.]\d{3}[\-.]\d{4}|\d{3} \d{3} \d{4}|0\d{4} \d{6}|0\d{9,10})(?![\w]|[\-.]\d)"
 )
 ID_NUMBER = re.compile(r"(?<![\w\-.+])(?:\d{6}-\d{7}|\d{13}|\d{3}[\- ]\d{2}[\- ]\d{4}|[A-Z]{2}\d{7}|[A-Z]\d{7,8}[A-Z]?|[A-Z]\d{3}[A-Z]\d{4})(?![\w]|[\-.]\d)")
 ADDRESS = re.compile(
@@ -68,7 +69,7 @@ ADDRESS_KO = re.compile(
     r"(?:,?\s?\d+동(?![가-힣]))?(?:,?\s?\d+층(?![가-힣]))?(?:,?\s?\d+호(?![가-힣]))?(?:\s?\(?\d{5}\)?(?!\d))?"
 )
 _U, _L = "A-ZÀ-ÖØ-ÞĀ-ſА-ЯЁ", "a-zß-öø-ÿĀ-ſа-яё"
-_WORD = rf"[{_U}][{_L}]+(?:['’\-][{_U}]?[{_L}]+)?"
+_WORD = rf"[{_U}](?:['’][{_U}])?[{_L}]+(?:['’\-][{_U}]?[{_L}]+)?"
 _INI = rf"[{_U}]\."
 NAME = re.compile(
     rf"(?<![\w@.+\-])(?:{_WORD}, {_WORD}(?![\w@])|{_WORD} {_INI} {_WORD}|(?:{_INI} ?){{1,2}}{_WORD}|{_WORD} {_WORD}|{_WORD})(?![\w@]|[\-+_.]\w)"
@@ -98,9 +99,14 @@ AGAINST = {
     "phone": r"(?:order|isbn(?:-like)?|item(?: no)?|version|score|bus|code|model|serial|invoice|number|no|q|page|security|등록번호)\W*$",
     "id_number": r"(?:order|isbn(?:-like)?|item(?: no)?|version|score|code|model|serial|invoice|room|flight|call|text|tel|phone|연락처)\W*$",
     "address": r"(?:room|bus|gate|q|page|order|open|version)\W*$",
-    "name": r"(?:\b(?:the|a|an|from|about|at|in|of|through|beside|near|behind)\s+)$",
 }
+#: A word right before a name that speaks against one (fixed values).
+_NAME_AGAINST = {"the", "a", "an", "from", "about", "at", "in", "of", "through", "beside", "near", "behind"}
 _re = {d: {k: re.compile(v, re.I if k != "name" else 0) for k, v in t.items()} for d, t in (("b", BEFORE), ("a", AFTER), ("x", AGAINST))}
+#: Last words of what stands before a name, in the case they have there: others needn't be looked at.
+_last_word = re.compile(r"(\w+|[^\w\s])\W?\s*$")
+_label_end = re.compile(r"[:,\n]\s*$")
+_NAME_LEADS = {*TITLES, "Dear", "Hi", "Hello", "by", "for", "is", "named", "am", *NAME_LABELS_KO}
 _ORG = set(ORGANISATIONS) | set(PLACES)
 _STOP = set(NOT_NAMES) | set(TITLES) | set(ORGANISATIONS) | set(PLACES)
 _NO_PART = set(NOT_NAMES) | set(TITLES)
@@ -172,6 +178,10 @@ def _resident_number(digits: str) -> bool:
     return 1 <= int(digits[2:4]) <= 12 and 1 <= int(digits[4:6]) <= 31 and digits[6] in "1234567890"
 
 
+def _line(text: str, start: int, end: int) -> str:
+    return text[text.rfind("\n", 0, start) + 1 : (text.find("\n", end) + 1 or len(text) + 1) - 1].strip()
+
+
 def votes(kind: str, text: str, start: int, end: int) -> tuple[int, ...]:
     """One vote per labeler that looks at the text alone: 1 for, -1 against, 0 none.
 
@@ -180,11 +190,12 @@ def votes(kind: str, text: str, start: int, end: int) -> tuple[int, ...]:
     (``with_corpus_votes``).
     """
     before, after, found = text[max(0, start - 60) : start], text[end : end + 30], text[start:end]
-    b = 1 if _re["b"][kind].search(before) else 0
-    a = 1 if _re["a"][kind].search(after) else 0
-    x = -1 if not b and _re["x"][kind].search(before) else 0
+    last = _last_word.search(before)
+    last = last[1] if last else ""
+    b = 1 if (kind != "name" or last in _NAME_LEADS or not last.isalpha() or _label_end.search(before)) and _re["b"][kind].search(before) else 0
+    a = 1 if _re["a"][kind].match(after) else 0
+    x = -1 if not b and (last in _NAME_AGAINST and before[-1:].isspace() if kind == "name" else _re["x"][kind].search(before)) else 0
     gaz = dic = form = 0
-    line = text[text.rfind("\n", 0, start) + 1 : (text.find("\n", end) + 1 or len(text) + 1) - 1].strip()
     if kind == "name":
         parts = _parts(found)
         if _hangul.search(found):
@@ -197,8 +208,10 @@ def votes(kind: str, text: str, start: int, end: int) -> tuple[int, ...]:
                 x = -1  # the sentence begins here, which explains the capital
             if any(p in _STOP for p in parts):
                 dic = -1
-            form = 1 if _initial.search(found) or found == line and len(parts) == 2 else 0
-    elif kind == "phone":
+            form = 1 if _initial.search(found) or len(parts) == 2 and found == _line(text, start, end) else 0
+        return b, a, x, gaz, dic, form
+    line = _line(text, start, end)
+    if kind == "phone":
         digits = sum(c.isdigit() for c in found)
         gaz = 1 if found[0] in "+(0" else 0
         dic = -1 if not 9 <= digits <= 14 else 0
@@ -227,9 +240,15 @@ def context(text: str, start: int, end: int) -> tuple[int, ...]:
     """Buckets of the two words or marks before and after a span, numbers made alike."""
     before, after = _context.findall(text[max(0, start - 40) : start])[-2:], _context.findall(text[end : end + 40])[:2]
     words = [""] * (2 - len(before)) + before + after + [""] * (2 - len(after))
-    return tuple(crc32(b"#" if w.isdigit() else w.lower().encode("utf-8", "replace")) % BUCKETS for w in words)
+    return tuple(map(_bucket, words))
+
+
+@lru_cache(100_000)
+def _bucket(word: str) -> int:
+    return crc32(b"#" if word.isdigit() else word.lower().encode("utf-8", "replace")) % BUCKETS
 
 
+@lru_cache(100_000)
 def _word_key(word: str) -> int:
     """64 bits of a word, in place of the word itself."""
     data = word.lower().encode("utf-8", "replace")
@@ -347,11 +366,12 @@ def weigh(patterns: list[tuple[tuple[int, ...], int]], prior: float) -> np.ndarr
 def word_gains(cands: DataFrame, post: DataFrame) -> dict[tuple[str, int], np.ndarray]:
     """(kind, place) -> by bucket, the log-odds that the word there speaks for a true span.
 
-    Counted once per text over all candidates, weighed by their posterior; at
-    most ``BUCKETS`` numbers come back per kind and place.
+    Counted over all candidates, weighed by their posterior, the copies of a text
+    as one; at most ``BUCKETS`` numbers come back per kind and place.
     """
-    rows = cands.select("kind", "votes", "text_id", F.posexplode("around").alias("slot", "bucket")).distinct()
-    sums = rows.join(F.broadcast(post), ["kind", "votes"]).groupBy("kind", "slot", "bucket").agg(F.sum("p").alias("yes"), F.sum(1 - F.col("p")).alias("no"))  # few patterns
+    rows = cands.select("kind", "votes", "share", F.posexplode("around").alias("slot", "bucket"))
+    yes, no = F.col("share") * F.col("p"), F.col("share") * (1 - F.col("p"))
+    sums = rows.join(F.broadcast(post), ["kind", "votes"]).groupBy("kind", "slot", "bucket").agg(F.sum(yes).alias("yes"), F.sum(no).alias("no"))  # few patterns
     found: dict[tuple[str, int], list] = {}
     for r in sums.collect():
         found.setdefault((r["kind"], r["slot"]), []).append((r["bucket"], r["yes"], r["no"]))
@@ -434,7 +454,8 @@ def find_spans(documents: DataFrame) -> DataFrame:
     """
     spark = documents.sparkSession
     stored = materialise(candidates(documents), "p10-candidates")
-    cands = materialise(with_corpus_votes(stored, part_counts(stored, documents)), "p10-votes")
+    copies = _texts(documents).groupBy("text_id").agg((1 / F.count("*")).alias("share"))
+    cands = materialise(with_corpus_votes(stored, part_counts(stored, documents)).join(copies, "text_id"), "p10-votes")
     posts = [(k, _text(v), float(q)) for k, own in _patterns(cands).items() for (v, _), q in zip(own, weigh(own, PRIOR[k]))]
     if not posts:
         return cands.select("doc_id", "text_id", "kind", "start", "end")

@@ -1,9 +1,15 @@
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from lexweave.llm import pii
 from lexweave.session import table
 
+from .heldout import TEXTS
+
+#: Measured on ``heldout``, see README.
+LEAST_RECALL, LEAST_RECALL_ALONE, LEAST_PRECISION = 0.9, 0.9, 0.9
+
 
 def found(text):
     return {(k, text[a:z]) for k, a, z in pii.spans(text)}
@@ -50,8 +56,60 @@ def test_forms(text, kind, want):
 def test_model_separates_by_votes():
     patterns = [((1, 1, 0, 0, 0, 0), 50), ((1, 0, 0, 1, 0, 0), 30), ((0, 0, -1, 0, -1, 0), 900), ((0, 0, -1, 0, 0, 0), 100)]
     post = pii.weigh(patterns, 0.5)
-    p = pii.fit(patterns, post)
+    p = pii.fit([(v, 6 if v[0] else 0, n) for v, n in patterns], post)
     assert (p[:2] > 0.5).all() and (p[2:] < 0.5).all() and np.isfinite(p).all()
+    many = pii.weigh([(v, n * 1000) for v, n in patterns], 0.5)
+    assert np.allclose(post, many)
+
+
+def test_words_around_tell_what_no_labeler_knows(spark):
+    """Names of two unknown words are told by the words that stand beside introduced ones."""
+    first, last = ["Amber", "Boris", "Celia", "Doran", "Esme", "Farid", "Gitte", "Hanno"], ["Kolm", "Lorve", "Munt", "Nask", "Orrel", "Prenn", "Quast", "Rilk"]
+    rows = [(i, f"The tall winner was Ms. {first[i % 8]} {last[i // 8 % 8]} from upstairs again. Old {last[i % 8]}ia Harbour Fair opened.", "x") for i in range(64)]
+    rows += [(100 + i, f"The tall winner was {a}ka {b}ov from upstairs again.", "x") for i, (a, b) in enumerate(zip(first, last))]
+    got = {(r["doc_id"], r["found_text"]) for r in pii.found(spark.createDataFrame(rows, DOC)).collect() if r["doc_id"] >= 100}
+    assert got == {(100 + i, f"{a}ka {b}ov") for i, (a, b) in enumerate(zip(first, last))}
+
+
+def _score(found, want):
+    hit = len(found & want)
+    return hit / max(1, len(want)), hit / max(1, len(found))
+
+
+def test_unlike_sentences(spark):
+    """Recall and precision on sentences that have nothing of the corpus, beside it and alone."""
+    own = [(10**6 + i, t, "x") for i, (t, _) in enumerate(TEXTS)]
+    want = {(10**6 + i, k, f) for i, (_, fs) in enumerate(TEXTS) for k, f in fs}
+    docs = table(spark, "/root/testdata/sf0.01", "documents").select("doc_id", "text", F.lit("x").alias("kind"))
+    frame = spark.createDataFrame(own, DOC)
+    for rows, recall, precision in ((docs.unionByName(frame), LEAST_RECALL, LEAST_PRECISION), (frame, LEAST_RECALL_ALONE, LEAST_PRECISION)):
+        got = {tuple(r) for r in pii.found(rows).collect() if r["doc_id"] >= 10**6}
+        r, p = _score(got, want)
+        print("recall", r, "precision", p, "missed", sorted(want - got), "wrong", sorted(got - want))
+        assert r >= recall and p >= precision
+
+
+def test_copies_of_the_corpus_change_no_verdict(spark):
+    docs = table(spark, "/root/testdata/sf0.01", "documents").select("doc_id", "text")
+    many = docs.withColumn("_n", F.explode(F.sequence(F.lit(1), F.lit(10)))).drop("_n")
+    assert sorted(map(tuple, pii.found(docs).collect())) == sorted(map(tuple, pii.found(many).collect()))
+
+
+def test_same_id_with_different_texts(spark):
+    rows = [*BASE, (1, "Call 010-0000-1234 to change.", "x"), (1, "Mail a.bcdefghijklm@c.example now.", "x")]
+    got = {(r["kind"], r["found_text"]) for r in pii.found(spark.createDataFrame(rows, DOC)).collect() if r["doc_id"] == 1}
+    assert got == {("phone", "010-0000-1234"), ("email", "a.bcdefghijklm@c.example")}
+
+
+def test_many_spans_in_one_text(spark):
+    text = "Call 010-0000-1234 or mail a.b@c.example. " * 20_000
+    rows = pii.find_spans(spark.createDataFrame([*BASE, (1, text, "x")], DOC)).where("doc_id = 1")
+    assert rows.count() == 40_000
+
+
+def test_nothing_found_is_stored(spark, tmp_path):
+    stored = pii.candidates(spark.createDataFrame([(1, "Mail velna.korima@c.example, Ms. Korima.", "x")], DOC))
+    assert not any("orima" in str(v) for r in stored.collect() for v in r)
 
 
 DOC = "doc_id long, text string, kind string"
