@@ -1,47 +1,59 @@
 """Default word lists. Every function takes its list as a parameter."""
 
 # Fixed values, here and below: they must equal the usual ones for equal results.
-STOP_WORDS = (
-    "the a an is are was were be been being have has had do does did will would shall should can could may might must "
-    "to of in for on with at by from as into through during before after above below between out off over under again "
-    "then once that this these those it its and or but nor so yet both either neither not no all any each every few "
-    "more most other such same than too very just there their they them which who whom whose what when where how i me "
-    "my we our you your he his she her if up about also s"
-).split()
-PHRASE_STOP_WORDS = (
-    "a an the is are was were be been being have has had do does did will would shall should may might can could must "
-    "in on at to for of with by from up about into through during before after above below between out off over under "
-    "again and but or nor not so yet both either neither each every all any few more most other some such no only own "
-    "same than too very just because as until while it its he she they them their his her we us our you your my me one "
-    "ones this that these those what which who whom how when where why"
-).split()
-PHRASE_PREPOSITIONS = "by in on at for of with from up out off over into through about against between under above below after before during".split()
+STOP_WORDS = [
+    "the", "a", "an", "is", "are", "was", "were", "be", "been", "being", "have", "has", "had", "do", "does", "did", "will", "would", "shall", "should",
+    "can", "could", "may", "might", "must", "to", "of", "in", "for", "on", "with", "at", "by", "from", "as", "into", "through", "during", "before",
+    "after", "above", "below", "between", "out", "off", "over", "under", "again", "then", "once", "that", "this", "these", "those", "it", "its", "and",
+    "or", "but", "nor", "so", "yet", "both", "either", "neither", "not", "no", "all", "any", "each", "every", "few", "more", "most", "other", "such",
+    "same", "than", "too", "very", "just", "there", "their", "they", "them", "which", "who", "whom", "whose", "what", "when", "where", "how", "i", "me",
+    "my", "we", "our", "you", "your", "he", "his", "she", "her", "if", "up", "about", "also", "s",
+]
+PHRASE_STOP_WORDS = [
+    "a", "an", "the", "is", "are", "was", "were", "be", "been", "being", "have", "has", "had", "do", "does", "did", "will", "would", "shall", "should",
+    "may", "might", "can", "could", "must", "in", "on", "at", "to", "for", "of", "with", "by", "from", "up", "about", "into", "through", "during",
+    "before", "after", "above", "below", "between", "out", "off", "over", "under", "again", "and", "but", "or", "nor", "not", "so", "yet", "both",
+    "either", "neither", "each", "every", "all", "any", "few", "more", "most", "other", "some", "such", "no", "only", "own", "same", "than", "too",
+    "very", "just", "because", "as", "until", "while", "it", "its", "he", "she", "they", "them", "their", "his", "her", "we", "us", "our", "you", "your",
+    "my", "me", "one", "ones", "this", "that", "these", "those", "what", "which", "who", "whom", "how", "when", "where", "why",
+]
+PHRASE_PREPOSITIONS = [
+    "by", "in", "on", "at", "for", "of", "with", "from", "up", "out", "off", "over", "into", "through", "about", "against", "between", "under", "above",
+    "below", "after", "before", "during",
+]
 PLACEHOLDERS = {
-    "be": "be is are was were been being am".split(),
-    "oneself": "oneself myself yourself himself herself itself ourselves yourselves themselves".split(),
-    "one's": "my your his her its our their".split(),
-    "someone": "someone somebody anyone anybody everyone everybody".split(),
-    "do": "do does did done doing".split(),
-    "have": "have has had having".split(),
+    "be": ["be", "is", "are", "was", "were", "been", "being", "am"],
+    "oneself": ["oneself", "myself", "yourself", "himself", "herself", "itself", "ourselves", "yourselves", "themselves"],
+    "one's": ["my", "your", "his", "her", "its", "our", "their"],
+    "someone": ["someone", "somebody", "anyone", "anybody", "everyone", "everybody"],
+    "do": ["do", "does", "did", "done", "doing"],
+    "have": ["have", "has", "had", "having"],
 }
-PATTERN_MARKERS = "do doing sth sb something somebody".split()
-PRONOUNS = (
-    "i me my mine myself you your yours yourself yourselves he him his himself she her hers herself it its itself we us "
-    "our ours ourselves they them their theirs themselves"
-).split()
-RELATIVES = "who whom whose which that whoever whomever whichever whatever".split()
-PREPOSITIONS = (
-    "about above across after against along amid among around as at before behind below beneath beside besides between "
-    "beyond by concerning despite down during except for from in inside into like near of off on onto out outside over "
-    "past regarding since through throughout till to toward towards under underneath until up upon via with within without"
-).split()
-CONJUNCTIONS = (
-    "although because since unless until whereas while though even if when whenever where wherever after before once so "
-    "yet but and or nor however therefore furthermore moreover nevertheless nonetheless consequently accordingly thus "
-    "hence provided given assuming whether both either neither"
-).split()
-AUXILIARIES = "was were is are am has have had will would shall should can could may might must be been being".split()
-COMPARATIVES = "more most less least better best worse worst further furthest farther farthest higher lower greater lesser".split()
+PATTERN_MARKERS = ["do", "doing", "sth", "sb", "something", "somebody"]
+PRONOUNS = [
+    "i", "me", "my", "mine", "myself", "you", "your", "yours", "yourself", "yourselves", "he", "him", "his", "himself", "she", "her", "hers", "herself",
+    "it", "its", "itself", "we", "us", "our", "ours", "ourselves", "they", "them", "their", "theirs", "themselves",
+]
+RELATIVES = ["who", "whom", "whose", "which", "that", "whoever", "whomever", "whichever", "whatever"]
+PREPOSITIONS = [
+    "about", "above", "across", "after", "against", "along", "amid", "among", "around", "as", "at", "before", "behind", "below", "beneath", "beside",
+    "besides", "between", "beyond", "by", "concerning", "despite", "down", "during", "except", "for", "from", "in", "inside", "into", "like", "near",
+    "of", "off", "on", "onto", "out", "outside", "over", "past", "regarding", "since", "through", "throughout", "till", "to", "toward", "towards",
+    "under", "underneath", "until", "up", "upon", "via", "with", "within", "without",
+]
+CONJUNCTIONS = [
+    "although", "because", "since", "unless", "until", "whereas", "while", "though", "even", "if", "when", "whenever", "where", "wherever", "after",
+    "before", "once", "so", "yet", "but", "and", "or", "nor", "however", "therefore", "furthermore", "moreover", "nevertheless", "nonetheless",
+    "consequently", "accordingly", "thus", "hence", "provided", "given", "assuming", "whether", "both", "either", "neither",
+]
+AUXILIARIES = [
+    "was", "were", "is", "are", "am", "has", "have", "had", "will", "would", "shall", "should", "can", "could", "may", "might", "must", "be", "been",
+    "being",
+]
+COMPARATIVES = [
+    "more", "most", "less", "least", "better", "best", "worse", "worst", "further", "furthest", "farther", "farthest", "higher", "lower", "greater",
+    "lesser",
+]
 # Question categories, and the keywords of their labels.
 CATEGORIES = ["품사", "동사시제/태", "접속사/전치사", "관계대명사", "어휘", "대명사", "비교급/최상급", "기타문법"]
 CATEGORY_KEYWORDS = {
@@ -77,8 +89,8 @@ FAMILY_RULES = [
 ]
 MIN_STEM = 3
 # Endings that the fallback lemmatiser strips, in this order.
-LEMMA_ENDINGS = "tion sion ment ness ity ing ed er est ous ive able ible al ly ful".split()
-DEFAULT_ENDINGS = "s es ed ing er ers est ly ment ments tion tions ness al ive ity".split()
+LEMMA_ENDINGS = ["tion", "sion", "ment", "ness", "ity", "ing", "ed", "er", "est", "ous", "ive", "able", "ible", "al", "ly", "ful"]
+DEFAULT_ENDINGS = ["s", "es", "ed", "ing", "er", "ers", "est", "ly", "ment", "ments", "tion", "tions", "ness", "al", "ive", "ity"]
 # Irregular plurals and verb forms.
 IRREGULAR = {
     "woman": ["women"], "man": ["men"], "child": ["children"], "person": ["people"], "foot": ["feet"], "tooth": ["teeth"],
@@ -96,19 +108,57 @@ IRREGULAR = {
 }
 # Part of speech by ending, the first that fits.
 SUFFIX_POS = [
-    ("noun", "ement ament ation ition iness"),
-    ("adverb", "ously ively fully ially ently antly arily"),
-    ("noun", "ility ality ivity"),
-    ("adjective", "rable ional ative itive rical tical"),
-    ("noun", "ment tion sion ness ance ence"),
-    ("adjective", "ical able ible less"),
-    ("noun", "ity ism ist ant ent"),
-    ("adjective", "ive ous ful ial ory ary"),
-    ("verb", "ize ise ify ate"),
-    ("noun", "ure"),
-    ("adverb", "ly"),
-    ("noun", "er or"),
-    ("adjective", "al"),
+    ("ement", "noun"),
+    ("ament", "noun"),
+    ("ation", "noun"),
+    ("ition", "noun"),
+    ("iness", "noun"),
+    ("ously", "adverb"),
+    ("ively", "adverb"),
+    ("fully", "adverb"),
+    ("ially", "adverb"),
+    ("ently", "adverb"),
+    ("antly", "adverb"),
+    ("arily", "adverb"),
+    ("ility", "noun"),
+    ("ality", "noun"),
+    ("ivity", "noun"),
+    ("rable", "adjective"),
+    ("ional", "adjective"),
+    ("ative", "adjective"),
+    ("itive", "adjective"),
+    ("rical", "adjective"),
+    ("tical", "adjective"),
+    ("ment", "noun"),
+    ("tion", "noun"),
+    ("sion", "noun"),
+    ("ness", "noun"),
+    ("ance", "noun"),
+    ("ence", "noun"),
+    ("ical", "adjective"),
+    ("able", "adjective"),
+    ("ible", "adjective"),
+    ("less", "adjective"),
+    ("ity", "noun"),
+    ("ism", "noun"),
+    ("ist", "noun"),
+    ("ant", "noun"),
+    ("ent", "noun"),
+    ("ive", "adjective"),
+    ("ous", "adjective"),
+    ("ful", "adjective"),
+    ("ial", "adjective"),
+    ("ory", "adjective"),
+    ("ary", "adjective"),
+    ("ize", "verb"),
+    ("ise", "verb"),
+    ("ify", "verb"),
+    ("ate", "verb"),
+    ("ure", "noun"),
+    ("ly", "adverb"),
+    ("er", "noun"),
+    ("or", "noun"),
+    ("al", "adjective"),
 ]
 # Part of speech by the Korean gloss, the first pattern that is found.
 GLOSS_POS = [
@@ -119,9 +169,34 @@ GLOSS_POS = [
     ("conjunction", r"때문에"),
 ]
 # Parts of speech, blank mark, question numbers of the parts.
-POS_NAMES = "noun verb adjective adverb preposition conjunction pronoun phrase".split()
+POS_NAMES = ["noun", "verb", "adjective", "adverb", "preposition", "conjunction", "pronoun", "phrase"]
 POS_SHORT = {"n.": "noun", "v.": "verb", "adj.": "adjective", "a.": "adjective", "adv.": "adverb", "ad.": "adverb", "prep.": "preposition", "conj.": "conjunction", "phr.": "phrase"}
 BLANK = "-------"
 EXAM_PARTS = {5: (101, 130), 6: (131, 146), 7: (147, 200)}
 # Rare categories that a sample pools.
 POOLED_CATEGORIES = ["기타문법", "관계대명사", "비교급/최상급"]
+# Parts of speech of single words, before any rule.
+WORD_POS = {
+    "although": "conjunction", "despite": "preposition", "however": "adverb", "therefore": "adverb", "nevertheless": "adverb", "furthermore": "adverb", "moreover": "adverb",
+    "whereas": "conjunction", "unless": "conjunction", "whether": "conjunction", "while": "conjunction", "since": "conjunction", "because": "conjunction", "though": "conjunction",
+    "once": "conjunction", "until": "conjunction", "if": "conjunction", "but": "conjunction", "and": "conjunction", "or": "conjunction", "nor": "conjunction", "yet": "conjunction", "so": "conjunction",
+    "both": "adjective", "either": "adjective", "neither": "adjective",
+    "between": "preposition", "among": "preposition", "during": "preposition", "throughout": "preposition", "regarding": "preposition", "concerning": "preposition", "within": "preposition",
+    "without": "preposition", "beyond": "preposition", "upon": "preposition", "toward": "preposition", "towards": "preposition", "across": "preposition", "against": "preposition",
+    "along": "preposition", "beside": "preposition", "besides": "preposition", "beneath": "preposition", "above": "preposition", "below": "preposition", "behind": "preposition",
+    "ahead": "adverb", "prior": "adjective",
+    "each": "adjective", "every": "adjective", "several": "adjective", "various": "adjective", "much": "adjective", "many": "adjective", "few": "adjective", "most": "adjective",
+    "other": "adjective", "another": "adjective", "such": "adjective", "whole": "adjective", "entire": "adjective",
+}
+# Adjectives that end in -ly.
+LY_ADJECTIVES = [
+    "timely", "costly", "likely", "unlikely", "friendly", "unfriendly", "lovely", "lonely", "lively", "orderly", "elderly", "daily", "weekly", "monthly", "yearly", "quarterly", "hourly", "homely",
+    "deadly", "ugly", "holy", "silly", "early", "worldly", "leisurely",
+]
+# Endings of a Korean gloss that make an adjective, those that do so in glosses of two
+# letters or more that don't end in 다, and those that no noun has.
+GLOSS_ADJECTIVE = r"(적인|있는|없는|스러운|로운|다운)$"
+GLOSS_ADJECTIVE_WEAK = r"(한|된|운|난|큰|른|쁜|진|는|깊은|높은|좋은|많은|같은|없는)$"
+GLOSS_NO_NOUN = r"(하다|시키다|되다|주다|받다|내다|보다|오다|가다|나다|있는|없는|적인|스러운|한|의|운|된|난|인|하게|히)$"
+# A misread glyph and the letters it stands for.
+GLYPHS = {"斤": "fr"}

@@ -7,7 +7,8 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .lexicon import DEFAULT_ENDINGS, FAMILY_RULES, IRREGULAR, LEMMA_ENDINGS, MIN_STEM, PHRASE_STOP_WORDS, SUFFIX_POS
+from . import text
+from .lexicon import DEFAULT_ENDINGS, FAMILY_RULES, GLOSS_ADJECTIVE, GLOSS_ADJECTIVE_WEAK, GLOSS_NO_NOUN, GLOSS_POS, IRREGULAR, LEMMA_ENDINGS, LY_ADJECTIVES, MIN_STEM, PHRASE_STOP_WORDS, SUFFIX_POS, WORD_POS
 
 
 def family(word: Column) -> Column:
@@ -55,13 +56,50 @@ def lemma(word: Column) -> Column:
 def suffix_pos(word: Column) -> Column:
     """Part of speech by the first ending of the rule list, null if none fits."""
     w = F.lower(word)
-    rules = [(s, pos) for pos, ss in SUFFIX_POS for s in ss.split()]
     out = F.lit(None).cast("string")
-    for s, pos in reversed(rules):
+    for s, pos in reversed(SUFFIX_POS):
         out = F.when(w.endswith(s) & (F.length(w) > len(s) + 2), F.lit(pos)).otherwise(out)
     return out
 
 
+def gloss_pos(gloss: Column) -> Column:
+    """Part of speech by the first pattern that the first sense of a Korean gloss shows, null if none."""
+    sense = text.first_sense(gloss)
+    out = F.lit(None).cast("string")
+    for pos, pattern in reversed(GLOSS_POS):
+        out = F.when(sense.rlike(pattern), pos).otherwise(out)
+    return out
+
+
+def decide_pos(word: Column, gloss: Column, tagged: Column | None = None) -> Column:
+    """Part of speech of an entry from its word, its Korean gloss and, if there is one,
+    a dictionary's tag (``tagged``), in this order: phrases by their gloss alone;
+    words with a fixed part of speech; words in -ly; the gloss; endings and tags
+    that agree with each other or with a gloss that may be a noun's; clear
+    endings; the tag; any ending. What nothing tells is a noun; so is a null word.
+    """
+    w, sense = F.lower(text.strip(word)), F.coalesce(text.first_sense(gloss), F.lit(""))
+    tag = F.lit(None).cast("string") if tagged is None else tagged
+    by_gloss, by_end = gloss_pos(gloss), suffix_pos(w)
+    adjective = sense.rlike(GLOSS_ADJECTIVE) | (F.length(sense) >= 2) & ~sense.endswith("다") & sense.rlike(GLOSS_ADJECTIVE_WEAK)
+    told = F.when(by_gloss.isNotNull(), by_gloss).when(adjective, "adjective")
+    noun = (sense != "") & ~sense.rlike(GLOSS_NO_NOUN)
+    fixed = F.element_at(F.create_map(*(F.lit(x) for kv in WORD_POS.items() for x in kv)), w)
+    by_form = (
+        F.when(by_end == tag, by_end)
+        .when(noun & ((by_end == "noun") | (tag == "noun") | by_end.isNull()), "noun")
+        .when(by_end != "verb", by_end)
+        .otherwise(F.coalesce(tag, by_end))
+    )
+    rules = (
+        F.when(w.contains(" "), told)
+        .when(fixed.isNotNull(), fixed)
+        .when(w.endswith("ly") & (F.length(w) > 3), F.when(w.isin(*LY_ADJECTIVES), "adjective").otherwise("adverb"))
+        .otherwise(F.coalesce(told, by_form))
+    )
+    return F.coalesce(rules, F.lit("noun"))
+
+
 def phrase_type(phrase: Column) -> Column:
     """Type of a phrase, first rule first."""
     p = F.lower(phrase)

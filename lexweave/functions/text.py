@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .lexicon import BLANK, STOP_WORDS
+from .lexicon import BLANK, GLYPHS, STOP_WORDS
 
 WHITE = r"[ \t\n\r\x0B\f]"
 
@@ -102,9 +102,12 @@ def is_corrupt(text: Column) -> Column:
 
 
 def repair(text: Column) -> Column:
-    """Rule repair: symbols and Han removed, English before Hangul kept up to its
+    """Rule repair: known glyphs before a letter put right, symbols and Han removed, English before Hangul kept up to its
     last sentence end (beyond two fifths of it), stray marks at the end as a full stop."""
-    out = F.regexp_replace(text, "[\\x{2190}-\\x{21FF}\\x{25A0}-\\x{27BF}\\x{2500}-\\x{257F}\\x{00}-\\x{08}\\x{0E}-\\x{1F}]", "")
+    out = text
+    for glyph, letters in GLYPHS.items():
+        out = F.regexp_replace(out, f"{glyph}([a-z])", f"{letters}$1")
+    out = F.regexp_replace(out, "[\\x{2190}-\\x{21FF}\\x{25A0}-\\x{27BF}\\x{2500}-\\x{257F}\\x{00}-\\x{08}\\x{0E}-\\x{1F}]", "")
     head = F.trim(F.regexp_extract(out, "^([^\\x{AC00}-\\x{D7AF}]*)", 1))
     last = F.length(F.regexp_extract(head, r"(?s)^(.*[.!?])", 1))
     english = F.when(F.length(head) <= 15, F.lit("")).when(last - 1 > F.length(head) * 0.4, F.substring(head, F.lit(1), last)).otherwise(head)

@@ -100,21 +100,6 @@ def matched_questions(ex: DataFrame, questions: DataFrame) -> DataFrame:
     return ex.select("ex_id", text.fuzzy_key(F.col("sentence")).alias("key")).join(q, "key").select("ex_id", "question_id")
 
 
-def contained_examples(passages: DataFrame, ex: DataFrame, block: int = 6) -> DataFrame:
-    """(id, n_examples): examples whose normalised text stands inside a passage.
-
-    A containment join blocked by the example's first words: only passages
-    that hold these words in a row are searched.
-    """
-    words = F.split("key", " ")
-    e = ex.select("ex_id", text.fuzzy_key(F.col("sentence")).alias("key")).where(F.size(words) >= block).withColumn("b", F.array_join(F.slice(words, 1, block), " "))
-    p = passages.select("id", text.fuzzy_key(F.col("raw_text")).alias("body"))
-    w = F.split("body", " ")
-    grams = F.transform(F.sequence(F.lit(1), F.greatest(F.size(w) - block + 1, F.lit(1))), lambda i: F.array_join(F.slice(w, i, block), " "))
-    rows = p.select("id", "body", F.explode(F.array_distinct(grams)).alias("b"))
-    return rows.join(e, "b").where(F.col("body").contains(F.col("key"))).groupBy("id").agg(F.count_distinct("ex_id").alias("n_examples"))
-
-
 def canonical_words(entries: DataFrame) -> DataFrame:
     """(word, canonical, n_spellings): the first spelling of each word, blanks removed."""
     e = entries.select("entry_id", word_key(F.col("word")).alias("word"), text.strip(F.col("word")).alias("s"))
@@ -144,9 +129,9 @@ def word_sets(vocab: DataFrame, entries: DataFrame) -> DataFrame:
 def natural_order(rows: DataFrame, label: Column) -> DataFrame:
     """(place, label): distinct labels by the number in them, those without one last."""
     n = F.expr("try_cast(nullif(regexp_extract(label, '([0-9]+)', 1), '') as int)")
-    d = rows.select(label.alias("label")).where("label is not null").distinct().withColumn("n", n)
-    place = F.row_number().over(Window.partitionBy().orderBy(F.when(F.col("n").isNull(), 1).otherwise(0), F.coalesce("n", F.lit(0)), "label"))  # few labels
-    return d.select(place.cast("bigint").alias("place"), "label")
+    d = rows.select(label.alias("label")).where("label is not null").distinct()
+    keyed = d.select("label", n.isNull().cast("int").alias("_last"), F.coalesce(n, F.lit(0)).alias("_n"))
+    return with_row_number(keyed, ["_last", "_n", "label"], "place").select(F.col("place").cast("bigint"), "label")
 
 
 def _hybrid_keys() -> list[Column]:

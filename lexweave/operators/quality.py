@@ -71,9 +71,9 @@ def duplicate_ids(rows: DataFrame) -> DataFrame:
     return rows.groupBy("id").agg(F.count("*").alias("n"), F.date_format(F.min("loaded_at"), "yyyy-MM-dd HH:mm:ss").alias("first_at")).where("n > 1")
 
 
-def repeated_words(vocab: DataFrame, word: Column) -> DataFrame:
-    """(day, word, n, first_id): words that a day has more than once, under several ids."""
-    return vocab.groupBy("day", word.alias("word")).agg(F.count_distinct("id").alias("n"), F.min("id").alias("first_id")).where("n > 1")
+def repeated_words(vocab: DataFrame, word: Column, within: str = "day") -> DataFrame:
+    """(within, word, n, first_id): words that a day (or level, ...) has more than once, under several ids."""
+    return vocab.groupBy(within, word.alias("word")).agg(F.count_distinct("id").alias("n"), F.min("id").alias("first_id")).where("n > 1")
 
 
 def sequence_gaps(questions: DataFrame, first: int = 101) -> DataFrame:

@@ -136,6 +136,15 @@ def coverage(vocab: DataFrame, counts: DataFrame, group: str = "day") -> DataFra
     return agg.select(group, "total", "matched", "with_hits", pct("matched").alias("pct"), pct("with_hits").alias("pct_hits"))
 
 
+def matched_words(vocab: DataFrame, counts: DataFrame) -> DataFrame:
+    """(day, place, word, n_examples): the matched words of each day, the most frequent first; a day of any size."""
+    from .patches import ranked_within
+
+    both = vocab.select("id", "day", word_key(F.col("word")).alias("word")).join(counts, "word")
+    order = [-F.col("n_examples"), F.col("word"), F.col("id")]
+    return ranked_within(both, "day", order).select("day", "place", "word", "n_examples")
+
+
 def tokens_not_in(tokens: DataFrame, vocab: DataFrame, k: int = 30, sample: int = 5) -> DataFrame:
     """(token, n, first_ids): most frequent words that are no vocabulary entry, with their first ids."""
     per_id = tokens.groupBy("token", "id").agg(F.count("*").alias("n"))

@@ -45,6 +45,12 @@ def _resolved(s, d):
     return passages.resolve_blanks(rows.select(F.concat_ws(":", "id", "line_no").alias("sent_id"), "id", F.col("line").alias("sentence")), p)
 
 
+def _long_blanks(q):
+    """Questions with their blanks as another source writes them, by test."""
+    mark = F.when(F.col("test") % 3 == 0, "________").when(F.col("test") % 3 == 1, " ------------ ").otherwise(".........")
+    return q.withColumn("sentence", F.replace("sentence", F.lit("-------"), mark))
+
+
 def _sql_functions(s, d):
     register(s)
     _ex(s, d).createOrReplaceTempView("lw_examples")
@@ -68,16 +74,14 @@ def queries() -> dict:
         "dq_issues": issues,
         "dq_summary": lambda s, d: quality.issue_summary(issues(s, d)),
         "duplicate_ids": lambda s, d: quality.duplicate_ids(raw("questions")(s, d)),
-        "repeated_words": lambda s, d: quality.repeated_words(allv(s, d), r.word_key(F.col("word"))),
+        "repeated_words": lambda s, d: quality.repeated_words(allv(s, d), r.word_key(F.col("word")), "level"),
         "sequence_gaps": lambda s, d: quality.sequence_gaps(allq(s, d)),
         "wrong_totals": lambda s, d: quality.wrong_totals(entries(s, d)),
         "mapping_without_vocab": lambda s, d: quality.mapping_without_vocab(entries(s, d), raw("vocab")(s, d)),
-        "fixed_sentences": lambda s, d: quality.fixed_sentences(allq(s, d)),
+        "fixed_sentences": lambda s, d: quality.fixed_sentences(_long_blanks(allq(s, d))),
         "update_join_coalesce": lambda s, d: patches.update_from_explanation(allq(s, d)),
         "pos_corrections": lambda s, d: patches.pos_corrections(allv(s, d)),
         "patch_apply_by_index": lambda s, d: patches.apply_patches(entries(s, d), patches.repaired_examples(entries(s, d))),
-        "normalised_key_join": lambda s, d: patches.matched_questions(_ex(s, d), questions(s, d)),
-        "containment_join": lambda s, d: patches.contained_examples(_all("passages")(s, d), _ex(s, d)),
         "chunk_batches": lambda s, d: patches.batches(entries(s, d).select("entry_id").distinct(), ["entry_id"], 80).groupBy("batch_id").agg(F.count("*").alias("n"), F.min("entry_id").alias("first_id"), F.max("entry_id").alias("last_id")),
         "sequential_ids": lambda s, d: patches.sequential_ids(allv(s, d)),
         "unique_names": lambda s, d: patches.unique_names(allv(s, d)),
@@ -101,7 +105,7 @@ def queries() -> dict:
         "durations": lambda s, d: ev(s, d).select("event_id", F.format_string("%02d:%02d", F.expr("cast(value as int) * 7 div 60"), F.expr("cast(value as int) * 7 % 60")).alias("mmss"), F.date_format("ts", "yyyyMMdd_HHmm").alias("stamp")),
         "range_bounds": lambda s, d: allq(s, d).groupBy("volume", "test").agg(F.concat_ws("-", F.min("question_number"), F.max("question_number")).alias("range")).select(
             "volume", "test", F.greatest(F.lit(0), F.regexp_extract("range", r"^(\d+)-(\d+)$", 1).cast("int") - 101).alias("start"), F.least(F.lit(30), F.regexp_extract("range", r"^(\d+)-(\d+)$", 2).cast("int") - 100).alias("end")),
-        "coverage_tiers": lambda s, d: r.coverage(allv(s, d), r.example_counts(entries(s, d))).select("day", F.when(F.col("pct_hits") >= 95, "high").when(F.col("pct_hits") >= 50, "middle").otherwise("low").alias("tier"), (F.col("pct_hits") * 3.5).cast("int").alias("bar")),
+        "coverage_tiers": lambda s, d: r.coverage(allv(s, d), r.example_counts(entries(s, d))).select("day", F.when(F.col("pct_hits") >= 50, "high").when(F.col("pct_hits") >= 25, "middle").otherwise("low").alias("tier"), (F.col("pct_hits") * 3.5).cast("int").alias("bar")),
         "tag_histogram": lambda s, d: cards.tag_histogram(allv(s, d)),
         "vocab_cards": lambda s, d: cards.vocab_cards(allv(s, d), _ex(s, d)),
         "notes": lambda s, d: cards.notes(allv(s, d)),
@@ -215,12 +219,12 @@ def oracle_sql() -> dict[str, str]:
         "dq_issues": union,
         "dq_summary": f"SELECT file, severity, field, rule, count(*) AS n FROM ({union}) GROUP BY ALL",
         "duplicate_ids": "SELECT id, count(*) AS n, strftime(min(loaded_at), '%Y-%m-%d %H:%M:%S') AS first_at FROM questions GROUP BY id HAVING count(*) > 1",
-        "repeated_words": f"SELECT day, word, count(DISTINCT id) AS n, min(id) AS first_id FROM (SELECT day, id, {WORD} AS word FROM {V}) GROUP BY day, word HAVING count(DISTINCT id) > 1",
+        "repeated_words": f"SELECT level, word, count(DISTINCT id) AS n, min(id) AS first_id FROM (SELECT level, id, {WORD} AS word FROM {V}) GROUP BY level, word HAVING count(DISTINCT id) > 1",
         "sequence_gaps": f"""WITH q AS (SELECT volume, test, list_sort(list(DISTINCT question_number)) AS have FROM {Q} GROUP BY ALL), g AS (SELECT *, list_filter(range(101, list_max(have) + 1), lambda x: NOT list_contains(have, x)) AS gone FROM q)
           SELECT volume, test, len(have) AS n, len(gone) AS n_missing, array_to_string(gone, ',') AS missing FROM g WHERE len(gone) > 0""",
         "wrong_totals": "SELECT DISTINCT entry_id, total_count, coalesce(len(examples), 0)::INT AS n_examples FROM word_ets_examples WHERE total_count IS DISTINCT FROM coalesce(len(examples), 0)",
         "mapping_without_vocab": "SELECT vocab_id, count(DISTINCT entry_id) AS n FROM word_ets_examples WHERE vocab_id IS NOT NULL AND vocab_id NOT IN (SELECT id FROM vocab) GROUP BY 1",
-        "fixed_sentences": rf"SELECT id, fixed FROM (SELECT id, sentence, CASE WHEN contains({strip('sentence')}, '-------') THEN {strip('sentence')} ELSE regexp_replace(regexp_replace(regexp_replace({strip('sentence')}, '-{{5,}}', '-------', 'g'), '_{{5,}}', '-------', 'g'), '\.{{5,}}', '-------', 'g') END AS fixed FROM {Q}) WHERE fixed <> sentence",
+        "fixed_sentences": rf"SELECT id, fixed FROM (SELECT id, sentence, CASE WHEN contains({strip('sentence')}, '-------') THEN {strip('sentence')} ELSE regexp_replace(regexp_replace(regexp_replace({strip('sentence')}, '-{{5,}}', '-------', 'g'), '_{{5,}}', '-------', 'g'), '\.{{5,}}', '-------', 'g') END AS fixed FROM (SELECT * REPLACE (replace(sentence, '-------', CASE test % 3 WHEN 0 THEN '________' WHEN 1 THEN ' ------------ ' ELSE '.........' END) AS sentence) FROM {Q})) WHERE fixed <> sentence",
         "update_join_coalesce": f"""WITH p AS ({full['explanation_parts']}), a AS (SELECT q.id, q.translation AS t, q.vocabulary AS v, coalesce(q.translation, p.translation) AS translation, coalesce(q.vocabulary, p.vocabulary) AS vocabulary FROM {Q} q LEFT JOIN p USING (id))
           SELECT id, translation, vocabulary, (translation IS DISTINCT FROM t OR vocabulary IS DISTINCT FROM v) AS updated FROM a""",
         "pos_corrections": f"""WITH v AS (SELECT id, {WORD} AS word, array_to_string(list_distinct({pos}), ',') AS pos, loaded_at FROM {V}), l AS (SELECT word, pos AS new FROM v WHERE pos <> '' QUALIFY row_number() OVER (PARTITION BY word ORDER BY loaded_at DESC, id DESC) = 1)
@@ -229,9 +233,6 @@ def oracle_sql() -> dict[str, str]:
           pe AS (SELECT entry_id, unnest(range(len(examples))) AS i, unnest(list_transform(examples, lambda e: e.sentence)) AS sentence FROM once), fix AS ({repaired}),
           j AS (SELECT entry_id, repaired, coalesce(repaired, sentence) AS s FROM pe LEFT JOIN fix ON fix.ex_id = entry_id || ':' || i)
           SELECT entry_id, count(repaired) AS n_patched, count(*) FILTER (s <> '') AS total_count FROM j GROUP BY entry_id HAVING count(repaired) > 0""",
-        "normalised_key_join": f"WITH {_SENT}, q AS (SELECT {key('sentence')} AS key, min(id) AS question_id FROM sent GROUP BY 1) SELECT ex_id, question_id FROM (SELECT ex_id, {key('sentence')} AS key FROM {EXAMPLES}) JOIN q USING (key) WHERE key <> ''",
-        "containment_join": f"""WITH e AS (SELECT ex_id, {key('sentence')} AS key FROM {EXAMPLES}), p AS (SELECT id, {key('raw_text')} AS body FROM {P})
-          SELECT id, count(DISTINCT ex_id) AS n_examples FROM p JOIN e ON contains(body, key) AND len(string_split(key, ' ')) >= 6 AND contains(' ' || body || ' ', ' ' || array_to_string(string_split(key, ' ')[1:6], ' ') || ' ') GROUP BY id""",
         "chunk_batches": "SELECT ((row_number() OVER (ORDER BY entry_id) - 1) // 80 + 1)::BIGINT AS batch_id, entry_id FROM (SELECT DISTINCT entry_id FROM word_ets_examples)",
         "sequential_ids": f"SELECT id, format('hw_{{:04d}}', row_number() OVER (ORDER BY coalesce(day, 0), {WORD}, id)) AS new_id FROM {V}",
         "unique_names": names,
@@ -260,7 +261,7 @@ def oracle_sql() -> dict[str, str]:
         "event_props": "SELECT event_type, sum(json_extract_string(props, '$.k')::BIGINT)::BIGINT AS sum_k, count(json_extract_string(props, '$.k')) AS n FROM events GROUP BY 1",
         "durations": "SELECT event_id, format('{:02d}:{:02d}', trunc(value)::INT * 7 // 60, trunc(value)::INT * 7 % 60) AS mmss, strftime(ts, '%Y%m%d_%H%M') AS stamp FROM events",
         "range_bounds": f"SELECT volume, test, greatest(0, min(question_number) - 101) AS start, least(30, max(question_number) - 100) AS end FROM {Q} GROUP BY ALL".replace("AS end", 'AS "end"'),
-        "coverage_tiers": "WITH c AS (" + __import__("lexweave.plans.reports", fromlist=["x"]).oracle_sql()["coverage_by_day"] + ") SELECT day, CASE WHEN pct_hits >= 95 THEN 'high' WHEN pct_hits >= 50 THEN 'middle' ELSE 'low' END AS tier, trunc(pct_hits * 3.5)::INT AS bar FROM c",
+        "coverage_tiers": "WITH c AS (" + __import__("lexweave.plans.reports", fromlist=["x"]).oracle_sql()["coverage_by_day"] + ") SELECT day, CASE WHEN pct_hits >= 50 THEN 'high' WHEN pct_hits >= 25 THEN 'middle' ELSE 'low' END AS tier, trunc(pct_hits * 3.5)::INT AS bar FROM c",
         "tag_histogram": f"SELECT tag, count(*) AS n FROM (SELECT unnest({tag}) AS tag FROM {V}) GROUP BY tag",
         "vocab_cards": rf"""WITH o AS (SELECT * FROM {EXAMPLES} QUALIFY row_number() OVER (PARTITION BY word, {dkey} ORDER BY ex_id) = 1), k AS (SELECT word, regexp_replace(sentence, '\*\*(.+?)\*\*', '\1', 'g') AS s, row_number() OVER (PARTITION BY word ORDER BY CASE WHEN part = 5 THEN 0 ELSE 1 END, coalesce(volume, 99), ex_id) AS rank FROM o),
           g AS (SELECT word, count(*) AS n, string_agg(s, chr(10) ORDER BY rank) FILTER (rank <= 3) AS examples FROM k GROUP BY word)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import classify, morph, text
-from ..functions.lexicon import AUXILIARIES, CATEGORY_KEYWORDS, COMPARATIVES, CONJUNCTIONS, FAMILY_RULES, DEFAULT_ENDINGS, GLOSS_POS, IRREGULAR, LEMMA_ENDINGS, MIN_STEM, OTHER_CATEGORY, PHRASE_STOP_WORDS, PREPOSITIONS, PRONOUNS, RELATIVES, SUFFIX_POS
+from ..functions.lexicon import AUXILIARIES, CATEGORY_KEYWORDS, COMPARATIVES, CONJUNCTIONS, FAMILY_RULES, DEFAULT_ENDINGS, GLOSS_ADJECTIVE, GLOSS_ADJECTIVE_WEAK, GLOSS_NO_NOUN, GLOSS_POS, IRREGULAR, LEMMA_ENDINGS, LY_ADJECTIVES, MIN_STEM, OTHER_CATEGORY, PHRASE_STOP_WORDS, PREPOSITIONS, PRONOUNS, RELATIVES, SUFFIX_POS, WORD_POS
 from ..operators import passages as p
 from ..operators import reports as r
 from ..session import table
@@ -30,13 +30,6 @@ def _words(spark, sf):
     return vocab(spark, sf).select(r.word_key(F.col("word")).alias("word")).where("word rlike '^[a-z]+$'").distinct()
 
 
-def _gloss_pos(col):
-    out = F.lit(None).cast("string")
-    for pos, pat in reversed(GLOSS_POS):
-        out = F.when(col.rlike(pat), pos).otherwise(out)
-    return out
-
-
 def queries() -> dict:
     q, v = questions, vocab
     allq = lambda s, d: r.first_copy(table(s, d, "questions"), "id", "loaded_at")
@@ -70,10 +63,11 @@ def queries() -> dict:
         "inline_html_examples": lambda s, d: _ex(s, d).select("ex_id", text.inline_html(F.col("sentence")).alias("html")),
         "file_names": lambda s, d: v(s, d).select("id", text.file_name(F.col("word")).alias("name")),
         "first_sense": lambda s, d: v(s, d).select("id", text.first_sense(F.col("meaning_kr")).alias("sense")),
-        "gloss_pos": lambda s, d: v(s, d).select("id", _gloss_pos(text.first_sense(F.col("meaning_kr"))).alias("pos")),
+        "gloss_pos": lambda s, d: v(s, d).select("id", morph.gloss_pos(F.col("meaning_kr")).alias("pos")),
         "word_family": lambda s, d: _words(s, d).select("word", F.explode(morph.family(F.col("word"))).alias("form")),
         "word_variants": lambda s, d: _words(s, d).select("word", F.explode(morph.variants(F.col("word"))).alias("form")),
         "fallback_lemma": lambda s, d: _words(s, d).select("word", morph.lemma(F.col("word")).alias("lemma")),
+        "decided_pos": lambda s, d: v(s, d).select("id", morph.decide_pos(F.col("word"), F.col("meaning_kr")).alias("pos")),
         "suffix_pos": lambda s, d: _words(s, d).select("word", morph.suffix_pos(F.col("word")).alias("pos")),
         "phrase_types": lambda s, d: v(s, d).where("trim(word) like '% %'").select("id", morph.phrase_type(r.word_key(F.col("word"))).alias("type")),
         "rule_classified": lambda s, d: allq(s, d).select("id", classify.classify_choices(F.col("choices")).alias("category")),
@@ -115,7 +109,7 @@ def oracle_sql() -> dict[str, str]:
     )
     case = lambda rules, other: "CASE " + " ".join(f"WHEN {c} THEN {x}" for c, x in rules) + f" ELSE {other} END"
     lem = case([(f"ends_with(word, '{e}') AND length(word) - {len(e)} >= 3", f"left(word, length(word) - {len(e)})") for e in LEMMA_ENDINGS], "word")
-    suf = case([(f"ends_with(word, '{s}') AND length(word) > {len(s) + 2}", f"'{pos}'") for pos, ss in SUFFIX_POS for s in ss.split()], "NULL")
+    suf = case([(f"ends_with(word, '{s}') AND length(word) > {len(s) + 2}", f"'{pos}'") for s, pos in SUFFIX_POS], "NULL")
     glo = case([(f"regexp_matches({_SENSE}, '{pat}')", f"'{pos}'") for pos, pat in GLOSS_POS], "NULL")
     w = WORD
     typ = case([(f"starts_with({w}, 'be ')", "'TYPE_A_BE'"), (f"contains({w}, 'oneself')", "'TYPE_B_ONESELF'"), (f"contains({w}, 'one''s')", "'TYPE_C_ONES'"), (f"contains({w}, ' to do')", "'TYPE_D_TODO'"),
@@ -132,7 +126,7 @@ def oracle_sql() -> dict[str, str]:
          (f"len(list_filter(c, lambda w: {has(AUXILIARIES)} OR (NOT contains(w, ' ') AND (ends_with(w, 'ed') OR ends_with(w, 'ing'))))) >= 2", "'동사시제/태'")], "'어휘'")
     norm = case([(f"contains(trim(category), '{k}')", f"'{n}'") for n, ks in CATEGORY_KEYWORDS.items() for k in ks], f"'{OTHER_CATEGORY}'")
     bv, usable = r"string_split(explanation, '[어휘]')", "sentence IS NOT NULL AND answer IS NOT NULL AND list_contains(map_keys(choices), answer)"
-    rep = r"regexp_replace(sentence, '[\x{2190}-\x{21FF}\x{25A0}-\x{27BF}\x{2500}-\x{257F}\x{00}-\x{08}\x{0E}-\x{1F}]', '', 'g')"
+    rep = r"regexp_replace(regexp_replace(sentence, '斤([a-z])', 'fr\1', 'g'), '[\x{2190}-\x{21FF}\x{25A0}-\x{27BF}\x{2500}-\x{257F}\x{00}-\x{08}\x{0E}-\x{1F}]', '', 'g')"
     return {
         "sentence_split_stats": f"SELECT source, count(*) AS n_sentences, sum(length(x))::BIGINT AS n_chars FROM (SELECT source, unnest({_SENT('text')}) AS x FROM documents) GROUP BY source",
         "passage_segments": f"WITH {_CARRIED} SELECT id, q_from, q_to, count(*) AS n_lines, sum(length(line))::BIGINT AS n_chars FROM c WHERE header_from IS NULL GROUP BY ALL",
@@ -170,6 +164,11 @@ def oracle_sql() -> dict[str, str]:
         "word_variants": f"WITH w AS {_WORDS} {var}",
         "fallback_lemma": f"SELECT word, {lem} AS lemma FROM {_WORDS}",
         "suffix_pos": f"SELECT word, {suf} AS pos FROM {_WORDS}",
+        "decided_pos": f"""WITH a AS (SELECT id, lower({strip('word')}) AS w, coalesce({_SENSE}, '') AS sense, {glo} AS by_gloss FROM {V}),
+          b AS (SELECT id, w AS word, CASE WHEN by_gloss IS NOT NULL THEN by_gloss WHEN regexp_matches(sense, '{GLOSS_ADJECTIVE}') OR (length(sense) >= 2 AND NOT ends_with(sense, '다') AND regexp_matches(sense, '{GLOSS_ADJECTIVE_WEAK}')) THEN 'adjective' END AS told,
+            sense <> '' AND NOT regexp_matches(sense, '{GLOSS_NO_NOUN}') AS noun FROM a), c AS (SELECT *, {suf} AS by_end FROM b)
+          SELECT id, coalesce(CASE WHEN contains(word, ' ') THEN told {' '.join(f"WHEN word = '{k}' THEN '{x}'" for k, x in WORD_POS.items())} WHEN ends_with(word, 'ly') AND length(word) > 3 THEN CASE WHEN word IN {items(LY_ADJECTIVES)} THEN 'adjective' ELSE 'adverb' END
+            WHEN told IS NOT NULL THEN told WHEN noun AND (by_end = 'noun' OR by_end IS NULL) THEN 'noun' ELSE by_end END, 'noun') AS pos FROM c""",
         "phrase_types": f"SELECT id, {typ} AS type FROM {V} WHERE trim(word) LIKE '% %'",
         "rule_classified": f"SELECT id, {cls} AS category FROM (SELECT *, {heads} AS h FROM (SELECT id, list_transform(map_values(choices), lambda x: regexp_replace(lower({strip('x')}), '[.,;:]+$', '')) AS c FROM {Q}))",
         "category_normalised": f"SELECT id, {norm} AS category FROM {Q}",

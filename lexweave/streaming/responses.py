@@ -43,22 +43,30 @@ def session_activity(responses: DataFrame, gap: str = "30 minutes", late: str =
     return s.select("user_id", F.date_format("session_window.start", "yyyy-MM-dd HH:mm:ss").alias("start"), "n")
 
 
-def run_available(stream: DataFrame, name: str) -> DataFrame:
-    """Run a windowed aggregation over all that is there and return its result.
+def stream_sessions(responses: DataFrame, folder: str | None = None) -> DataFrame:
+    """``session_activity`` of a stream: the sittings that are over, later ones come with the next run."""
+    return run_available(session_activity(responses), "sessions", ["user_id", "start"], "append", folder)
 
-    Every batch writes its whole result beside the earlier ones; checkpoint and
-    results lie in the shared folder, so the stream goes on where it stopped.
+
+def run_available(stream: DataFrame, name: str, keys: list[str], mode: str = "update", folder: str | None = None) -> DataFrame:
+    """Run a windowed aggregation over all that is there and return its result so far.
+
+    In ``update`` mode every batch writes the windows that changed, and the
+    last state of each window (``keys``) is the result; in ``append`` mode
+    windows are written once, when the watermark has passed them. Either way
+    the watermark frees the state of old windows. With the same ``folder``,
+    which keeps state and results, the stream goes on where it stopped;
+    without one it starts anew in the shared folder.
     """
     spark = stream.sparkSession
-    out, state = shared_table_path(spark, name), shared_table_path(spark, f"{name}-state")
-    last: dict[str, int] = {}
+    at = folder or shared_table_path(spark, name)
 
     def keep(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{out}/{number}")
-        last["n"] = number
+        batch.withColumn("_batch", F.lit(number)).write.mode("overwrite").parquet(f"{at}/result/{number}")  # a batch that runs again replaces itself
 
-    q = stream.writeStream.outputMode("complete").option("checkpointLocation", state).trigger(availableNow=True).foreachBatch(keep).start()
+    q = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{at}/state").trigger(availableNow=True).foreachBatch(keep).start()
     q.awaitTermination()
-    if not last:
-        return spark.createDataFrame([], stream.schema)
-    return spark.read.schema(stream.schema).parquet(f"{out}/{last['n']}")
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in stream.schema) + ", _batch bigint"
+    rows = spark.read.schema(schema).option("recursiveFileLookup", "true").parquet(f"{at}/result")
+    last = rows.groupBy(*keys).agg(F.max_by(F.struct(*stream.columns), "_batch").alias("_r"))
+    return last.select("_r.*").select(*stream.columns)

@@ -1,5 +1,6 @@
 """Nulls, empty tables, ties, long texts, clashing columns; sources and sinks; plans."""
 
+import datetime as dt
 import json
 import os
 
@@ -7,8 +8,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from lexweave.functions import classify, morph, text
-from lexweave.operators import cards, exams, matching, patches, quality, reports
+from lexweave.operators import cards, exams, filling, matching, patches, quality, reports
 from lexweave.sources import files, sinks
+from lexweave.streaming import responses
 
 Q = "id string, volume int, test int, part int, question_number int, sentence string, choices map<string,string>, answer string, category string, explanation string, translation string, vocabulary string, deleted boolean, loaded_at timestamp, token string, n int"
 V = "id string, word string, pos string, meaning_kr string, meaning_en string, day int, level string, frequency string, synonyms array<string>, related_words array<string>, example_sentence string, example_translation string, deleted boolean, loaded_at timestamp, rank int"
@@ -129,14 +131,71 @@ def test_row_numbers_without_one_task(spark):
 
 def test_containment_and_normalised_key(spark):
     body = "one two three four five six seven eight"
-    ex = spark.createDataFrame([(1, "x", "One, two **three** four-five six seven"), (2, "x", "one two three four five six nine")], "ex_id long, word string, sentence string")
-    p = spark.createDataFrame([("p1", "Zero " + body), ("p2", None)], "id string, raw_text string")
-    assert [tuple(r) for r in patches.contained_examples(p, ex).collect()] == [("p1", 1)]
+    key = "id string, key string"
+    needles = [("a", "one two three four five six seven"), ("b", "one two three four five six nine"), ("c", "two three"), ("d", "wo three"), ("e", ""), ("f", None), ("g", "eight"), ("h", body)]
+    pairs = filling.contained_pairs(spark.createDataFrame(needles, key), spark.createDataFrame([("p1", "zero " + body), ("p2", None), ("p3", "two three")], key))
+    assert sorted(map(tuple, pairs.collect())) == [("a", "p1"), ("c", "p1"), ("c", "p3"), ("g", "p1"), ("h", "p1")]
     q = spark.createDataFrame([("q2", "one ------- three", {"A": "two"}, "A"), ("q1", "One two ------- !", {"A": "three"}, "A")], "id string, sentence string, choices map<string,string>, answer string")
     ex = spark.createDataFrame([(7, "ONE two  three.")], "ex_id long, sentence string")
     assert [tuple(r) for r in patches.matched_questions(ex, q).collect()] == [(7, "q1")]
 
 
+def test_fill_pipeline(spark):
+    ex = [("go", 0, "We ------- home."), ("go", 1, "Well, we ------- home. Now."), ("go", 2, "No **blank** here."), ("go", 3, "Nothing ------- this."), ("do", 0, "they ------- it often"), ("do", 1, None)]
+    ex = spark.createDataFrame(ex, "word string, idx long, sentence string")
+    q = [("q2", "We ------- home.", {"A": "walk"}, "A"), ("q1", "We ------- home.", {"A": "went"}, "A"), ("q3", "I know that they ------- it often!", {"B": "do"}, "B"), ("q4", None, {"A": "x"}, "A"), ("q5", "Bad ------- one", {"A": "x"}, "C")]
+    answers = filling.answer_keys(spark.createDataFrame(q, "id string, sentence string, choices map<string,string>, answer string"))
+    made = filling.fill_patches(ex, answers)
+    assert sorted(map(tuple, made.collect())) == [
+        ("do", 0, "they **do** it often", "contained"), ("go", 0, "We **went** home.", "exact"), ("go", 1, "Well, we **went** home. Now.", "contained"),
+    ]
+    more = made.select("word", "idx", "new_sentence").union(spark.createDataFrame([("go", 99, "out of range")], "word string, idx long, new_sentence string"))
+    kept = {(r["word"], r["idx"]): (r["sentence"], r["patched"]) for r in filling.patched_examples(ex, more).collect()}
+    assert kept == {("go", 0): ("We **went** home.", True), ("go", 1): ("Well, we **went** home. Now.", True), ("go", 2): ("No **blank** here.", False), ("do", 0): ("they **do** it often", True), ("do", 1): (None, False)}
+    assert filling.fill_patches(ex.limit(0), answers).count() == 0 and filling.fill_patches(ex, answers.limit(0)).count() == 0
+
+
+def test_merges_by_key(spark):
+    q = [("a", 1, 1, 101, None, {"A": "x", "B": "y"}), ("b", 1, 1, 102, "A", {"A": "x"}), ("c", 1, 1, 103, None, {"A": "x"}), ("d", 1, None, 104, None, None)]
+    q = spark.createDataFrame(q, "id string, volume int, test int, question_number int, answer string, choices map<string,string>")
+    key = spark.createDataFrame([(1, 1, 101, " b"), (1, 1, 101, "b "), (1, 1, 102, "B"), (1, 1, 103, "D"), (1, 1, 104, None)], "volume int, test int, question_number int, answer string")
+    assert sorted(map(tuple, filling.merged_answers(q, key).collect())) == [("a", "B", "filled"), ("b", "A", "kept"), ("c", None, "invalid"), ("d", None, "open")]
+    v = spark.createDataFrame([("1", "n."), ("2", "verb"), ("3", "noun/adj."), ("4", None)], "id string, pos string")
+    c = spark.createDataFrame([("1", "noun"), ("2", "noun, verb"), ("3", "what"), ("4", "adverb")], "id string, pos string")
+    assert sorted(map(tuple, filling.corrected_pos(v, c).collect())) == [("1", "noun", "unchanged"), ("2", "noun,verb", "updated"), ("3", "adjective,noun", "missing"), ("4", "adverb", "updated")]
+
+
+def test_decided_pos(spark):
+    rows = [("despite", "", None, "preposition"), ("timely", "x", None, "adjective"), ("gladly", "기쁜", None, "adverb"), ("be able to", "할 수 있다", None, "verb"), ("as of", "날짜", None, "noun"), ("firm", "확고한", None, "adjective"),
+            ("walk", "걷기", "verb", "noun"), ("create", "", "verb", "verb"), ("portable", "", "noun", "adjective"), ("zorp", "", "verb", "verb"), ("zorp", None, None, "noun"), (None, None, None, "noun"), ("notice", "공지하다", None, "verb")]
+    df = spark.createDataFrame(rows, "word string, gloss string, tag string, want string")
+    got = df.withColumn("got", morph.decide_pos(F.col("word"), F.col("gloss"), F.col("tag")))
+    assert got.where("got <> want").collect() == []
+
+
+def test_words_without_examples(spark):
+    v = spark.createDataFrame([("1", " Go "), ("2", "be"), ("3", None)], "id string, word string")
+    counts = spark.createDataFrame([("go", 0), ("be", 2)], "word string, n_examples long")
+    assert sorted(map(str, (tuple(r) for r in reports.without_examples(v, counts).collect()))) == ["('1', 'go')", "('3', None)"]
+
+
+def test_stream_goes_on_where_it_stopped(spark, tmp_path):
+    ev = lambda rows: spark.createDataFrame([(i, dt.datetime(2025, 1, d, h), u, "view", 30.0, "{}") for i, d, h, u in rows], responses.EVENTS)
+    run = lambda: {(r["day"], r["total"]) for r in responses.run_available(responses.daily_grades(responses.response_stream(spark, str(tmp_path / "in"))), "d", ["day", "category"], folder=str(tmp_path / "out")).collect()}
+    ev([(1, 1, 1, 1), (2, 1, 2, 1), (1, 1, 1, 1)]).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    assert run() == {("2025-01-01", 2)}
+    ev([(3, 1, 3, 1), (4, 2, 1, 1)]).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    assert run() == {("2025-01-01", 3), ("2025-01-02", 1)}
+    assert run() == {("2025-01-01", 3), ("2025-01-02", 1)}
+    sittings = responses.stream_sessions(responses.response_stream(spark, str(tmp_path / "in")), str(tmp_path / "s"))
+    assert sorted((r["start"], r["n"]) for r in sittings.collect()) == [(f"2025-01-01 0{h}:00:00", n) for h, n in ((1, 2), (2, 1), (3, 1))]
+
+
+def test_pages_only_go_into_mounted_folders(spark):
+    with pytest.raises(ValueError):
+        sinks.page_files(spark.createDataFrame([("a.md", "x")], "path string, content string"), "s3a://bucket/x")
+
+
 def test_sources_and_sinks(spark, tmp_path):
     (tmp_path / "vol1_part5.json").write_text(json.dumps([{"id": "a", "volume": 1, "choices": {"A": "x"}}, {"id": "b"}]))
     (tmp_path / "vol2_part5.json").write_text("{broken")
