@@ -2,21 +2,19 @@
 
 from __future__ import annotations
 
-from collections import Counter, defaultdict
-from collections.abc import Iterable, Iterator
-
 import numpy as np
 import pyarrow as pa
-import regex
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import materialise
+
 #: Words of a seed, and consecutive words that make a leak.
 SEED_WORDS = 5
 LEAK_WORDS = 12
-#: Words of test items that one pass over the corpus looks for: the bound of
-#: what is sent to the executors. More items take more passes.
-BLOCK_WORDS = 400_000
+#: Distinct n-grams of the test items up to which they are broadcast (16 bytes
+#: each); more of them meet the corpus in a shuffled join.
+BROADCAST_GRAMS = 2_000_000
 #: Alignment scores of equal words, other words, and gaps.
 MATCH, MISMATCH, GAP = 2.0, -1.0, 1.0
 #: Words around a seed that the alignment sees beyond the item's own length.
@@ -25,85 +23,53 @@ MARGIN = 20
 CELLS = 32_768
 PAIRS = 4096
 
-_WORD = regex.compile(r"[\p{L}\p{N}]+")
-
-
-def words_of(text: str | None) -> list[str]:
-    """Unbroken runs of letters and digits, in lower case."""
-    return _WORD.findall(text.lower()) if text else []
 
+def words_of(text: Column) -> Column:
+    """Hashes of the unbroken runs of letters and digits, whatever their case, as positive numbers."""
+    words = F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
+    return F.transform(words, lambda w: F.shiftrightunsigned(F.xxhash64(w), 1))
 
-def item_blocks(items: DataFrame, block_words: int = BLOCK_WORDS) -> Iterator[dict[int, list[str]]]:
-    """The test items in blocks of bounded size; items too short to leak are left out."""
-    block: dict[int, list[str]] = {}
-    size = 0
-    for r in items.select(F.col("item_id").cast("bigint"), "text").where("item_id is not null").orderBy("item_id").toLocalIterator():
-        w = words_of(r["text"])
-        if len(w) < LEAK_WORDS:
-            continue
-        while r["item_id"] in block:  # the same id again: a further text of the item
-            yield block
-            block, size = {}, 0
-        block[r["item_id"]] = w
-        size += len(w)
-        if size >= block_words:
-            yield block
-            block, size = {}, 0
-    if block:
-        yield block
 
+def _grams(words: Column) -> Column:
+    """Hashes of all ``SEED_WORDS`` words in a row, by place from 1; words may be fewer."""
+    at = F.sequence(F.lit(1), F.size(words) - (SEED_WORDS - 1))
+    grams = F.transform(at, lambda i: F.xxhash64(*(F.element_at(words, i + k) for k in range(SEED_WORDS))))
+    return F.when(F.size(words) >= SEED_WORDS, grams).otherwise(F.array().cast("array<bigint>"))
 
-def _grams(words: list[str], known: set[str]) -> Iterator[tuple[int, tuple[str, ...]]]:
-    """Seed-long n-grams that consist of the items' words alone."""
-    run = 0
-    for i, w in enumerate(words):
-        run = run + 1 if w in known else 0
-        if run >= SEED_WORDS:
-            yield i - SEED_WORDS + 1, tuple(words[i - SEED_WORDS + 1 : i + 1])
 
+def _keyed(rows: DataFrame, name: str) -> DataFrame:
+    """(key, name, words): texts with a key of their own; the same id may have several texts, the same text is one."""
+    texts = rows.select(F.col(name).cast("bigint").alias(name), "text").where("text is not null and text <> ''")
+    return texts.select(F.xxhash64(name, "text").alias("key"), name, words_of(F.col("text")).alias("words"))
 
-def gram_frequencies(texts: DataFrame, block: dict[int, list[str]]) -> dict[tuple[str, ...], int]:
-    """Number of corpus documents that hold each n-gram of the block's items.
-
-    Counted over all documents; what comes back is bounded by the block.
-    """
-    spark = texts.sparkSession
-    known = {w for ws in block.values() for w in ws}
-    grams = {g: n for n, g in enumerate(sorted({g for ws in block.values() for _, g in _grams(ws, known)}))}
-    shared = spark.sparkContext.broadcast((known, grams))
-
-    def count(batches):
-        known, grams = shared.value
-        n: Counter = Counter()
-        for b in batches:
-            for t in b.column(0).to_pylist():
-                n.update({grams[g] for _, g in _grams(words_of(t), known) if g in grams})
-        yield pa.RecordBatch.from_pydict({"g": pa.array(list(n), pa.int64()), "n": pa.array(list(n.values()), pa.int64())})
 
-    rows = texts.select("text").mapInArrow(count, "g bigint, n bigint").groupBy("g").agg(F.sum("n").alias("n")).collect()
-    by_no = {r["g"]: r["n"] for r in rows}
-    return {g: by_no.get(no, 0) for g, no in grams.items()}
+def gram_hits(docs: DataFrame, grams: DataFrame) -> DataFrame:
+    """(doc, at, g): where the corpus holds n-grams of the test items. One scan of the corpus."""
+    n = grams.count()
+    known = F.broadcast(grams) if n <= BROADCAST_GRAMS else grams
+    rows = docs.select(F.col("key").alias("doc"), F.posexplode(_grams(F.col("words"))).alias("at", "g"))
+    return rows.join(known, "g").select("doc", "at", "g")
 
 
-def choose_seeds(block: dict[int, list[str]], frequency: dict[tuple[str, ...], int], edited: bool = False) -> dict[tuple[str, ...], list[tuple[int, int]]]:
-    """Seed -> (item, position): of every window of ``LEAK_WORDS`` words its rarest
-    n-gram, so no leak can do without a seed, and frequent phrases start no alignment.
+def choose_seeds(places: DataFrame, frequency: DataFrame, edited: bool = False) -> DataFrame:
+    """(g, item, at, size): the seeds of each item from its n-grams (item, at, g, size) and their
+    number of corpus texts (g, n): of every window of ``LEAK_WORDS`` words the
+    rarest, so no leak can do without a seed, and frequent phrases start no
+    alignment. A window with an n-gram that stands nowhere has no seed: it stands
+    nowhere itself.
 
     An edited copy may hold none of these: a window with a changed word has
     n-grams that stand nowhere, and they are the rarest. With ``edited`` every
-    n-gram that stands in the corpus is a seed besides, whatever its frequency.
+    n-gram that stands in the corpus is a seed, whatever its frequency.
     """
-    seeds: dict[tuple[str, ...], set[tuple[int, int]]] = defaultdict(set)
-    for item, ws in block.items():
-        own = [tuple(ws[i : i + SEED_WORDS]) for i in range(len(ws) - SEED_WORDS + 1)]
-        for at in range(len(ws) - LEAK_WORDS + 1):
-            best = min(range(at, at + LEAK_WORDS - SEED_WORDS + 1), key=lambda i: (frequency.get(own[i], 0), i))
-            seeds[own[best]].add((item, best))
-        if edited:
-            for i, g in enumerate(own):
-                if frequency.get(g, 0) >= 1:
-                    seeds[g].add((item, i))
-    return {g: sorted(v) for g, v in seeds.items()}
+    known = places.join(frequency, "g", "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    if edited:
+        return known.where("n > 0").select("g", "item", "at", "size")
+    wide = LEAK_WORDS - SEED_WORDS
+    ahead = Window.partitionBy("item").orderBy("at").rowsBetween(0, wide)
+    best = F.min(F.struct("n", "at", "g")).over(ahead)
+    windows = known.select("item", "at", "size", best.alias("b")).where(F.col("at") + wide + SEED_WORDS <= F.col("size"))
+    return windows.where("b.n > 0").select("b.g", "item", "b.at", "size").distinct()
 
 
 def align(doc: np.ndarray, item: np.ndarray) -> tuple[float, int]:
@@ -142,8 +108,8 @@ def align_many(pairs: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray,
             width = max(width, len(pairs[order[end]][0]))
             end += 1
         part = order[at:end]
-        docs = np.full((len(part), width), -1, np.int32)
-        items = np.full((max(len(pairs[k][1]) for k in part), len(part), 1), -2, np.int32)
+        docs = np.full((len(part), width), -1, np.int64)
+        items = np.full((max(len(pairs[k][1]) for k in part), len(part), 1), -2, np.int64)
         for row, k in enumerate(part):
             docs[row, : len(pairs[k][0])] = pairs[k][0]
             items[: len(pairs[k][1]), row, 0] = pairs[k][1]
@@ -169,76 +135,68 @@ def align_many(pairs: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray,
     return scores, longest
 
 
-def _regions(hits: Iterable[tuple[int, int]], item_len: int, doc_len: int) -> list[tuple[int, int]]:
-    """Stretches of the document where the item can lie, from (document, item) positions of seeds."""
-    out: list[list[int]] = []
-    for d, i in sorted(hits, key=lambda h: h[0] - h[1]):
-        lo, hi = max(0, d - i - MARGIN), min(doc_len, d - i + item_len + MARGIN)
-        if out and lo <= out[-1][1]:
-            out[-1][1] = max(out[-1][1], hi)
-        else:
-            out.append([lo, hi])
-    return [(a, b) for a, b in out]
+def _regions(met: DataFrame) -> DataFrame:
+    """(doc, item, lo, hi): stretches of a document where an item can lie, from the places
+    (doc_at, item_at) of its seeds; those that overlap are one."""
+    lines = met.select("doc", "item", "size", (F.col("doc_at") - F.col("item_at")).alias("d")).distinct()
+    of_pair = Window.partitionBy("doc", "item").orderBy("d")
+    new = F.coalesce((F.col("d") - F.lag("d").over(of_pair) > F.col("size") + 2 * MARGIN).cast("int"), F.lit(1))
+    marked = lines.withColumn("new", new).withColumn("part", F.sum("new").over(of_pair))
+    ends = marked.groupBy("doc", "item", "part", "size").agg(F.min("d").alias("lo"), F.max("d").alias("hi"))
+    return ends.select("doc", "item", F.greatest(F.lit(0), F.col("lo") - MARGIN).alias("lo"), (F.col("hi") + F.col("size") + MARGIN).alias("hi"))
+
+
+_ALIGNED = "doc_id bigint, item_id bigint, score double, longest_run bigint"
+
+
+def _align_rows(batches):
+    """(doc_id, item_id, words of the document, words of the item) to ``_ALIGNED``, many at a time."""
+    waiting: list[tuple] = []
+
+    def aligned():
+        scores, runs = align_many([(np.array(own), np.array(item)) for _, _, own, item in waiting])
+        docs, ids = [w[0] for w in waiting], [w[1] for w in waiting]
+        waiting.clear()
+        return pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(ids, pa.int64()), pa.array(scores, pa.float64()), pa.array(runs, pa.int64())], names=["doc_id", "item_id", "score", "longest_run"])
+
+    for b in batches:
+        own, item = (b.column(i).to_numpy(zero_copy_only=False) for i in (2, 3))
+        waiting.extend(zip(b.column(0).to_pylist(), b.column(1).to_pylist(), own, item))
+        if len(waiting) >= PAIRS:
+            yield aligned()
+    if waiting:
+        yield aligned()
 
 
 def find_leaks(documents: DataFrame, items: DataFrame, edited: bool = True) -> DataFrame:
     """(doc_id, item_id, score, longest_run) of documents aligned with test items.
 
     ``score`` is the Smith-Waterman score in words over the best stretch;
-    ``longest_run`` the most consecutive words in common. The corpus isn't
-    shuffled: items go out in blocks of bounded size, each document is cut
-    into words, looked up for seeds and aligned where one lies. Every document
-    that shares ``SEED_WORDS`` words in a row with an item is aligned with it;
-    without ``edited`` only what may hold ``LEAK_WORDS`` of its words in a row.
+    ``longest_run`` the most consecutive words in common. The corpus is scanned
+    once for the items' n-grams, a join; what it holds of them gives their
+    frequencies and, joined with the seeds, the stretches to align. Only
+    documents with a seed are read again. Every document that shares
+    ``SEED_WORDS`` words in a row with an item is aligned with it; without
+    ``edited`` only what may hold ``LEAK_WORDS`` of its words in a row.
 
     Null and empty texts leak nothing; items under ``LEAK_WORDS`` words can't
     leak; repeated rows give one row.
     """
-    spark = documents.sparkSession
-    texts = documents.select(F.col("doc_id").cast("bigint"), "text").where("text is not null")
-    result = None
-    for block in item_blocks(items):
-        seeds = choose_seeds(block, gram_frequencies(texts, block), edited)
-        shared = spark.sparkContext.broadcast((block, seeds))
-
-        def scan(batches, shared=shared):
-            block, seeds = shared.value
-            known = {w for ws in block.values() for w in ws}
-            number = {w: n for n, w in enumerate(sorted(known), 1)}
-            coded = {i: np.array([number[w] for w in ws]) for i, ws in block.items()}
-            waiting: list[tuple[int, int, np.ndarray]] = []
-
-            def aligned():
-                scores, runs = align_many([(own, coded[item]) for _, item, own in waiting])
-                docs, ids = [w[0] for w in waiting], [w[1] for w in waiting]
-                waiting.clear()
-                return pa.RecordBatch.from_arrays(
-                    [pa.array(docs, pa.int64()), pa.array(ids, pa.int64()), pa.array(scores, pa.float64()), pa.array(runs, pa.int64())],
-                    names=["doc_id", "item_id", "score", "longest_run"],
-                )
-
-            for b in batches:
-                for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                    words = words_of(text)
-                    hits: dict[int, set[tuple[int, int]]] = defaultdict(set)
-                    for at, g in _grams(words, known):
-                        for item, i in seeds.get(g, ()):
-                            hits[item].add((at, i))
-                    if not hits:
-                        continue
-                    own = np.array([number.get(w, 0) for w in words])
-                    for item, where in hits.items():
-                        waiting += [(doc, item, own[a:z]) for a, z in _regions(where, len(coded[item]), len(own))]
-                    if len(waiting) >= PAIRS:
-                        yield aligned()
-            if waiting:
-                yield aligned()
-
-        found = texts.mapInArrow(scan, "doc_id bigint, item_id bigint, score double, longest_run bigint")
-        result = found if result is None else result.unionByName(found)
-    if result is None:
-        return spark.createDataFrame([], "doc_id bigint, item_id bigint, score double, longest_run bigint")
-    return result.groupBy("doc_id", "item_id").agg(F.max("score").alias("score"), F.max("longest_run").alias("longest_run"))
+    docs = _keyed(documents, "doc_id")
+    tests = materialise(_keyed(items, "item_id").where(F.size("words") >= LEAK_WORDS).dropDuplicates(["key"]), "p9-items")
+    places = tests.select(F.col("key").alias("item"), F.size("words").alias("size"), F.posexplode(_grams(F.col("words"))).alias("at", "g"))
+    hits = materialise(gram_hits(docs, places.select("g").distinct()), "p9-hits")
+    frequency = hits.groupBy("g", "doc").agg(F.lit(1).alias("o")).groupBy("g").agg(F.count("*").alias("n"))
+    seeds = choose_seeds(places, frequency, edited).withColumnRenamed("at", "item_at")
+    regions = _regions(hits.withColumnRenamed("at", "doc_at").join(seeds, "g"))
+    # a document's stretches are few numbers each; its words are cut once
+    of_doc = regions.groupBy("doc").agg(F.collect_list(F.struct("item", "lo", "hi")).alias("parts"))
+    cut = docs.join(of_doc.withColumnRenamed("doc", "key"), "key").select(
+        "doc_id", F.explode(F.transform("parts", lambda p: F.struct(p["item"].alias("item"), F.slice("words", (p["lo"] + 1).cast("int"), (p["hi"] - p["lo"]).cast("int")).alias("own")))).alias("p")
+    )
+    pairs = cut.select("doc_id", F.col("p.item").alias("key"), "p.own").join(tests, "key").select("doc_id", "item_id", "own", "words")
+    aligned = pairs.mapInArrow(_align_rows, _ALIGNED)
+    return aligned.groupBy("doc_id", "item_id").agg(F.max("score").alias("score"), F.max("longest_run").alias("longest_run"))
 
 
 def leaked(documents: DataFrame, items: DataFrame) -> DataFrame:

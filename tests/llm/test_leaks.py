@@ -1,4 +1,6 @@
 import numpy as np
+import pytest
+from pyspark.sql import functions as F
 
 from lexweave.llm import leaks, queries
 
@@ -22,11 +24,40 @@ def test_fixture(spark):
     assert edited[10] >= 1
 
 
-def test_blocks_of_items(spark):
-    items = [(i, f"item{i} " + ITEM, "a") for i in range(20)]
-    e = spark.createDataFrame(items, EVAL)
-    assert sum(len(b) for b in leaks.item_blocks(e, 50)) == 20
-    assert len(list(leaks.item_blocks(e, 50))) > 3
+def test_many_items_meet_the_corpus_in_a_shuffled_join(spark, monkeypatch):
+    w = ITEM.split()
+    d = spark.createDataFrame([(1, "x " + ITEM, 0), (2, " ".join(w[:11]), 0), (3, None, 0)], DOC)
+    e = spark.createDataFrame([(i, f"item{i} " + ITEM, "a") for i in range(20)], EVAL)
+    want = [(1, i) for i in range(20)]
+    assert sorted(map(tuple, leaks.leaked(d, e).collect())) == want
+    monkeypatch.setattr(leaks, "BROADCAST_GRAMS", 10)
+    assert sorted(map(tuple, leaks.leaked(d, e).collect())) == want
+
+
+def test_same_id_with_several_texts(spark):
+    other = " ".join(f"other{i}" for i in range(14))
+    d = spark.createDataFrame([(1, ITEM, 0), (1, other, 0), (2, other, 0)], DOC)
+    e = spark.createDataFrame([(10, ITEM, "a"), (10, other, "a"), (11, other, "a")], EVAL)
+    assert sorted(map(tuple, leaks.leaked(d, e).collect())) == [(1, 10), (1, 11), (2, 10), (2, 11)]
+
+
+@pytest.mark.parametrize("changed, least", [(1, 0.99), (2, 0.95), (3, 0.6)])
+def test_recall_of_edited_copies(spark, changed, least):
+    """Copies of 60 words with some of every 12 words changed at random; none has 12 in a row from two on."""
+    rng = np.random.default_rng(changed)
+    items, docs = [], []
+    for n in range(150):
+        words = [f"i{n}w{i}" for i in range(60)]
+        copy = list(words)
+        for at in range(0, 60, 12):
+            for i in rng.choice(12, changed, replace=False):
+                copy[at + i] = f"c{n}w{at + i}"
+        items.append((n, " ".join(words), "a"))
+        docs.append((n, "before it " + " ".join(copy) + " and after", 0))
+    rows = leaks.find_leaks(spark.createDataFrame(docs, DOC), spark.createDataFrame(items, EVAL)).where("doc_id = item_id")
+    found = rows.where(F.col("score") >= leaks.MATCH * leaks.LEAK_WORDS).count() / 150
+    print("recall of", changed, "in 12:", found)
+    assert found >= least
 
 
 def test_empty(spark):

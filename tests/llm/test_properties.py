@@ -21,14 +21,22 @@ def test_longest_run_is_the_longest_common_stretch(a, b):
     assert run == want and score >= want * leaks.MATCH
 
 
-@settings(max_examples=100, deadline=None)
-@given(st.lists(st.sampled_from([f"w{i}" for i in range(30)]), min_size=12, max_size=60), st.dictionaries(st.integers(0, 50), st.integers(0, 9)))
-def test_every_window_has_a_seed(words, noise):
-    grams = [tuple(words[i : i + leaks.SEED_WORDS]) for i in range(len(words) - leaks.SEED_WORDS + 1)]
-    frequency = {g: noise.get(i, 0) for i, g in enumerate(grams)}
-    seeds = leaks.choose_seeds({7: words}, frequency)
-    for at in range(len(words) - leaks.LEAK_WORDS + 1):
-        assert any(g in seeds for g in grams[at : at + leaks.LEAK_WORDS - leaks.SEED_WORDS + 1])
+def test_every_window_has_a_seed(spark):
+    """The rarest n-gram of each window that stands whole in the corpus, against brute force."""
+    rng = np.random.default_rng(3)
+    rows, counts, want = [], {}, set()
+    for item in range(40):
+        n = int(rng.integers(12, 40))
+        grams = [int(g) for g in rng.integers(0, 60, n - leaks.SEED_WORDS + 1)]
+        counts |= {g: int(g) % 7 for g in grams}
+        rows += [(item, at, g, n) for at, g in enumerate(grams)]
+        for at in range(n - leaks.LEAK_WORDS + 1):
+            best = min(range(at, at + leaks.LEAK_WORDS - leaks.SEED_WORDS + 1), key=lambda i: (counts[grams[i]], i))
+            if counts[grams[best]]:
+                want.add((grams[best], item, best, n))
+    places = spark.createDataFrame(rows, "item long, at int, g long, size int")
+    frequency = spark.createDataFrame([(g, n) for g, n in counts.items() if n], "g long, n long")
+    assert {tuple(r) for r in leaks.choose_seeds(places, frequency).collect()} == want
 
 
 @settings(max_examples=100, deadline=None)
