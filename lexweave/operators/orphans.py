@@ -81,7 +81,7 @@ def key_states(refs: DataFrame, targets: DataFrame) -> DataFrame:
     before its target. Without targets every key is missing.
     """
     months = refs.groupBy(*_KEY, _month()).agg(F.count("*").alias("n"), F.min("at").alias("min_at"))
-    keys = months.groupBy(*_KEY).agg(F.sum("n").alias("n"), F.min("min_at").alias("min_at"))
+    keys = materialise(months.groupBy(*_KEY).agg(F.sum("n").alias("n"), F.min("min_at").alias("min_at")), "keys")  # read four times
     heavy = heavy_keys(keys, _KEY, "n").drop("_heavy_n")
     state = targets.withColumn("_hit", F.lit(True))
     hot = keys.join(F.broadcast(heavy), _KEY).join(F.broadcast(state.join(F.broadcast(heavy), _KEY)), _KEY, "left")
