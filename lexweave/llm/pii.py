@@ -105,7 +105,6 @@ _NAME_AGAINST = {"the", "a", "an", "from", "about", "at", "in", "of", "through",
 _re = {d: {k: re.compile(v, re.I if k != "name" else 0) for k, v in t.items()} for d, t in (("b", BEFORE), ("a", AFTER), ("x", AGAINST))}
 #: Last words of what stands before a name, in the case they have there: others needn't be looked at.
 _last_word = re.compile(r"(\w+|[^\w\s])\W?\s*$")
-_label_end = re.compile(r"[:,\n]\s*$")
 _NAME_LEADS = {*TITLES, "Dear", "Hi", "Hello", "by", "for", "is", "named", "am", *NAME_LABELS_KO}
 _ORG = set(ORGANISATIONS) | set(PLACES)
 _STOP = set(NOT_NAMES) | set(TITLES) | set(ORGANISATIONS) | set(PLACES)
@@ -121,6 +120,10 @@ def _parts(name: str) -> list[str]:
     return _part.findall(name)
 
 
+def _may_label(tail: str) -> bool:
+    return ":" in tail or "," in tail or "\n" in tail
+
+
 def _trim(text: str, start: int, end: int) -> tuple[int, int]:
     """A name's span without a title, greeting or other known word before it."""
     while True:
@@ -190,9 +193,10 @@ def votes(kind: str, text: str, start: int, end: int) -> tuple[int, ...]:
     (``with_corpus_votes``).
     """
     before, after, found = text[max(0, start - 60) : start], text[end : end + 30], text[start:end]
-    last = _last_word.search(before)
+    near = before[-24:]
+    last = _last_word.search(near) if kind == "name" else None
     last = last[1] if last else ""
-    b = 1 if (kind != "name" or last in _NAME_LEADS or not last.isalpha() or _label_end.search(before)) and _re["b"][kind].search(before) else 0
+    b = 1 if (kind != "name" or last in _NAME_LEADS or not last.isalpha() or _may_label(near[-6:])) and _re["b"][kind].search(before) else 0
     a = 1 if _re["a"][kind].match(after) else 0
     x = -1 if not b and (last in _NAME_AGAINST and before[-1:].isspace() if kind == "name" else _re["x"][kind].search(before)) else 0
     gaz = dic = form = 0
@@ -204,7 +208,7 @@ def votes(kind: str, text: str, start: int, end: int) -> tuple[int, ...]:
             nxt = _next_word.match(after)
             if nxt and nxt[1] in _ORG or parts and parts[-1] in _ORG:
                 x = -1
-            elif not b and len(parts) == 1 and _opens.search(before):
+            elif not b and len(parts) == 1 and _opens.search(near[-8:]):
                 x = -1  # the sentence begins here, which explains the capital
             if any(p in _STOP for p in parts):
                 dic = -1
@@ -238,7 +242,7 @@ _context = re.compile(r"\d+|[^\W\d_]+|[^\w\s]|\n")
 
 def context(text: str, start: int, end: int) -> tuple[int, ...]:
     """Buckets of the two words or marks before and after a span, numbers made alike."""
-    before, after = _context.findall(text[max(0, start - 40) : start])[-2:], _context.findall(text[end : end + 40])[:2]
+    before, after = _context.findall(text[max(0, start - 32) : start])[-2:], _context.findall(text[end : end + 32])[:2]
     words = [""] * (2 - len(before)) + before + after + [""] * (2 - len(after))
     return tuple(map(_bucket, words))
 

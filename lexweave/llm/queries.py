@@ -36,15 +36,15 @@ _GRAMS = r"""SELECT {key}, unnest(list_transform(range(1, len(w) - 10), lambda i
 
 
 #: Equal texts, and equal leaves of the payloads with their paths in order.
-_COPIES = r"""WITH x AS (SELECT DISTINCT e.ex_id AS id, regexp_replace(lower(e.sentence), '[^\p{L}\p{N}]+', '', 'g') AS k FROM (SELECT unnest(examples) AS e FROM word_ets_examples) WHERE e.sentence IS NOT NULL),
+_KEYS = r"""WITH x AS (SELECT DISTINCT e.ex_id AS id, regexp_replace(lower(e.sentence), '[^\p{L}\p{N}]+', '', 'g') AS k FROM (SELECT unnest(examples) AS e FROM word_ets_examples) WHERE e.sentence IS NOT NULL),
   leaves AS (SELECT raw_id, t.fullkey AS path, t.type AS type, CASE WHEN t.type IN ('OBJECT', 'ARRAY') THEN '' WHEN t.type = 'VARCHAR' THEN json_extract_string(t.value, '$') ELSE t.value::VARCHAR END AS val FROM word_ets_examples_raw, json_tree(payload::JSON) t),
   c AS (SELECT raw_id, string_agg(path || chr(1) || type || chr(1) || CASE WHEN ends_with(path, '.sentence') THEN regexp_replace(lower(val), '[^\p{L}\p{N}]+', '', 'g') ELSE coalesce(val, '') END, chr(2) ORDER BY path) AS k FROM leaves GROUP BY raw_id),
-  a AS (SELECT 'example' AS kind, id, k FROM x WHERE k <> '' UNION ALL SELECT 'raw', raw_id, k FROM c), m AS (SELECT kind, id, min(id) OVER (PARTITION BY kind, k) AS id_a FROM a)
-  SELECT kind, id_a, id AS id_b FROM m WHERE id <> id_a"""
+  a AS (SELECT 'example' AS kind, id, k FROM x WHERE k <> '' UNION ALL SELECT DISTINCT 'raw', raw_id, k FROM c), m AS (SELECT kind, id, min(id) OVER (PARTITION BY kind, k) AS id_a FROM a)"""
 
 
 def oracle_sql() -> dict[str, str]:
     return {
-        "p3_found": _COPIES,
+        "p3_found": f"{_KEYS} SELECT kind, id_a, id AS id_b FROM m WHERE id <> id_a",
+        "p3_collapsed": f"{_KEYS} SELECT kind, id_a AS id, count(*) AS n_copies FROM m GROUP BY kind, id_a",
         "p9_found": f"SELECT DISTINCT doc_id, item_id FROM ({_GRAMS.format(key='doc_id', src='documents')}) JOIN ({_GRAMS.format(key='item_id', src='eval_items')}) USING (g)",
     }

@@ -1,9 +1,11 @@
 import json
 from collections import defaultdict
 
-from lexweave.llm import typography
+from lexweave.llm import queries, typography
 from lexweave.session import table
 
+from ..compare import assert_same, views
+
 EX = "entry_id long, examples array<struct<ex_id long, sentence string>>, kind string"
 RAW = "raw_id long, payload string"
 
@@ -89,3 +91,9 @@ def test_against_brute_force(spark):
         raw[json.dumps(canon(json.loads(row["payload"])), sort_keys=True)].add(row["raw_id"])
     want = _pairs(ex, "example") | _pairs(raw, "raw")
     assert {tuple(x) for x in typography.duplicate_pairs(e, r).collect()} == want
+
+
+def test_same_as_sql(spark):
+    sf = "/root/testdata/sf0.01"
+    for name in ("p3_found", "p3_collapsed"):
+        assert_same(queries.queries()[name](spark, sf), views(sf), queries.oracle_sql()[name])
