@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import os
+from heapq import heapify, heappop, heappush
 
 import duckdb
 import pyarrow as pa
@@ -17,6 +18,10 @@ WORD_PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?
 #: Words a partition encodes in one recursive query, and the most it keeps.
 WORDS_PER_QUERY = 20_000
 WORDS_KEPT = 400_000
+#: A step of the query looks at every token of its words, and a word takes as
+#: many steps as it has distinct merges: runs of more bytes than this without a
+#: break (encoded data, not words) are contracted with a queue instead.
+QUERY_BYTES = 2_000
 
 
 def byte_symbols() -> dict[int, str]:
@@ -76,6 +81,30 @@ SELECT w, toks FROM st
 """
 
 
+def contract(ids: list[int], merges: dict[tuple[int, int], tuple[int, int]]) -> list[int]:
+    """The same contraction of one list of ids with a queue of its pairs: least rank
+    first, then leftmost. Its work grows with the length times its logarithm."""
+    n = len(ids)
+    token: list[int | None] = list(ids)
+    after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+    queue = [(*m, i, ids[i], ids[i + 1]) for i in range(n - 1) if (m := merges.get((ids[i], ids[i + 1])))]
+    queue = [(rank, i, a, b, merged) for rank, merged, i, a, b in queue]
+    heapify(queue)
+    while queue:
+        _, i, a, b, merged = heappop(queue)
+        j = after[i]
+        if j >= n or token[i] != a or token[j] != b:
+            continue  # one of the two was merged with another neighbour
+        token[i], token[j] = merged, None
+        after[i] = after[j]
+        if after[i] < n:
+            before[after[i]] = i
+        for left, right in ((before[i], i), (i, after[i])):
+            if left >= 0 and right < n and (m := merges.get((token[left], token[right]))):
+                heappush(queue, (m[0], left, token[left], token[right], m[1]))
+    return [t for t in token if t is not None]
+
+
 class PartitionEncoder:
     """Words to ids in one DuckDB database in memory, for one partition."""
 
@@ -85,10 +114,22 @@ class PartitionEncoder:
         self.db.execute("SET preserve_insertion_order = false")
         self.db.register("merges_in", merges)
         self.db.execute("CREATE TABLE merges AS SELECT * FROM merges_in")
+        self.merges, self.pairs = merges, None
         self.known: dict[str, list[int]] = {}
         self.word = regex.compile(WORD_PATTERN)
 
+    def _contract_long(self, data: bytes) -> list[int]:
+        if self.pairs is None:
+            a, b, rank, merged = (self.merges.column(c).to_pylist() for c in ("a", "b", "rank", "merged"))
+            self.pairs = dict(zip(zip(a, b), zip(rank, merged)))
+        return contract([self.bytes_to_id[x] for x in data], self.pairs)
+
     def learn(self, words: list[str]) -> None:
+        for w in [w for w in words if len(w) * 4 > QUERY_BYTES]:
+            data = w.encode("utf-8", "surrogatepass")
+            if len(data) > QUERY_BYTES:
+                self.known[w] = self._contract_long(data)
+        words = [w for w in words if w not in self.known]
         for i in range(0, len(words), WORDS_PER_QUERY):
             block = words[i : i + WORDS_PER_QUERY]
             toks = [[self.bytes_to_id[b] for b in w.encode("utf-8", "surrogatepass")] for w in block]

@@ -1,4 +1,5 @@
 import os
+import random
 
 import pytest
 
@@ -35,5 +36,16 @@ def test_whole_corpus_and_round_trip(spark, library):
         assert t.decode(got[r["doc_id"]], skip_special_tokens=False) == (r["text"] or "")
 
 
+def test_long_runs_without_a_break(library):
+    """Half a million letters in a row, and the same way for short words."""
+    rng = random.Random(1)
+    enc = bpe.PartitionEncoder(PATH)
+    long = ["".join(rng.choice("etaoinshrdlu") for _ in range(500_000)), "a" * 100_001, "가" * 5000, "=" * 3001]
+    assert enc.encode(long) == library(long)
+    words = ["".join(rng.choice("abcdeinorst") for _ in range(rng.randrange(1, 40))) for _ in range(300)]
+    data = [w.encode() for w in words]
+    assert [enc._contract_long(d) for d in data] == library(words)
+
+
 def test_empty_table(spark):
     assert bpe.encode_documents(spark.createDataFrame([], "doc_id long, text string")).count() == 0
