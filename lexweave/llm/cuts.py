@@ -44,7 +44,11 @@ def cut_texts(entries: DataFrame, questions: DataFrame) -> DataFrame:
 
 def open_end(text: Column) -> Column:
     """No full stop at the end, or an ellipsis. Blank texts have no end to lose."""
-    return (~text.rlike(CLOSED) | text.rlike(ELLIPSIS)) & text.rlike(r"\S")
+    open_ = lambda t: ~t.rlike(CLOSED) | t.rlike(ELLIPSIS)
+    near = F.substring(text, -40, 40)
+    # the end is in the last characters unless these are nothing but closing marks and blanks
+    ended = F.when(near.rlike(rf"[{_CLOSERS}\s]{{30}}$"), open_(text)).otherwise(open_(near))
+    return ended & (near.rlike(r"\S") | text.rlike(r"\S"))
 
 
 _BRACKETS = "()[]{}“”「」‘"
@@ -61,7 +65,7 @@ def may_be_unclosed(text: Column) -> Column:
     bracket = text.rlike(opening) & F.regexp_replace(text, _CLOSED_PAIR, "").rlike(opening)
     single = F.replace(text, F.lit("**"), F.lit(""))
     stars = text.contains("*") & ((size("**", text) % 4 != 0) | (size("*", single) % 2 != 0))
-    return bracket | (size('"', text) % 2 != 0) | stars
+    return bracket | text.contains('"') & (size('"', text) % 2 != 0) | stars
 
 
 def end_phrase(text: str) -> tuple[str, str]:

@@ -155,6 +155,7 @@ def test_stack(text, is_open):
 
 def test_open_end_in_the_jvm(spark):
     rows = [("Done.", False), ("Done!”", False), ("Done", True), ("Done…", True), ("Done. ", False), ("", False), ("  ", False), ("끝났다.", False), ("(see page 3).", False)]
+    rows += [(t + end, want) for t in ("x", "A word " * 30) for end, want in ((".", False), ("." + ")" * 50, False), (")" * 50, True), ("." + " " * 60, False), (" " * 60, True), ("..." + " " * 45, True), ("..." + " " * 28, True), ("!" + '"' * 29, False), ("…", True))]
     df = spark.createDataFrame(rows, "text string, want boolean").withColumn("got", cuts.open_end(F.col("text")))
     assert df.where("got <> want").count() == 0
 
