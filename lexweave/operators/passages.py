@@ -155,7 +155,7 @@ def resolve_blanks(sentences: DataFrame, passages: DataFrame, left: int = 25, ah
 
 def reading_order(blocks: DataFrame, gutter: float = 280.0) -> DataFrame:
     """(page, place, text): blocks (page, x0, y0, text) of two-column pages, left column first, from top to bottom."""
-    w = Window.partitionBy("page").orderBy((F.col("x0") >= gutter).cast("int"), "y0", "x0")
+    w = Window.partitionBy("page").orderBy((F.col("x0") >= gutter).cast("int"), "y0", "x0", "text")
     return blocks.select("page", F.row_number().over(w).cast("bigint").alias("place"), "text")
 
 

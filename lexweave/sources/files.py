@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -79,6 +80,55 @@ def markdown_pages(spark: SparkSession, folder: str) -> DataFrame:
     return rows.select("file", F.when(F.size(pairs) > 0, front).otherwise(F.create_map().cast("map<string,string>")).alias("front"), body.alias("body"))
 
 
+def typed_front(pages: DataFrame, ints: list[str], lists: list[str]) -> DataFrame:
+    """Adds maps ``ints`` and ``lists``: the front matter's values under these keys as numbers, and as
+    arrays of the items between brackets and commas. What isn't one is null; a missing list is empty."""
+    number = lambda k: F.expr(f"try_cast(trim(front['{k}']) as int)")
+    inner = lambda k: F.regexp_replace(F.coalesce(F.col("front")[k], F.lit("")), r"^\s*\[|\]\s*$", "")
+    items = lambda k: F.filter(F.transform(F.split(inner(k), ","), lambda x: F.regexp_replace(F.trim(x), r"^[\"']|[\"']$", "")), lambda x: x != "")
+    as_map = lambda keys, f: F.create_map(*(c for k in keys for c in (F.lit(k), f(k))))
+    return pages.withColumns({"ints": as_map(ints, number), "lists": as_map(lists, items)})
+
+
+def config(spark: SparkSession, path: str) -> dict[str, str]:
+    """Settings of a YAML file of nested mappings and plain lists, keyed by their path:
+    ``vocab.total_days`` or ``ets.volumes.0``. Values are text without quotes and comments.
+    Read by the driver; a setting that is given twice keeps the last value."""
+    out: dict[str, str] = {}
+    stack: list[tuple[int, str]] = []
+    places: dict[str, int] = {}
+    for row in spark.read.option("wholetext", True).text(path).collect():
+        for line in row[0].splitlines():
+            body = re.sub(r"(^|\s)#.*$", "", line).rstrip()
+            if not body.strip():
+                continue
+            depth = len(body) - len(body.lstrip())
+            body = body.strip()
+            item = body.startswith("- ")
+            while stack and (stack[-1][0] > depth or stack[-1][0] == depth and not item):
+                stack.pop()
+            prefix = ".".join(k for _, k in stack)
+            if item:
+                n = places[prefix] = places.get(prefix, -1) + 1
+                out[f"{prefix}.{n}"] = _plain(body[2:])
+                continue
+            key, _, value = body.partition(":")
+            name = f"{prefix}.{key.strip()}" if prefix else key.strip()
+            value = value.strip()
+            if value.startswith("[") and value.endswith("]"):
+                out |= {f"{name}.{i}": _plain(v) for i, v in enumerate(value[1:-1].split(",")) if v.strip()}
+            elif value:
+                out[name] = _plain(value)
+            else:
+                stack.append((depth, key.strip()))
+    return out
+
+
+def _plain(value: str) -> str:
+    value = value.strip()
+    return value[1:-1] if len(value) > 1 and value[0] == value[-1] and value[0] in "\"'" else value
+
+
 def sections(pages: DataFrame, headings: list[str]) -> DataFrame:
     """(file, pos, heading, text) of the second-level sections whose heading is listed."""
     parts = pages.select("file", F.posexplode(F.split("body", r"(?m)^## ")).alias("pos", "part")).where("pos > 0")

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lexweave.functions import classify, morph, text
-from lexweave.operators import cards, exams, filling, matching, patches, quality, reports
+from lexweave.operators import cards, exams, filling, markdown, matching, patches, quality, reports
 from lexweave.sources import files, sinks
 from lexweave.streaming import responses
 
@@ -196,6 +196,24 @@ def test_pages_only_go_into_mounted_folders(spark):
         sinks.page_files(spark.createDataFrame([("a.md", "x")], "path string, content string"), "s3a://bucket/x")
 
 
+def test_config(spark, tmp_path):
+    (tmp_path / "c.yaml").write_text('# all\nproject:\n  name: "Some: name"  # here\nets:\n  volumes: [1, 2, 3]\n  deep:\n    x: 1\nvocab:\n  total_days: 30\nkinds:\n  - "a"\n  - b\nlast: yes\n')
+    assert files.config(spark, str(tmp_path / "c.yaml")) == {
+        "project.name": "Some: name", "ets.volumes.0": "1", "ets.volumes.1": "2", "ets.volumes.2": "3", "ets.deep.x": "1", "vocab.total_days": "30", "kinds.0": "a", "kinds.1": "b", "last": "yes",
+    }
+
+
+def test_markdown_blocks(spark):
+    text = "#### Use\n- one **b**\n* two\n1. x\n2. y\n\n|a|b|\n|-|-|\n| c | *d* |\n> said\n> [!tip]\n```py\nif a < b:\n- no list"
+    got = {r["id"]: r["html"] for r in markdown.page_html(spark.createDataFrame([("1", text), ("2", None), ("3", "")], "id string, body string")).collect()}
+    assert got["1"].split("\n") == [
+        "<h5 class='vsub'>Use</h5>", "<ul class='vlist'>", "<li>one <strong>b</strong></li>", "<li>two</li>", "</ul>", "<ol class='vlist'>", "<li>x</li>", "<li>y</li>", "</ol>",
+        '<table class="vtable"><tbody>', "<tr><td>a</td><td>b</td></tr>", "<tr><td>c</td><td><em>d</em></td></tr>", "</tbody></table>", "<blockquote>said</blockquote>",
+        '<pre class="vcode"><code class="lang-py">', "if a &lt; b:", "- no list", "</code></pre>",
+    ]
+    assert got["2"] is None and got["3"] == ""
+
+
 def test_sources_and_sinks(spark, tmp_path):
     (tmp_path / "vol1_part5.json").write_text(json.dumps([{"id": "a", "volume": 1, "choices": {"A": "x"}}, {"id": "b"}]))
     (tmp_path / "vol2_part5.json").write_text("{broken")

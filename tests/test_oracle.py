@@ -2,12 +2,12 @@
 
 import pytest
 
-from lexweave.plans import books, merges, records, reports, streams, study, texts
+from lexweave.plans import books, files, merges, records, reports, streams, study, texts
 
 from .compare import assert_same, views
 from .conftest import SF
 
-_MODULES = (records, reports, texts, study, merges, books, streams)
+_MODULES = (records, reports, texts, study, merges, books, files, streams)
 _SQL = {n: s for m in _MODULES for n, s in m.oracle_sql().items()}
 _QUERIES = {n: f for m in _MODULES for n, f in m.queries().items()}
 
