@@ -2,22 +2,22 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import classify, text
 from . import reports
-from .patches import unique_names
+from .patches import unique_name
 from .salted import word_key
 
 _LEVELS = {"기초": "level::basic", "800": "level::800", "900": "level::900"}
 
 
-def tags(vocab: DataFrame) -> DataFrame:
-    """(id, tags): day, level, stars and first part of speech as tags."""
+def tag_column() -> Column:
+    """Day, level, stars and first part of speech of a vocabulary row as tags."""
     level = F.element_at(F.create_map(*(F.lit(x) for kv in _LEVELS.items() for x in kv)), F.col("level"))
     pos = F.get(classify.pos_list(F.col("pos")), 0)
-    found = F.array_compact(
+    return F.array_compact(
         F.array(
             F.when(F.col("day").isNotNull(), F.format_string("day::%02d", "day")),
             level,
@@ -25,7 +25,11 @@ def tags(vocab: DataFrame) -> DataFrame:
             F.when(pos.isNotNull(), F.concat(F.lit("pos::"), pos)),
         )
     )
-    return vocab.select("id", found.alias("tags"))
+
+
+def tags(vocab: DataFrame) -> DataFrame:
+    """(id, tags)."""
+    return vocab.select("id", tag_column().alias("tags"))
 
 
 def tag_histogram(vocab: DataFrame) -> DataFrame:
@@ -47,7 +51,7 @@ def notes(vocab: DataFrame) -> DataFrame:
     """(guid, fields, tags): notes with a key that stays the same between exports."""
     none = F.lit("")
     fields = F.concat_ws("\x1f", text.strip(F.col("word")), *(F.coalesce(text.escape_html(F.col(c)), none) for c in ("meaning_kr", "meaning_en", "example_sentence", "example_translation")))
-    return vocab.select(F.sha2("id", 256).alias("guid"), fields.alias("fields"), "id").join(tags(vocab), "id").select("guid", "fields", F.array_join("tags", " ").alias("tags"))
+    return vocab.select(F.sha2("id", 256).alias("guid"), fields.alias("fields"), F.array_join(tag_column(), " ").alias("tags"))
 
 
 def pages(vocab: DataFrame) -> DataFrame:
@@ -55,8 +59,8 @@ def pages(vocab: DataFrame) -> DataFrame:
     front = F.concat_ws("\n", F.lit("---"), F.concat(F.lit("word: "), text.strip(F.col("word"))), F.concat(F.lit("day: "), F.coalesce(F.col("day").cast("string"), F.lit(""))), F.concat(F.lit("level: "), F.coalesce("level", F.lit(""))), F.lit("---"))
     links = F.array_join(F.transform(F.coalesce("related_words", F.array().cast("array<string>")), lambda w: F.concat(F.lit("[["), F.coalesce(w, F.lit("")), F.lit("]]"))), " ")
     body = F.concat_ws("\n", front, F.concat(F.lit("# "), text.strip(F.col("word"))), F.concat(F.lit("> "), F.coalesce("example_sentence", F.lit(""))), links)
-    names = unique_names(vocab).select("id", F.format_string("day%02d/%s.md", F.coalesce("day", F.lit(0)), "name").alias("path"))
-    return vocab.select("id", body.alias("content")).join(names, "id").select("id", "path", "content")
+    rows = vocab.select("id", "day", unique_name().alias("name"), body.alias("content"))
+    return rows.select("id", F.format_string("day%02d/%s.md", F.coalesce("day", F.lit(0)), "name").alias("path"), "content")
 
 
 def page_links(page_rows: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import classify, text
 from ..functions.lexicon import POOLED_CATEGORIES
+from .patches import ranked_within
 
 
 def stable_order(*parts: Column | str) -> Column:
@@ -75,8 +76,8 @@ def distractors(vocab: DataFrame, k: int = 3) -> DataFrame:
     pos = F.coalesce(F.get(classify.pos_list(F.col("pos")), 0), F.lit("none"))
     pool = vocab.where("meaning_kr is not null").groupBy(text.first_sense(F.col("meaning_kr")).alias("sense")).agg(F.min(F.struct("id", pos.alias("pos"))).alias("m"))
     pool = pool.select("sense", F.col("m.id").alias("id"), F.col("m.pos").alias("pos"))
-    ring = Window.partitionBy("pos").orderBy(stable_order("id", "sense"), "id")
-    placed = pool.withColumn("r", F.row_number().over(ring)).withColumn("size", F.count("*").over(Window.partitionBy("pos")))
+    sizes = pool.groupBy("pos").agg(F.count("*").alias("size"))  # one row per part of speech
+    placed = ranked_within(pool, "pos", [stable_order("id", "sense"), F.col("id")], "r").join(F.broadcast(sizes), "pos")
     wants = placed.select("id", "pos", "size", "r", F.explode(F.sequence(F.lit(1), F.lit(k))).alias("place")).where("place < size")
     wants = wants.withColumn("at", F.pmod(F.col("r") - 1 + F.col("place"), F.col("size")) + 1)
     other = placed.select("pos", F.col("r").alias("at"), F.col("sense").alias("distractor"))

@@ -103,14 +103,23 @@ def verified_phrases(sentences: DataFrame, words: DataFrame) -> DataFrame:
     """(id, phrase): sentences in which all of a phrase's families occur, its
     mandatory placeholders too, and the first places lie within its span.
 
-    Sentences and phrases only meet where they share a form, so nothing is
-    compared pairwise; both checks are one aggregation.
+    A sentence and a phrase meet where the sentence has a form of the phrase's
+    rarest word, by the sentences themselves, so no frequent word brings all
+    its phrases to all its sentences. Only for these pairs the other words are
+    looked up, by sentence and form; both checks are one aggregation.
     """
     toks = phrase_tokens(words)
     t = token_rows(sentences, "[a-zA-Z']+", 1).select("id", "pos", F.lower("token").alias("token"))
     forms = phrase_forms(toks)
     keys = t.select("id", "pos", F.explode(F.array_distinct(F.array(F.struct(F.col("token").alias("form"), F.lit(True).alias("surface")), F.struct(morph.lemma(F.col("token")).alias("form"), F.lit(False).alias("surface"))))).alias("k"))
-    hits = keys.select("id", "pos", "k.form", "k.surface").join(forms, "form").where((F.col("role") == "content") | F.col("surface"))
+    keys = keys.select("id", "pos", "k.form", "k.surface")
+    counts = keys.groupBy("form").agg(F.count("*").alias("n"))
+    # a word that stands nowhere is the rarest: its phrase meets no sentence
+    per_word = forms.where("role = 'content'").join(counts, "form", "left").groupBy("phrase", "idx").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"))
+    rarest = per_word.groupBy("phrase").agg(F.min_by("idx", F.struct("n", "idx")).alias("idx"))
+    named = forms.where("role = 'content'").join(rarest, ["phrase", "idx"]).select("form", "phrase")
+    pairs = keys.join(named, "form").select("id", "phrase").distinct()
+    hits = pairs.join(forms, "phrase").join(keys, ["id", "form"]).where((F.col("role") == "content") | F.col("surface"))
     first = hits.groupBy("id", "phrase", "role", "idx").agg(F.min("pos").alias("at"))
     content = F.col("role") == "content"
     per = first.groupBy("id", "phrase").agg(F.count_if(content).alias("found"), F.count_if(~content).alias("found_ph"), (F.max(F.when(content, F.col("at"))) - F.min(F.when(content, F.col("at")))).alias("span"))

@@ -49,11 +49,16 @@ def sequential_ids(vocab: DataFrame) -> DataFrame:
     return with_row_number(v, ["d", "w", "id"]).select("id", F.format_string("hw_%04d", F.col("row_no")).alias("new_id"))
 
 
+def unique_name() -> Column:
+    """A vocabulary row's file name within its day, repeats with _2, _3 and so on."""
+    base = text.file_name(F.col("word"))
+    k = F.row_number().over(Window.partitionBy("day", base).orderBy("id"))
+    return F.when(k == 1, base).otherwise(F.concat_ws("_", base, k.cast("string")))
+
+
 def unique_names(vocab: DataFrame) -> DataFrame:
-    """(id, day, name): file names within a day, repeats with _2, _3 and so on."""
-    base = vocab.select("id", "day", text.file_name(F.col("word")).alias("b"))
-    k = F.row_number().over(Window.partitionBy("day", "b").orderBy("id"))
-    return base.select("id", "day", F.when(k == 1, F.col("b")).otherwise(F.concat_ws("_", "b", k.cast("string"))).alias("name"))
+    """(id, day, name): file names within a day."""
+    return vocab.select("id", "day", unique_name().alias("name"))
 
 
 def update_from_explanation(questions: DataFrame) -> DataFrame:
