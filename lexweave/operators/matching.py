@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import morph
 from ..functions.lexicon import PATTERN_MARKERS, PHRASE_PREPOSITIONS, PHRASE_STOP_WORDS, PLACEHOLDERS
+from ..session import materialise
 from .salted import word_key
 
 
@@ -112,7 +113,7 @@ def verified_phrases(sentences: DataFrame, words: DataFrame) -> DataFrame:
     t = token_rows(sentences, "[a-zA-Z']+", 1).select("id", "pos", F.lower("token").alias("token"))
     forms = phrase_forms(toks)
     keys = t.select("id", "pos", F.explode(F.array_distinct(F.array(F.struct(F.col("token").alias("form"), F.lit(True).alias("surface")), F.struct(morph.lemma(F.col("token")).alias("form"), F.lit(False).alias("surface"))))).alias("k"))
-    keys = keys.select("id", "pos", "k.form", "k.surface")
+    keys = materialise(keys.select("id", "pos", "k.form", "k.surface"), "phrase-keys")  # read three times
     counts = keys.groupBy("form").agg(F.count("*").alias("n"))
     # a word that stands nowhere is the rarest: its phrase meets no sentence
     per_word = forms.where("role = 'content'").join(counts, "form", "left").groupBy("phrase", "idx").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"))
