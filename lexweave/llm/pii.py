@@ -376,17 +376,18 @@ def word_gains(cands: DataFrame, post: DataFrame) -> dict[tuple[str, int], np.nd
     rows = cands.select("kind", "votes", "share", F.posexplode("around").alias("slot", "bucket"))
     yes, no = F.col("share") * F.col("p"), F.col("share") * (1 - F.col("p"))
     sums = rows.join(F.broadcast(post), ["kind", "votes"]).groupBy("kind", "slot", "bucket").agg(F.sum(yes).alias("yes"), F.sum(no).alias("no"))  # few patterns
-    found: dict[tuple[str, int], list] = {}
-    for r in sums.collect():
-        found.setdefault((r["kind"], r["slot"]), []).append((r["bucket"], r["yes"], r["no"]))
+    told = sums.toArrow()
+    kinds, slots = np.array(told["kind"].to_pylist(), object), told["slot"].to_numpy()
+    places, all_yes, all_no = (told[c].to_numpy() for c in ("bucket", "yes", "no"))
     out = {}
-    for key, own in found.items():
-        at, yes, no = np.array(own).T
+    for key in sorted(set(zip(kinds.tolist(), slots.tolist()))):
+        own = (kinds == key[0]) & (slots == key[1])
+        at, yes, no = places[own], all_yes[own], all_no[own]
         base = np.log((yes.sum() + 1) / (no.sum() + 1))
         gains = np.zeros(BUCKETS)
         # a word must be seen to speak: two pseudo-spans with the kind's own odds
         prior = yes.sum() / (yes.sum() + no.sum())
-        gains[at.astype(int)] = np.log((yes + 2 * prior) / (no + 2 * (1 - prior))) - base
+        gains[at] = np.log((yes + 2 * prior) / (no + 2 * (1 - prior))) - base
         out[key] = np.clip(gains, -4, 4)
     return out
 
@@ -459,7 +460,8 @@ def find_spans(documents: DataFrame) -> DataFrame:
     spark = documents.sparkSession
     stored = materialise(candidates(documents), "p10-candidates")
     copies = _texts(documents).groupBy("text_id").agg((1 / F.count("*")).alias("share"))
-    cands = materialise(with_corpus_votes(stored, part_counts(stored, documents)).join(copies, "text_id"), "p10-votes")
+    counts = materialise(part_counts(stored, documents), "p10-parts")  # read once per part of a name
+    cands = materialise(with_corpus_votes(stored, counts).join(copies, "text_id"), "p10-votes")
     posts = [(k, _text(v), float(q)) for k, own in _patterns(cands).items() for (v, _), q in zip(own, weigh(own, PRIOR[k]))]
     if not posts:
         return cands.select("doc_id", "text_id", "kind", "start", "end")
