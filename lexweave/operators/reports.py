@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text
+from ..session import materialise
 from .salted import word_key
 
 
@@ -88,15 +89,19 @@ def category_wide(questions: DataFrame) -> DataFrame:
     """Category by every volume there is (a column each, named by the volume), zero-filled, with the total over all
     questions; questions without a volume stand under ``null``. No questions give no volume columns."""
     wide = questions.select(category_of(F.col("category")).alias("category"), "volume").groupBy("category").pivot("volume").count().na.fill(0)
-    return wide.withColumn("total", sum((F.col(f"`{c}`") for c in wide.columns[1:]), F.lit(0)).cast("bigint"))
+    cells = F.array(*(F.col(f"`{c}`") for c in wide.columns[1:])).cast("array<bigint>")
+    return wide.withColumn("total", F.aggregate(cells, F.lit(0).cast("bigint"), lambda a, n: a + n))
 
 
 def category_pivot(questions: DataFrame) -> DataFrame:
-    """(category, volume, n, total): the crosstab of ``category_wide`` in rows, whose columns don't depend on the data."""
-    wide = category_wide(questions)
-    cells = [F.struct(F.lit(None if v == "null" else int(v)).cast("int").alias("volume"), F.col(f"`{v}`").alias("n")) for v in wide.columns[1:-1]]
-    none = F.array().cast("array<struct<volume:int,n:bigint>>")
-    return wide.select("category", F.explode(F.array(*cells) if cells else none).alias("c"), "total").select("category", "c.volume", "c.n", "total")
+    """(category, volume, n, total): the crosstab of ``category_wide`` in rows, for any number of volumes; every
+    category stands beside every volume there is, zero-filled, with its total over all questions."""
+    cells = questions.select(category_of(F.col("category")).alias("category"), "volume").groupBy("category", "volume").agg(F.count("*").alias("n"))
+    cells = materialise(cells, "category-cells")  # one row per category and volume that meet, read three times
+    grid = cells.groupBy("category").agg(F.sum("n").alias("total")).crossJoin(cells.select("volume").distinct())
+    g, c = grid.alias("g"), cells.alias("c")
+    both = g.join(c, (F.col("g.category") == F.col("c.category")) & F.col("g.volume").eqNullSafe(F.col("c.volume")), "left")
+    return both.select("g.category", "g.volume", F.coalesce("c.n", F.lit(0)).cast("bigint").alias("n"), "g.total")
 
 
 def category_share(questions: DataFrame) -> DataFrame:

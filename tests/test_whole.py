@@ -65,3 +65,11 @@ def test_crosstab_totals_are_all_questions(spark):
     assert got.where("volume > 5 and n > 0").count() > 0
     assert got.agg({"n": "sum"}).first()[0] == reports.questions(spark, folder).count()
     assert_same(got, views(folder), reports.oracle_sql()["category_pivot"])
+
+
+def test_crosstab_of_many_volumes(spark):
+    df = spark.range(4000).selectExpr("if(id % 4 = 0, 'a', 'b') as category", "cast(nullif(id % 2000, 7) as int) as volume")
+    got = r_ops.category_pivot(df)
+    assert got.count() == 2 * 2000 and got.where("volume is null").agg({"n": "sum"}).first()[0] == 2
+    assert {tuple(r) for r in got.groupBy("category", "total").agg({"n": "sum"}).collect()} == {("a", 1000, 1000), ("b", 3000, 3000)}
+    assert r_ops.category_wide(df.where("volume < 1500")).agg({"total": "sum"}).first()[0] == 2998
