@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import classify, text
 from ..functions.lexicon import BLANK
+from ..session import materialise
 from . import matching
 
 
@@ -42,27 +43,41 @@ def answer_keys(questions: DataFrame) -> DataFrame:
     return rows.groupBy("key").agg(F.min_by("answer", "question_id").alias("answer"), F.min("question_id").alias("question_id"))
 
 
+def nominated_pairs(needles: DataFrame, bodies: DataFrame, block: int = 6) -> DataFrame:
+    """(needle, body): pairs of texts (id, key) that may contain one another, by hashes alone.
+
+    A needle is named by ``block`` words in a row, or all of a shorter one: by
+    those of them that the fewest bodies hold, so what many texts begin with
+    brings nothing together. Needles have one key for an id.
+    """
+    none = F.array().cast("array<bigint>")
+
+    def runs(w: Column, n: Column) -> Column:
+        return F.when(F.size(w) >= n, F.transform(F.sequence(F.lit(1), F.size(w) - n + 1), lambda i: F.xxhash64(F.slice(w, i, n)))).otherwise(none)
+
+    # the words of a text are cut once, as a variable
+    runs_of = lambda f: F.explode(F.transform(F.array(F.split("key", " ")), lambda w: F.array_distinct(f(w)))[0]).alias("_b")
+    size = lambda w: F.least(F.size(w), F.lit(block))
+    sizes = sorted(r["g"] for r in needles.select(size(F.split("key", " ")).alias("g")).distinct().collect())  # at most ``block`` numbers
+    grams = bodies.where("key <> ''").select(F.col("id").alias("body"), runs_of(lambda w: F.concat(none, *(runs(w, F.lit(g)) for g in sizes))))
+    grams = materialise(grams, "body-runs")  # read twice
+    counts = grams.groupBy("_b").agg(F.count("*").alias("n"))
+    # words that stand nowhere are the rarest: their needle meets no body
+    asked = needles.select(F.col("id").alias("needle"), runs_of(lambda w: runs(w, size(w)))).join(counts, "_b", "left")
+    rarest = asked.groupBy("needle").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "_b")).alias("r")).where("r.n > 0").select("needle", "r._b")
+    return grams.join(rarest, "_b").select("needle", "body")
+
+
 def contained_pairs(needles: DataFrame, bodies: DataFrame, block: int = 6) -> DataFrame:
     """(needle, body): ids of normalised texts (id, key) whose words stand in a row inside another's.
 
-    Blocked by the first ``block`` words of a needle, or all of a shorter one:
-    hashes of these words in a row meet, and only where they do the texts are
-    fetched and compared. Null and empty needles stand in nothing.
+    Only pairs that ``nominated_pairs`` names are fetched and compared. Null and empty needles stand in nothing.
     """
-    words = F.split("key", " ")
-    hashed = lambda w, at, n: F.xxhash64(F.array_join(F.slice(w, at, n), " "))
-    first = F.least(F.size(words), F.lit(block))
-    own = needles.where("key <> ''").select(F.col("id").alias("needle"), F.col("key").alias("needle_key"), first.alias("_g"), hashed(words, F.lit(1), first).alias("_b"))
-    sizes = sorted(r["_g"] for r in own.select("_g").distinct().collect())  # at most ``block`` numbers
-    none = F.array().cast("array<struct<_g:int,_b:bigint>>")
-
-    def runs(g: int) -> Column:
-        at = F.sequence(F.lit(1), F.greatest(F.size(words) - (g - 1), F.lit(1)))
-        return F.when(F.size(words) >= g, F.transform(at, lambda i: F.struct(F.lit(g).alias("_g"), hashed(words, i, F.lit(g)).alias("_b")))).otherwise(none)
-
-    grams = bodies.where("key <> ''").select(F.col("id").alias("body"), F.explode(F.array_distinct(F.concat(none, *map(runs, sizes)))).alias("x")).select("body", "x._g", "x._b")
-    met = grams.join(own.select("needle", "_g", "_b"), ["_g", "_b"]).select("needle", "body").distinct()
-    texts = met.join(own.select("needle", "needle_key"), "needle").join(bodies.select(F.col("id").alias("body"), F.col("key").alias("body_key")), "body")
+    one = F.unhex(F.md5(F.concat_ws("\u0001", F.length("key"), "key", F.col("id").cast("string"))))
+    own = needles.where("id is not null and key <> ''").select(F.col("id").alias("needle"), F.col("key").alias("needle_key"), one.alias("_n")).distinct()
+    own = materialise(own, "needles")  # read three times
+    met = nominated_pairs(own.select(F.col("_n").alias("id"), F.col("needle_key").alias("key")), bodies, block).withColumnRenamed("needle", "_n")
+    texts = met.join(own, "_n").join(bodies.select(F.col("id").alias("body"), F.col("key").alias("body_key")), "body")
     padded = lambda c: F.concat(F.lit(" "), c, F.lit(" "))
     return texts.where(padded(F.col("body_key")).contains(padded(F.col("needle_key")))).select("needle", "body").distinct()
 

@@ -140,6 +140,14 @@ def test_containment_and_normalised_key(spark):
     assert [tuple(r) for r in patches.matched_questions(ex, q).collect()] == [(7, "q1")]
 
 
+def test_containment_of_texts_that_begin_alike(spark):
+    begun = "according to the notice on this page"
+    needles = spark.range(300).selectExpr("concat('n', id) as id", f"concat('{begun} the office n', id, ' is closed') as key")
+    bodies = spark.range(200).selectExpr("concat('b', id) as id", f"concat('{begun} the office n', id, ' is closed and {begun} the office n', id + 150, ' is open') as key")
+    assert sorted(map(tuple, filling.contained_pairs(needles, bodies).collect())) == sorted((f"n{i}", f"b{i}") for i in range(200))
+    assert filling.nominated_pairs(needles, bodies).count() <= 2 * 300  # and not all 300 x 200 pairs
+
+
 def test_fill_pipeline(spark):
     ex = [("go", 0, "We ------- home."), ("go", 1, "Well, we ------- home. Now."), ("go", 2, "No **blank** here."), ("go", 3, "Nothing ------- this."), ("do", 0, "they ------- it often"), ("do", 1, None)]
     ex = spark.createDataFrame(ex, "word string, idx long, sentence string")
