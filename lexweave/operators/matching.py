@@ -94,35 +94,48 @@ def phrase_specs(tokens: DataFrame) -> DataFrame:
 
 
 def phrase_forms(tokens: DataFrame) -> DataFrame:
-    """(form, phrase, idx, role): every form that a phrase's token may take."""
+    """(form, t, role): every form that a phrase's token may take."""
     ph = F.element_at(F.create_map(*(x for k, v in PLACEHOLDERS.items() for x in (F.lit(k), F.array(*map(F.lit, v))))), F.col("t"))
     forms = F.when(F.col("role") == "placeholder", ph).when(F.length("t") < 3, F.array("t")).otherwise(morph.family(F.col("t")))
-    return tokens.where("role <> 'marker'").select("phrase", "idx", "role", F.explode(forms).alias("form"))
+    return tokens.where("role <> 'marker'").select("t", "role").distinct().select(F.explode(forms).alias("form"), "t", "role").distinct()
 
 
 def verified_phrases(sentences: DataFrame, words: DataFrame) -> DataFrame:
     """(id, phrase): sentences in which all of a phrase's families occur, its
     mandatory placeholders too, and the first places lie within its span.
 
-    A sentence and a phrase meet where the sentence has a form of the phrase's
-    rarest word, by the sentences themselves, so no frequent word brings all
-    its phrases to all its sentences. Only for these pairs the other words are
-    looked up, by sentence and form; both checks are one aggregation.
+    What is kept of a sentence are the first places of the words that phrases
+    are made of. A sentence and a phrase meet where the sentence has the
+    phrase's two rarest words, so no frequent word brings all its phrases to
+    all its sentences; the other words are then looked up in the same row.
+    The phrases' tables are stored: while they are small they are broadcast,
+    and the sentences' words are never shuffled for them.
     """
     toks = phrase_tokens(words)
     t = token_rows(sentences, "[a-zA-Z']+", 1).select("id", "pos", F.lower("token").alias("token"))
-    forms = phrase_forms(toks)
+    forms = materialise(phrase_forms(toks), "phrase-forms")
     keys = t.select("id", "pos", F.explode(F.array_distinct(F.array(F.struct(F.col("token").alias("form"), F.lit(True).alias("surface")), F.struct(morph.lemma(F.col("token")).alias("form"), F.lit(False).alias("surface"))))).alias("k"))
-    keys = materialise(keys.select("id", "pos", "k.form", "k.surface"), "phrase-keys")  # read three times
-    counts = keys.groupBy("form").agg(F.count("*").alias("n"))
+    found = keys.select("id", "pos", "k.form", "k.surface").join(forms, "form").where((F.col("role") == "content") | F.col("surface"))
+    places = found.groupBy("id").agg(F.array_sort(F.collect_set(F.struct("t", "pos"))).alias("h"))
+    first = F.filter("h", lambda x, i: (i == 0) | (F.get("h", i - 1)["t"] != x["t"]))
+    places = materialise(places.select("id", first.alias("h")), "phrase-places")  # read twice
+
+    counts = places.select(F.explode("h.t").alias("t")).groupBy("t").agg(F.count("*").alias("n"))
+    content = toks.where("role = 'content'").select("phrase", "t").distinct().join(counts, "t", "left")
     # a word that stands nowhere is the rarest: its phrase meets no sentence
-    per_word = forms.where("role = 'content'").join(counts, "form", "left").groupBy("phrase", "idx").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"))
-    rarest = per_word.groupBy("phrase").agg(F.min_by("idx", F.struct("n", "idx")).alias("idx"))
-    named = forms.where("role = 'content'").join(rarest, ["phrase", "idx"]).select("form", "phrase")
-    pairs = keys.join(named, "form").select("id", "phrase").distinct()
-    hits = pairs.join(forms, "phrase").join(keys, ["id", "form"]).where((F.col("role") == "content") | F.col("surface"))
-    first = hits.groupBy("id", "phrase", "role", "idx").agg(F.min("pos").alias("at"))
-    content = F.col("role") == "content"
-    per = first.groupBy("id", "phrase").agg(F.count_if(content).alias("found"), F.count_if(~content).alias("found_ph"), (F.max(F.when(content, F.col("at"))) - F.min(F.when(content, F.col("at")))).alias("span"))
-    ok = (F.col("found") == F.col("k")) & ((F.col("n_ph") == 0) | (F.col("found_ph") == F.col("n_ph"))) & (F.col("max_span").isNull() | (F.col("span") <= F.col("max_span")))
-    return per.join(phrase_specs(toks), "phrase").where(ok).select("id", "phrase")
+    rare = F.array_sort(F.collect_list(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "t")))
+    named = content.groupBy("phrase").agg(rare.alias("r")).select("phrase", F.col("r.t").alias("ts"))
+    a, b = F.get("ts", F.lit(0)), F.coalesce(F.get("ts", F.lit(1)), F.get("ts", F.lit(0)))
+    others = toks.where("role = 'placeholder'").groupBy("phrase").agg(F.collect_set("t").alias("ph"))
+    need = F.when(F.col("n_ph") > 0, F.col("ph")).otherwise(F.array().cast("array<string>"))
+    specs = phrase_specs(toks).join(named, "phrase").join(others, "phrase", "left").select(F.xxhash64(F.least(a, b), F.greatest(a, b)).alias("key"), "phrase", "ts", need.alias("ph"), "max_span")
+    specs = materialise(specs, "phrase-specs")
+    known = materialise(specs.select("key").distinct(), "phrase-keys")
+
+    # each pair of words of a sentence, which are in order, and each word by itself
+    pairs = F.flatten(F.transform("h.t", lambda x, i: F.transform(F.slice("h.t", i + 1, F.size("h")), lambda y: F.xxhash64(x, y))))
+    met = places.select("id", "h", F.explode(pairs).alias("key")).join(known, "key", "left_semi").join(specs, "key")
+    at = F.transform("ts", lambda x: F.element_at("m", x))
+    rows = met.withColumn("m", F.map_from_entries("h")).withColumn("at", at)
+    whole = F.forall("at", lambda x: x.isNotNull()) & F.forall("ph", lambda x: F.map_contains_key("m", x))
+    return rows.where(whole & (F.col("max_span").isNull() | (F.array_max("at") - F.array_min("at") <= F.col("max_span")))).select("id", "phrase")

@@ -7,6 +7,7 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
+from lexweave import session
 from lexweave.functions import classify, morph, text
 from lexweave.operators import cards, exams, filling, markdown, matching, patches, quality, reports
 from lexweave.sources import files, sinks
@@ -140,6 +141,20 @@ def test_containment_and_normalised_key(spark):
     assert [tuple(r) for r in patches.matched_questions(ex, q).collect()] == [(7, "q1")]
 
 
+def test_phrases_keep_no_words_of_sentences(spark):
+    import glob
+
+    kept = lambda: set(glob.glob(f"{session.scratch_dir(spark).removeprefix('file:')}/phrase-*"))
+    text = "if(id % 2 = 0, 'we then comply very fully and keep the new rule of the house', 'with rules we comply and comply one with rules')"
+    sentences = spark.range(500).selectExpr("concat('s', id) as id", f"{text} as sentence")
+    words = spark.createDataFrame([("comply with", "w1"), ("comply with rules", "w2"), ("be with", "w3"), ("absent rule", "w4")], "word string, first_id string")
+    before = kept()
+    got = {tuple(r) for r in matching.verified_phrases(sentences, words).collect()}
+    assert got == {(f"s{i}", "comply with") for i in range(1, 500, 2)} | {(f"s{i}", "comply with rules") for i in range(1, 500, 2)}
+    assert sum(spark.read.parquet(p).count() for p in kept() - before) < 2 * 500
+    assert matching.verified_phrases(sentences.limit(0), words).count() == matching.verified_phrases(sentences, words.limit(0)).count() == 0
+
+
 def test_containment_of_texts_that_begin_alike(spark):
     begun = "according to the notice on this page"
     needles = spark.range(300).selectExpr("concat('n', id) as id", f"concat('{begun} the office n', id, ' is closed') as key")
