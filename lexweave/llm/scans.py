@@ -5,7 +5,7 @@ from __future__ import annotations
 import difflib
 import re
 from collections.abc import Iterator, Mapping, Sequence
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 import pyarrow as pa
 import regex
@@ -67,10 +67,25 @@ class Noise:
     longest: int = 64
     rare: Mapping[str, int] = field(default_factory=dict)
     rare_heads: frozenset[str] = frozenset()
+    #: There are running heads beyond ``heads``; ``inline_heads`` are those that may stand inside the text at hand.
+    more_heads: bool = False
+    inline_heads: frozenset[str] = frozenset()
 
     def __post_init__(self):
         self._head_set = set(self.heads)
-        self._inline = re.compile("|".join(self._pattern(h) for h in sorted(self.heads, key=len, reverse=True)), re.I) if self.heads else None
+        self._head_runs = [(h, _runs(h)) for h in self.heads] if self.more_heads else []
+        self._inline = self._any(self.heads)
+
+    @classmethod
+    def _any(cls, heads: Iterable[str]) -> re.Pattern | None:
+        return re.compile("|".join(cls._pattern(h) for h in sorted(heads, key=lambda h: (-len(h), h))), re.I) if heads else None
+
+    def _inline_of(self, text: str) -> re.Pattern | None:
+        """All heads that may stand inside a text, as one pattern."""
+        if not self.inline_heads:
+            return self._inline
+        runs = _runs(text)
+        return self._any([*(h for h, own in self._head_runs if own <= runs), *self.inline_heads])
 
     @staticmethod
     def _pattern(head: str) -> str:
@@ -101,17 +116,7 @@ class Noise:
         form = line_form(line)
         if not form or len(form) < 4:
             return False
-        if form in self._head_set or form in self.rare_heads:
-            return True
-        like = difflib.SequenceMatcher()
-        like.set_seq2(form)
-        for h in self.heads:
-            if abs(len(h) - len(form)) <= 4:
-                like.set_seq1(h)
-                # the quick ones are never less than the ratio
-                if like.real_quick_ratio() >= HEAD_LIKENESS and like.quick_ratio() >= HEAD_LIKENESS and like.ratio() >= HEAD_LIKENESS:
-                    return True
-        return False
+        return form in self._head_set or form in self.rare_heads or alike(form, self.heads)
 
     def reading(self, token: str) -> str | None:
         """The word that a token was misread from, or None if it stands for itself."""
@@ -171,6 +176,8 @@ class Noise:
         lines = _newline.split(text)
         if len(lines) > 1:
             asked.update(_FORM + f for f in map(line_form, lines) if len(f) >= 4 and f not in self._head_set)
+        if self.more_heads:
+            asked.update(_RUN + w for w in ("", *_runs(text)))
         for m in _suspect.finditer(text):
             ask(m[0])
         # a break may reach over lines that turn out to be heads or page numbers
@@ -199,8 +206,8 @@ class Noise:
         if not body or not any(x.strip() for x in body):
             return kinds, ""
         joined = "\n".join(body)
-        if self._inline:
-            cut = self._inline.sub(" ", joined)
+        if inline := self._inline_of(joined):
+            cut = inline.sub(" ", joined)
             if cut != joined:
                 kinds.add("running_head")
                 joined = cut
@@ -225,8 +232,8 @@ class Noise:
         return kinds, re.sub(r"\s+", " ", joined).strip() if kinds else text
 
 
-#: Mark of a line form among looked-up words.
-_FORM = "\n"
+#: Marks of a line form, of a run of letters and of a head inside a text among looked-up words.
+_FORM, _RUN, _INSIDE = "\n", "\r", "\v"
 _tail = regex.compile(rf"([\p{{L}}{_SYMBOL}0-9|]+)[{_HYPHENS}]\s*$")
 _first = regex.compile(rf"[\p{{L}}{_SYMBOL}0-9|]+")
 
@@ -253,6 +260,80 @@ def line_form(line: str) -> str:
     return re.sub(r"\s+", " ", re.sub(r"\d+", "#", line.strip().lower()))
 
 
+#: Letters that match a Latin one if case is ignored.
+_ODD_CASE = ("İıſ\u212a", "iisk")
+_odd_case = str.maketrans(*_ODD_CASE)
+_LETTERS = "[a-z]+|[가-힣]+"
+_AFTER_NUMBER = "(?<!#)[가-힣]+"
+
+
+def _runs(text: str) -> set[str]:
+    """The runs of letters of a text. A head stands inside a text only if its own word is one of them."""
+    low = re.sub(r"\d+", "#", text.translate(_odd_case).lower())
+    return {*re.findall(_LETTERS, low), *re.findall(_AFTER_NUMBER, low)}
+
+
+def _run_keys(text: Column) -> Column:
+    """``_runs`` in the JVM."""
+    low = F.regexp_replace(F.lower(F.translate(text, *_ODD_CASE)), r"(?U)\d+", "#")
+    return F.array_union(F.regexp_extract_all(low, F.lit(_LETTERS), F.lit(0)), F.regexp_extract_all(low, F.lit(_AFTER_NUMBER), F.lit(0)))
+
+
+def alike(form: str, heads: Iterable[str]) -> bool:
+    """Whether a line form is like one of the heads."""
+    like = difflib.SequenceMatcher()
+    like.set_seq2(form)
+    for h in heads:
+        if abs(len(h) - len(form)) <= 4:
+            like.set_seq1(h)
+            # the quick ones are never less than the ratio
+            if like.real_quick_ratio() >= HEAD_LIKENESS and like.quick_ratio() >= HEAD_LIKENESS and like.ratio() >= HEAD_LIKENESS:
+                return True
+    return False
+
+
+def head_pieces(head: str) -> list[str]:
+    """Pieces of a head of which any line form that is like it holds one unchanged.
+
+    Forms whose lengths differ by 4 at most and whose likeness is reached differ
+    by so many letters put in or left out, each of which breaks one piece at most.
+    """
+    n = len(head)
+    k = min(n, int((1 - HEAD_LIKENESS) * (2 * n + 4) + 1e-9) + 1)
+    return [head[n * i // k : n * (i + 1) // k] for i in range(k)]
+
+
+def _all_pieces(form: str, sizes: Iterable[int]) -> set[str]:
+    return {form[i : i + g] for g in sizes for i in range(len(form) - g + 1)}
+
+
+def like_forms(forms: DataFrame, heads: DataFrame) -> DataFrame:
+    """(form): the line forms that are like one of ``heads`` (form). They meet by pieces and lengths, then each pair is compared."""
+    lengths = lambda n: range(max(0, n - 4) // 9, (n + 4) // 9 + 1)
+
+    def of_heads(batches):
+        for b in batches:
+            rows = [(h, len(h) // 9, p) for h in b.column(0).to_pylist() for p in dict.fromkeys(head_pieces(h))]
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.string(), pa.int32(), pa.string()))], names=["head", "size", "piece"])
+
+    pieces = materialise(heads.select("form").mapInArrow(of_heads, "head string, size int, piece string"), "p6-pieces")
+    sizes = [r[0] for r in pieces.select(F.length("piece")).distinct().collect()]  # a few numbers
+
+    def of_forms(batches):
+        for b in batches:
+            rows = [(f, s, p) for f in b.column(0).to_pylist() for s in lengths(len(f)) for p in _all_pieces(f, sizes)]
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.string(), pa.int32(), pa.string()))], names=["form", "size", "piece"])
+
+    def compare(batches):
+        for b in batches:
+            kept = [f for f, h in zip(b.column(0).to_pylist(), b.column(1).to_pylist()) if alike(f, (h,))]
+            yield pa.RecordBatch.from_arrays([pa.array(kept, pa.string())], names=["form"])
+
+    asked = forms.select("form").distinct().mapInArrow(of_forms, "form string, size int, piece string")
+    near = asked.join(pieces, ["size", "piece"]).where(F.abs(F.length("form") - F.length("head")) <= 4).select("form", "head").distinct()
+    return near.mapInArrow(compare, "form string").distinct()
+
+
 def scan_texts(entries: DataFrame, questions: DataFrame) -> DataFrame:
     """(field_name, record_id, text) of the fields that come from scanned pages."""
     ex = entries.select(F.explode("examples").alias("e")).select(
@@ -292,7 +373,7 @@ def _lines(texts: DataFrame) -> DataFrame:
 
 
 def head_lines(lines: DataFrame, words: DataFrame) -> DataFrame:
-    """(form, n) of the running heads among ``lines``, told by measures that don't
+    """(form, n, word) of the running heads among ``lines``, ``word`` being the one most its own, told by measures that don't
     depend on how large the corpus is: see ``HEAD_TEXTS`` and those beside it.
 
     Lines of a text that was delivered many times have the same text around
@@ -306,8 +387,9 @@ def head_lines(lines: DataFrame, words: DataFrame) -> DataFrame:
     some = forms.where((F.col("texts") >= HEAD_TEXTS) & (F.col("top") <= HEAD_TOP * F.col("n")) & (F.col("edges") >= HEAD_EDGE * F.col("n")))
     parts = some.select("form", "n", F.explode_outer(F.array_distinct(F.regexp_extract_all("form", F.lit("(?<![a-z0-9#-])[a-z]+(?![a-z0-9#-])|(?<!#)[가-힣]+"), F.lit(0)))).alias("word"))  # words as they are counted
     own = parts.join(words.withColumnRenamed("n", "all"), "word", "left")
-    share = F.max(F.when(F.col("word").isNull(), 1.0).otherwise(F.coalesce(F.col("n") / F.col("all"), F.lit(1.0))))
-    return own.groupBy("form", "n").agg(share.alias("share")).where(F.col("share") >= HEAD_WORD).select("form", "n")
+    share = F.when(F.col("word").isNull(), 1.0).otherwise(F.coalesce(F.col("n") / F.col("all"), F.lit(1.0)))
+    most = F.max(F.struct(share.alias("share"), "word"))
+    return own.groupBy("form", "n").agg(most.alias("m")).where(F.col("m.share") >= HEAD_WORD).select("form", "n", "m.word")
 
 
 def last_page(explicit: Sequence[int], bare: Sequence[int]) -> int:
@@ -337,10 +419,12 @@ def _page_range(lines: DataFrame) -> int:
 @dataclass
 class Learned:
     """``noise`` is sent to the executors, ``rest`` (key, n) holds the rarer words and
-    heads (marked) to be looked up, None if there are none."""
+    heads (marked) to be looked up, None if there are none; ``heads`` (form, word)
+    holds these heads with the word by which they are found inside texts."""
 
     noise: Noise
     rest: DataFrame | None
+    heads: DataFrame | None = None
 
 
 def learn_noise(texts: DataFrame) -> Learned:
@@ -365,13 +449,16 @@ def learn_noise(texts: DataFrame) -> Learned:
     sent = words.where(F.col("n") >= least).toArrow()  # WORDS_SENT at most
     top = heads.orderBy(F.desc("n"), "form").limit(HEADS_SENT).collect()
     noise = Noise(dict(zip(sent["word"].to_pylist(), sent["n"].to_pylist())), [r["form"] for r in top], _page_range(lines), longest)
-    rest = []
+    rest, more = [], None
     if least > 1:
         rest.append(words.where(F.col("n") < least).select(F.col("word").alias("key"), "n"))
     if len(top) == HEADS_SENT:
         edge = (top[-1]["n"], top[-1]["form"])
-        rest.append(heads.where((F.col("n") < edge[0]) | (F.col("n") == edge[0]) & (F.col("form") > edge[1])).select(F.concat(F.lit(_FORM), "form").alias("key"), "n"))
-    return Learned(noise, rest[0].unionByName(rest[1]) if len(rest) == 2 else rest[0] if rest else None)
+        beyond = heads.where((F.col("n") < edge[0]) | (F.col("n") == edge[0]) & (F.col("form") > edge[1]))
+        if not beyond.isEmpty():
+            noise, more = replace(noise, more_heads=True), beyond.select("form", F.coalesce("word", F.lit("")).alias("word"))
+            rest.append(beyond.select(F.concat(F.lit(_FORM), "form").alias("key"), "n"))
+    return Learned(noise, rest[0].unionByName(rest[1]) if len(rest) == 2 else rest[0] if rest else None, more)
 
 
 def _ascii(text: Column) -> Column:
@@ -422,7 +509,16 @@ def look_up(texts: DataFrame, learned: Learned) -> DataFrame:
     rows = materialise(rows.select(F.md5("text").alias("id"), "asked"), "p6-asked")
     keys = rows.select("id", F.explode("asked").alias("key"))
     found = learned.rest.join(keys.select("key").distinct(), "key")
-    rare = keys.join(found, "key").groupBy("id").agg(F.map_from_entries(F.collect_set(F.struct("key", "n"))).alias("rare"))
+    if learned.heads is not None:
+        forms = keys.where(F.col("key").startswith(_FORM)).select(F.substr("key", F.lit(2)).alias("form"))
+        like = like_forms(forms, learned.heads).select(F.concat(F.lit(_FORM), "form").alias("key"), F.lit(1).cast("bigint").alias("n"))
+        # a head has a fifth of its own word's places at least, so a word brings five heads at most
+        inside = learned.heads.select(F.concat(F.lit(_RUN), "word").alias("key"), F.concat(F.lit(_INSIDE), "form").alias("head"))
+        inside = keys.join(inside, "key").select("id", F.col("head").alias("key"), F.lit(1).cast("bigint").alias("n"))
+        rows = keys.join(found.unionByName(like).groupBy("key").agg(F.max("n").alias("n")), "key").select("id", "key", "n").unionByName(inside)
+    else:
+        rows = keys.join(found, "key")
+    rare = rows.groupBy("id").agg(F.map_from_entries(F.collect_set(F.struct("key", "n"))).alias("rare"))
     return texts.withColumn("_id", F.md5("text")).join(rare.withColumnRenamed("id", "_id"), "_id", "left").drop("_id")
 
 
@@ -438,6 +534,7 @@ def inspect_texts(texts: DataFrame, learned: Learned) -> DataFrame:
             for t, rare in zip(b.column("text").to_pylist(), b.column("rare").to_pylist()):
                 found = dict(rare or ())
                 own.rare_heads = frozenset(k[len(_FORM) :] for k in found if k.startswith(_FORM))
+                own.inline_heads = frozenset(k[len(_INSIDE) :] for k in found if k.startswith(_INSIDE))
                 own.rare = found
                 seen.append(own.inspect(t))
             cols = [b.column(n) for n in schema.names]
@@ -454,7 +551,12 @@ def _inspected(entries: DataFrame, questions: DataFrame) -> DataFrame:
     """The texts that can hold damage, inspected."""
     texts = scan_texts(entries, questions)
     learned = learn_noise(texts)
-    some = texts.where(suspicious(F.col("text"), learned.noise))
+    test = suspicious(F.col("text"), learned.noise)
+    some = texts.where(test)
+    if learned.heads is not None:
+        runs = texts.where(~test).select(F.md5("text").alias("_id"), F.explode(F.array_union(F.array(F.lit("")), _run_keys(F.col("text")))).alias("word"))
+        held = runs.join(learned.heads.select("word").distinct(), "word").select("_id").distinct()
+        some = some.unionByName(texts.where(~test).withColumn("_id", F.md5("text")).join(held, "_id", "left_semi").drop("_id"))
     # told once: texts with words to be looked up are read twice
     return inspect_texts(some if learned.rest is None else materialise(some, "p6-suspicious"), learned)
 

@@ -97,6 +97,36 @@ def test_heads_that_are_looked_up(spark, monkeypatch):
     assert got == {r[1]: (["running_head"], r[2].split("\n")[1]) for r in rows}
 
 
+def test_heads_beyond_those_sent_are_found_by_likeness_and_inside_lines(spark, monkeypatch):
+    bodies = ["amber boats drift east", "crows find green hay", "ink jars keep lasting", "many nights open", "paper queens rest softly", "tall urns vanish"]
+    heads = [("a", "Quarterly Gazette 7"), ("b", "Quiet Almanac 8"), ("c", "Ha-Noi Zephyr 3")]
+    rows = [("f", f"{h}{i}", f"{head}\n{b}") for i, b in enumerate(bodies) for h, head in heads]
+    rows += [("f", f"like-{h}", f"{head.replace('i', 'j')}x\nbricks fall down") for h, head in heads]
+    rows += [("f", f"in-{h}", f"we saw {head.upper()} yesterday evening") for h, head in heads] + [("f", "no", "a quiet evening by the gazette")]
+    texts = spark.createDataFrame(rows, "field_name string, record_id string, text string")
+    monkeypatch.setattr(scans, "scan_texts", lambda e, q: e)
+    told = lambda: {r["record_id"]: (list(r["kinds"]), r["repaired"]) for r in scans._inspected(texts, texts).collect() if r["kinds"]}
+    want = told()
+    assert {f"{p}-{h}" for p in ("like", "in") for h, _ in heads} <= set(want) and "no" not in want
+    monkeypatch.setattr(scans, "HEADS_SENT", 1)
+    assert told() == want
+
+
+def test_pieces_of_heads_miss_nothing():
+    import random
+
+    draw = random.Random(7)
+    for _ in range(3000):
+        head = "".join(draw.choices("abc #", k=draw.randint(4, 40)))
+        form = list(head)
+        for _ in range(draw.randint(0, 7)):
+            at = draw.randrange(len(form) + 1)
+            form[at : at + draw.randint(0, 1)] = draw.choices("abcd", k=draw.randint(0, 1))
+        form = "".join(form)
+        if len(form) >= 4 and scans.alike(form, [head]):
+            assert any(p in form for p in scans.head_pieces(head))
+
+
 def test_heads_stand_above_unlike_texts(spark):
     """A head may stand at one edge only; lines of one text in many copies, and sentence ends, are none."""
     words = "amber boats crows drift east find green hay ink jars keep lasting many nights open paper queens rest softly tall urns vanish".split()
